@@ -100,14 +100,14 @@ def scan(text: str | None) -> list[tuple[str, int, int, float]]:
     return [x for x in spans if x[0] in BASE_KINDS or x[3] >= LEAST]
 
 
-@F.pandas_udf("array<struct<kind:string,start:long,end:long,score:double>>")
-def _scan(text: pd.Series) -> pd.Series:
-    return pd.Series([[{"kind": k, "start": s, "end": e, "score": p} for k, s, e, p in scan(t)] for t in text], dtype=object)
-
-
 def spans(text: Column) -> Column:
     """Array of a text's spans (kind, start, end, score)."""
-    return _scan(text)
+
+    @F.pandas_udf("array<struct<kind:string,start:long,end:long,score:double>>")
+    def found(texts: pd.Series) -> pd.Series:
+        return pd.Series([[{"kind": k, "start": s, "end": e, "score": p} for k, s, e, p in scan(t)] for t in texts], dtype=object)
+
+    return found(text)
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
