@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspan.llm import mixing, pii, quality, simhash, toxicity
+from tallyspan.llm import mixing, pii, quality, simhash, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,13 +30,17 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(_table(spark, sf_dir, "documents"))
 
 
+def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.report(_table(spark, sf_dir, "pages"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return quality.judge(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op3_simhash, op4_toxicity, op5_mixing, op10_quality)}
+    return {f.__name__: f for f in (op1_pii, op3_simhash, op4_toxicity, op5_mixing, op6_urls, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
