@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspan.llm import decontam, licenses, mixing, pii, quality, simhash, tokens, toxicity, urls
+from tallyspan.llm import decontam, licenses, mixing, pii, quality, simhash, substrings, tokens, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.report(_table(spark, sf_dir, "pages"))
 
 
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.report(_table(spark, sf_dir, "documents"))
+
+
 def op8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.materialised(_table(spark, sf_dir, "documents"))
 
@@ -52,8 +56,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_licenses, op3_simhash, op4_toxicity, op5_mixing, op6_urls, op8_tokens, op9_decontam, op10_quality)}
+    return {f.__name__: f for f in (op1_pii, op2_licenses, op3_simhash, op4_toxicity, op5_mixing, op6_urls, op7_substrings, op8_tokens, op9_decontam, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": mixing.ORACLE_SQL}
+    return {"op5_mixing": mixing.ORACLE_SQL, "op7_substrings": substrings.ORACLE_SQL}
