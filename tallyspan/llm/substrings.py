@@ -39,6 +39,8 @@ FANOUT = 4
 #: Rows that a task settles among themselves before it hands them on.
 TOGETHER = 1 << 20
 LAST = (1 << 63) - 1
+#: Where deduplicated() ends its batches: the first quarter of the ids is history for the rest.
+SHARES = (0.25,)
 
 _ROW = "a long, s long, d long, at long"
 # at: 28 bits of the text's hash, 31 of the first window's place, 4 of the number of windows
@@ -114,24 +116,32 @@ class SubstringIndex:
     def __init__(self, spark: SparkSession, path: str | None = None, width: int = WIDTH, fanout: int = FANOUT):
         self.spark, self.path, self.width, self.fanout = spark, path or new_path(spark, "substring-index"), width, fanout
         self.runs: list[str] = []
+        self.merged: list[str] = []
         self.written = 0
 
     def history(self) -> DataFrame | None:
         """(a, s, d) of all runs: a stretch and the smallest document that has it."""
-        return self.spark.read.schema("a long, s long, d long").parquet(*self.runs) if self.runs else None
+        if not self.runs:
+            return None
+        return self.spark.read.schema(f"{_ROW}, kind byte").parquet(*self.runs).where("kind <> 1").select("a", "s", "d")
 
     def _new_run(self) -> str:
         self.written += 1
         return f"{self.path}/run-{self.written:06d}"
 
+    def clear_merged(self) -> None:
+        """Delete runs that were compacted, once the results of their batches have been written."""
+        for path in self.merged:
+            remove(self.spark, path)
+        self.merged = []
+
     def compact(self) -> None:
         """Merge all runs into one."""
         if len(self.runs) > 1:
             old, run = self.runs, self._new_run()
-            self.history().groupBy("a", "s").agg(F.min("d").alias("d")).repartition("a").sortWithinPartitions("a", "s").write.parquet(run)
-            self.runs = [run]
-            for path in old:
-                remove(self.spark, path)
+            least = self.history().groupBy("a", "s").agg(F.min("d").alias("d")).select("a", "s", "d", F.lit(None).cast("long").alias("at"), F.lit(0).cast("byte").alias("kind"))
+            least.repartition("a").sortWithinPartitions("a", "s").write.option("compression", "zstd").parquet(run)
+            self.runs, self.merged = [run], self.merged + old  # results that are not read yet still need the old ones
 
     def covers(self, texts: DataFrame, corpus: DataFrame | None = None, keep: bool = True) -> DataFrame:
         """(d, at): the windows, as stretches, of the batch that an earlier document has. corpus: historical texts, to verify against. keep: write the batch's run."""
@@ -157,15 +167,16 @@ class SubstringIndex:
         whole = F.col("at").isNotNull() & ((F.col("at") < 0) | (F.col("d") > F.col("least")))
         kind = F.when(whole, 1).when(F.col("many"), 2).otherwise(0)
         merged = merged.select("a", "s", "d", "at", kind.cast("byte").alias("kind"))
-        if keep:
-            merged = store(merged.where("kind > 0 or at is not null"), "merged", codec="lz4")
+        if keep:  # the merged rows are the run: sorted by hash as they are, rows of kind 1 being the batch's own and no one else's
             run = self._new_run()
-            merged.where("kind <> 1 and at is not null").select("a", "s", "d").distinct().repartition("a").sortWithinPartitions("a", "s").write.parquet(run)
+            slim = merged.where("kind > 0 or at is not null").withColumn("at", F.when(F.col("kind") == 1, F.col("at")))
+            slim.write.option("compression", "zstd").parquet(run)
+            merged = self.spark.read.schema(slim.schema).parquet(run)
             self.runs.append(run)
             if len(self.runs) >= self.fanout:
                 self.compact()
         else:
-            merged = store(merged.where("kind > 0"), "merged", codec="lz4")
+            merged = store(merged.where("kind > 0").withColumn("at", F.when(F.col("kind") == 1, F.col("at"))), "merged")
         whole = merged.where("kind = 1").select("d", F.when(F.col("at") < 0, -1 - F.col("at")).otherwise(F.col("at")).alias("at"))
         doubtful = merged.where("kind = 2").groupBy("d").agg(F.collect_set("a").alias("anchors"))
         every = texts if corpus is None else texts.unionByName(corpus)
@@ -209,10 +220,10 @@ class SubstringIndex:
         return out.select("doc_id", "r.*")
 
 
-def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", batches: int = 2) -> DataFrame:
-    """dedup() of all docs, taken in `batches` batches by ranges of their ids: doc_id, n_words, n_removed, kept (UTF-8)."""
+def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shares: tuple[float, ...] = SHARES) -> DataFrame:
+    """dedup() of all docs, taken in batches by ranges of their ids: doc_id, n_words, n_removed, kept (UTF-8). A batch ends at each of `shares` of the ids."""
     index, ids = SubstringIndex(docs.sparkSession), F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST))
-    bounds = docs.select(ids.alias("d")).stat.approxQuantile("d", [k / batches for k in range(1, batches)], 0.001) if batches > 1 else []
+    bounds = docs.select(ids.alias("d")).stat.approxQuantile("d", list(shares), 0.001) if shares else []
     bounds, parts = sorted({int(b) for b in bounds}), []
     for k in range(len(bounds) + 1):
         inside = F.lit(True) if k == 0 else ids > bounds[k - 1]
@@ -225,9 +236,9 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ba
     return out
 
 
-def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", batches: int = 2) -> DataFrame:
+def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shares: tuple[float, ...] = SHARES) -> DataFrame:
     """One row per row of docs: n_words, n_removed, and the SHA-256 of the words that stay."""
-    return deduplicated(docs, doc_id, text, batches).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    return deduplicated(docs, doc_id, text, shares).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 ORACLE_SQL = r"""
