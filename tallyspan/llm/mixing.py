@@ -83,6 +83,7 @@ def thresholds(slim: DataFrame, budgets: DataFrame) -> DataFrame:
             (F.col("open") & F.col("c").isNotNull()).alias("open"),
             F.coalesce(F.col("c.n"), F.lit(0).cast("long")).alias("crossing"),
         )
+        state = store(state, "thresholds")  # so that a level's plan does not hold the levels before
     # a source that never crossed has a budget over what its documents sum to: all are taken
     end = F.lit(1 << total).cast("long")
     nearer = F.col("crossing") - F.col("budget") < F.col("budget")
