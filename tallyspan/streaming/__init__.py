@@ -1 +1 @@
-
+"""Observations as they arrive."""
