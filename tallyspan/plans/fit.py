@@ -10,11 +10,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspan.functions.likelihood import dot
 from tallyspan.operators import chain as C
 from tallyspan.operators import mixture as M
 from tallyspan.plans.ranks import ranked
@@ -57,6 +57,34 @@ def _sums(obs: DataFrame, columns: list, of) -> np.ndarray:
     return out
 
 
+NEEDED = ("alt_count", "depth", "major_cn", "den", "const")
+
+
+def logliks(alt: np.ndarray, depth: np.ndarray, major: np.ndarray, den: np.ndarray, const: np.ndarray, cps: np.ndarray) -> np.ndarray:
+    """Rows x cps: the log likelihood of prepared rows. cps: one set for all rows, or a row of its own for each."""
+    alt, rest, den, const = (np.asarray(x, float)[:, None] for x in (alt, depth - alt, den, const))
+    cps = np.atleast_2d(cps)
+    out = np.full((len(alt), cps.shape[1]), -np.inf)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for m in range(1, int(major.max(initial=0)) + 1):
+            p = np.minimum(1.0, cps * (m / den))
+            value = np.where(alt == 0, 0.0, alt * np.log(p)) + np.where(rest == 0, 0.0, rest * np.log1p(-p)) + const
+            out = np.where((major >= m)[:, None], np.logaddexp(out, value), out)
+    return out
+
+
+def loglik_array(cps: list[float]) -> Column:
+    """Array column of a prepared row's log likelihoods at fixed fractions. In numpy: a whole grid costs less so than expression by expression."""
+
+    @F.pandas_udf("array<double>")
+    def at(alt: pd.Series, depth: pd.Series, major: pd.Series, den: pd.Series, const: pd.Series) -> pd.Series:
+        columns = [c.to_numpy() for c in (alt, depth, major, den, const)]
+        parts = [logliks(*(c[k : k + 2000] for c in columns), np.array(cps)) for k in range(0, len(alt), 2000)]
+        return pd.Series([row for p in parts for row in p], dtype=object)
+
+    return at(*NEEDED)
+
+
 def _matrix(b: pa.RecordBatch, name: str) -> np.ndarray:
     column = b.column(b.schema.names.index(name))
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
@@ -65,20 +93,30 @@ def _matrix(b: pa.RecordBatch, name: str) -> np.ndarray:
 def pilot(obs: DataFrame, purity: float, points: int = GRID, rounds: int = ROUNDS, gap: float = GAP) -> DataFrame:
     """Prepared observations with pilot, the posterior mean fraction under the grid mixture that fits all of them best.
 
-    Likelihoods on the grid are computed once, in Catalyst, and stored; each round of expectation and maximisation is one pass
+    Likelihoods on the grid are computed once and stored, relative to each row's largest, in single precision; each round of expectation and maximisation is one pass
     that sums `points` numbers a task. The mean log likelihood is within `gap` of its maximum once no grid point's score exceeds 1 by more.
     """
     grid = np.linspace(0.0, purity, points)
-    ready = M.prepared(obs, purity).withColumn("_l", F.transform(F.array(*[F.lit(float(g)) for g in grid]), lambda g: M.loglik(g)))
-    top = F.array_max("_l")
-    ready = store(ready.withColumn("_l", F.transform("_l", lambda v: F.exp(v - top))), "grid", codec="lz4")
+
+    @F.pandas_udf("binary")
+    def relative(alt: pd.Series, depth: pd.Series, major: pd.Series, den: pd.Series, const: pd.Series) -> pd.Series:
+        columns, out = [c.to_numpy() for c in (alt, depth, major, den, const)], []
+        for k in range(0, len(alt), 2000):
+            like = logliks(*(c[k : k + 2000] for c in columns), grid)
+            out += [row.tobytes() for row in np.exp(like - like.max(axis=1, keepdims=True)).astype(np.float32)]
+        return pd.Series(out, dtype=object)
+
+    def matrix(rows) -> np.ndarray:
+        return np.frombuffer(b"".join(rows), np.float32).reshape(-1, points).astype(float)
+
+    ready = store(M.prepared(obs, purity).withColumn("_l", relative(*NEEDED)), "grid", codec="lz4")
     n = ready.agg(F.sum("freq")).first()[0] or 0
     weights = np.full(points, 1.0 / points)
     for _ in range(rounds if n else 0):
         w = weights
 
         def score(b: pa.RecordBatch) -> np.ndarray:
-            like = _matrix(b, "_l")
+            like = matrix(b.column(b.schema.names.index("_l")).to_pylist())
             return (b.column(b.schema.names.index("freq")).to_numpy() / (like @ w)) @ like
 
         s = _sums(ready, ["_l", "freq"], score) / n
@@ -86,9 +124,14 @@ def pilot(obs: DataFrame, purity: float, points: int = GRID, rounds: int = ROUND
             break
         weights = weights * s**1.5  # a longer step than expectation alone; the sum is set right below
         weights /= weights.sum()
-    mean = F.array(*[F.lit(float(w * g)) for w, g in zip(weights, grid, strict=True)])
-    total = F.array(*[F.lit(float(w)) for w in weights])
-    return ready.withColumn("pilot", F.greatest(F.lit(0.0), F.least(F.lit(purity), dot(F.col("_l"), mean) / dot(F.col("_l"), total)))).drop("_l")
+    w = weights
+
+    @F.pandas_udf("double")
+    def mean(rows: pd.Series) -> pd.Series:
+        like = matrix(rows)
+        return pd.Series(np.clip(like @ (w * grid) / (like @ w), 0.0, purity))
+
+    return ready.withColumn("pilot", mean("_l")).drop("_l")
 
 
 def refit(blocks: DataFrame, purity: float, points: int = 65, rounds: int = 3) -> dict[int, tuple[float, float]]:
@@ -97,13 +140,25 @@ def refit(blocks: DataFrame, purity: float, points: int = 65, rounds: int = 3) -
     blocks: prepared observations with freq and block.
     """
     spread, middle, best = purity / 2, {}, {}
+    offsets = np.linspace(-1, 1, points)
     for _ in range(rounds):
-        offsets = F.array(*[F.lit(float(o)) for o in np.linspace(-1, 1, points)])
-        center = F.lit(purity / 2)
-        for b, c in middle.items():
-            center = F.when(F.col("block") == b, F.lit(c)).otherwise(center)
-        cp = F.greatest(F.lit(0.0), F.least(F.lit(purity), center + F.col("o") * spread))
-        scores = blocks.withColumn("o", F.explode(offsets)).withColumn("cp", cp).groupBy("block", "cp").agg(F.sum(F.col("freq") * M.loglik(F.col("cp"))).alias("loglik"))
+        around, width = dict(middle), spread
+
+        def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total: dict[int, np.ndarray] = {}
+            for batch in batches:
+                columns = {n: batch.column(k).to_numpy(zero_copy_only=False) for k, n in enumerate(batch.schema.names)}
+                for block in np.unique(columns["block"]):
+                    mine = np.flatnonzero(columns["block"] == block)
+                    cps = np.clip(around.get(int(block), purity / 2) + offsets * width, 0.0, purity)
+                    for k in range(0, len(mine), 2000):
+                        some = mine[k : k + 2000]
+                        value = columns["freq"][some] @ logliks(*(columns[n][some] for n in NEEDED), cps)
+                        total[int(block)] = total.get(int(block), 0.0) + value
+            rows = [(b, float(c), float(v)) for b, values in total.items() for c, v in zip(np.clip(around.get(b, purity / 2) + offsets * width, 0.0, purity), values, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.float64(), pa.float64()))], names=["block", "cp", "v"])
+
+        scores = blocks.select("block", "freq", *NEEDED).mapInArrow(sums, "block long, cp double, v double").groupBy("block", "cp").agg(F.sum("v").alias("loglik"))
         best = {r["block"]: (r["cp"], r["loglik"]) for r in M.best_on_grid(scores, ("block",)).collect()}
         middle = {b: c for b, (c, _) in best.items()}
         spread *= 2.5 / (points - 1)
@@ -112,8 +167,7 @@ def refit(blocks: DataFrame, purity: float, points: int = 65, rounds: int = 3) -
 
 def mixture_weights(obs: DataFrame, centers: list[float], start: list[float], rounds: int = 25, gap: float = 1e-5) -> tuple[list[float], float]:
     """(weights, log likelihood) at fixed centers. The likelihoods are stored once; the log likelihood is within n * gap of its maximum."""
-    terms = F.array(*[M.loglik(F.lit(c)) for c in centers])
-    ready = store(obs.select("freq", terms.alias("t")).withColumn("top", F.array_max("t")).withColumn("t", F.transform("t", lambda v: F.exp(v - F.col("top")))), "weights", codec="lz4")
+    ready = store(obs.select("freq", loglik_array(centers).alias("t")).withColumn("top", F.array_max("t")).withColumn("t", F.transform("t", lambda v: F.exp(v - F.col("top")))), "weights", codec="lz4")
     weights = np.array(start, float) / sum(start)
     value = 0.0
     for _ in range(rounds):
@@ -147,8 +201,8 @@ def partition(chain: DataFrame, purity: float, k: int, cuts: list[int], rounds:
             break
         before = conditional
         # minus infinity has no place in sums: a score that low is never chosen over a finite one
-        scores = [F.greatest(M.loglik(F.lit(c)), F.lit(-1e12)) for c in centers]
-        _, found = C.best_blocks(chain, scores, F.col("freq"))
+        scores = [F.greatest(F.col("_s")[j], F.lit(-1e12)) for j in range(k)]
+        _, found = C.best_blocks(chain.withColumn("_s", loglik_array(centers)), scores, F.col("freq"))
         if found == cuts or len({*found, 0}) < k:
             break
         cuts = found
