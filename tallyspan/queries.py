@@ -120,7 +120,7 @@ def row_loglik(spark, sf_dir):
     return M.row_loglik(_retained(spark, sf_dir), PURITY, CP).select("original_row", F.round("loglik", 4).alias("loglik"))
 
 
-_GRID_OBS = f"{_POST}, grid AS (SELECT unnest({GRID}) AS cp), og AS (SELECT obs.*, cp FROM obs, grid)," + _kernel_sql("cp", "og", "original_row, cp")
+_GRID_OBS = f"{_POST}, grid AS (SELECT unnest({GRID}::DOUBLE[]) AS cp), og AS (SELECT obs.*, cp FROM obs, grid)," + _kernel_sql("cp", "og", "original_row, cp")
 
 
 @query("SELECT cp, round(sum(loglik), 2) AS loglik FROM ll GROUP BY cp", _GRID_OBS)
@@ -146,7 +146,7 @@ def multiplicity_calls(spark, sf_dir):
     return c.select("original_row", "multiplicity", F.round("expected_multiplicity", 4).alias("expected_multiplicity"), F.round("multiplicity_probability", 4).alias("multiplicity_probability"))
 
 
-_MIX = f"""{_POST}, comp AS (SELECT unnest(range(0, {len(CENTERS)})) AS k, unnest({CENTERS}) AS c, unnest({WEIGHTS}) AS w),
+_MIX = f"""{_POST}, comp AS (SELECT unnest(range(0, {len(CENTERS)})) AS k, unnest({CENTERS}::DOUBLE[]) AS c, unnest({WEIGHTS}::DOUBLE[]) AS w),
 og AS (SELECT obs.*, k, c FROM obs, comp),""" + _kernel_sql("c", "og", "original_row, k") + f""",
 term AS (SELECT original_row, k, ln(w) + loglik AS t FROM ll JOIN comp USING (k)),
 mix AS (SELECT original_row, m + ln(sum(exp(t - m))) AS mix FROM term JOIN (SELECT original_row, max(t) AS m FROM term GROUP BY 1) USING (original_row) GROUP BY original_row, m),
