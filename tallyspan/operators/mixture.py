@@ -85,7 +85,7 @@ def best_component(member: Column = None) -> Column:
 
 def posterior_clusters(member: DataFrame, centers: list[float], weights: list[float], purity: float) -> DataFrame:
     """Per component: fraction, expected and assigned numbers, and what the weights would give."""
-    parts = member.select("freq", F.posexplode("member").alias("cluster_index", "share"), best_component().alias("best"))
+    parts = member.select("freq", "member", best_component().alias("best")).select("freq", "best", F.posexplode("member").alias("cluster_index", "share"))
     sums = parts.groupBy("cluster_index").agg(F.sum(F.col("freq") * F.col("share")).alias("expected_n"), F.sum(F.when(F.col("best") == F.col("cluster_index"), F.col("freq")).otherwise(0)).alias("map_n"), F.sum("freq").alias("n"))
     at = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("cluster_index") + 1)
     out = sums.select(F.col("cluster_index").cast("long").alias("cluster_index"), at(centers).alias("cellular_prevalence"), (at(centers) / purity).alias("cancer_cell_fraction"), at(weights).alias("mixture_weight"), "expected_n", F.col("map_n").cast("long").alias("map_n"), (at(weights) * F.col("n")).alias("fitted_n"))

@@ -40,6 +40,11 @@ def _ledger(spark, sf_dir):
     return ledger.ledger(X.points(spark, sf_dir), X.segments(spark, sf_dir))
 
 
+def _or_none(name):
+    """-1 for null, so that tables of whole numbers compare as such."""
+    return F.coalesce(F.col(name), F.lit(-1).cast("long")).alias(name)
+
+
 def _retained(spark, sf_dir):
     return ledger.retained(_ledger(spark, sf_dir))
 
@@ -65,14 +70,14 @@ def ledger_reason_counts(spark, sf_dir):
     return ledger.reason_counts(_ledger(spark, sf_dir))
 
 
-@query("SELECT original_row, segment_id FROM led")
+@query("SELECT original_row, coalesce(segment_id, -1) AS segment_id FROM led")
 def interval_join_bucketed(spark, sf_dir):
-    return intervals.joined(X.points(spark, sf_dir), X.segments(spark, sf_dir)).select("original_row", "segment_id")
+    return intervals.joined(X.points(spark, sf_dir), X.segments(spark, sf_dir)).select("original_row", _or_none("segment_id"))
 
 
-@query("SELECT original_row, segment_id FROM led")
+@query("SELECT original_row, coalesce(segment_id, -1) AS segment_id FROM led")
 def interval_join_ordered(spark, sf_dir):
-    return intervals.joined_in_order(X.points(spark, sf_dir), X.segments(spark, sf_dir)).select("original_row", "segment_id")
+    return intervals.joined_in_order(X.points(spark, sf_dir), X.segments(spark, sf_dir)).select("original_row", _or_none("segment_id"))
 
 
 @query("SELECT segment_id, before FROM (SELECT *, max(e_pos) OVER (PARTITION BY c_chrom ORDER BY s_pos, e_pos, segment_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM wide) WHERE s_pos <= before",
@@ -82,9 +87,9 @@ def overlap_violations(spark, sf_dir):
     return intervals.overlaps(wide).select("segment_id", "before")
 
 
-@query("SELECT original_row, mutation_id, chrom, pos, alt_count, ref_count, segment_id, reason, CASE WHEN reason = 'retained' THEN 'retained' ELSE 'excluded' END AS status FROM led")
+@query("SELECT original_row, mutation_id, chrom, pos, alt_count, ref_count, coalesce(segment_id, -1) AS segment_id, reason, CASE WHEN reason = 'retained' THEN 'retained' ELSE 'excluded' END AS status FROM led")
 def ledger_full(spark, sf_dir):
-    return _ledger(spark, sf_dir).select("original_row", "mutation_id", "chrom", "pos", "alt_count", "ref_count", "segment_id", "reason", "status")
+    return _ledger(spark, sf_dir).select("original_row", "mutation_id", "chrom", "pos", "alt_count", "ref_count", _or_none("segment_id"), "reason", "status")
 
 
 @query("SELECT original_row, mutation_id, chrom, pos, alt_count, ref_count, depth, major_cn, minor_cn, total_cn, segment_id AS matched_segment_id FROM ret")
