@@ -85,8 +85,12 @@ def best_component(member: Column = None) -> Column:
 
 def posterior_clusters(member: DataFrame, centers: list[float], weights: list[float], purity: float) -> DataFrame:
     """Per component: fraction, expected and assigned numbers, and what the weights would give."""
-    parts = member.select("freq", "member", best_component().alias("best")).select("freq", "best", F.posexplode("member").alias("cluster_index", "share"))
-    sums = parts.groupBy("cluster_index").agg(F.sum(F.col("freq") * F.col("share")).alias("expected_n"), F.sum(F.when(F.col("best") == F.col("cluster_index"), F.col("freq")).otherwise(0)).alias("map_n"), F.sum("freq").alias("n"))
+    # summed as columns: exploding the shares would compute them anew for each
+    best, f = F.col("best"), F.col("freq")
+    wide = member.select("freq", "member", best_component().alias("best")).agg(
+        F.array(*[F.sum(f * F.col("member")[k]) for k in range(len(centers))]).alias("expected"), F.array(*[F.sum(F.when(best == k, f).otherwise(0)) for k in range(len(centers))]).alias("assigned"), F.sum(f).alias("n")
+    )
+    sums = wide.select("n", "assigned", F.posexplode("expected").alias("cluster_index", "expected_n")).withColumn("map_n", F.element_at("assigned", F.col("cluster_index") + 1))
     at = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("cluster_index") + 1)
     out = sums.select(F.col("cluster_index").cast("long").alias("cluster_index"), at(centers).alias("cellular_prevalence"), (at(centers) / purity).alias("cancer_cell_fraction"), at(weights).alias("mixture_weight"), "expected_n", F.col("map_n").cast("long").alias("map_n"), (at(weights) * F.col("n")).alias("fitted_n"))
     return out
@@ -94,8 +98,8 @@ def posterior_clusters(member: DataFrame, centers: list[float], weights: list[fl
 
 def flow(member: DataFrame, label: Column, q: int) -> DataFrame:
     """Summed shares by chain label and component; pairs without rows are 0."""
-    parts = member.select(label.cast("long").alias("chain_cluster_index"), "freq", F.posexplode("member").alias("posterior_cluster_index", "share"))
-    sums = parts.groupBy("chain_cluster_index", F.col("posterior_cluster_index").cast("long").alias("posterior_cluster_index")).agg(F.sum(F.col("freq") * F.col("share")).alias("expected_n"))
+    wide = member.groupBy(label.cast("long").alias("chain_cluster_index")).agg(F.array(*[F.sum(F.col("freq") * F.col("member")[k]) for k in range(q)]).alias("s"))
+    sums = wide.select("chain_cluster_index", F.posexplode("s").alias("p", "expected_n")).select("chain_cluster_index", F.col("p").cast("long").alias("posterior_cluster_index"), "expected_n")
     spark = member.sparkSession
     every = spark.range(q).select(F.col("id").alias("chain_cluster_index")).withColumn("posterior_cluster_index", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q - 1).cast("long"))))
     return every.join(sums, ["chain_cluster_index", "posterior_cluster_index"], "left").select("chain_cluster_index", "posterior_cluster_index", F.coalesce("expected_n", F.lit(0.0)).alias("expected_n"))
