@@ -19,6 +19,7 @@ and a class of null ids only has a null class id.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -232,23 +233,31 @@ def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: i
 
 # -- near copies by similarity ---------------------------------------------------------------------------------
 
-#: Words of a wide fingerprint, and the differing bits up to which two of them count as near copies: about a similarity
-#: of 0.8 on five-word shingles, where one word in forty-five differs.
+#: Words of a shingle. Two texts are near copies if the sets of their shingles have a Jaccard similarity of NEAR or more.
+NEAR_WIDTH, NEAR = 5, (4, 5)
+#: Words of a wide fingerprint, and the differing bits up to which two of them are candidates. At a similarity of 0.8 about 39 of
+#: the 256 bits differ, 48 on texts of four and five shingles, with a deviation of 6; of unlike texts 128. The similarity itself decides.
 WIDE = 4
-NEAR_BITS = 32
+NEAR_BITS = 80
 #: Position sets of the wide index: three bytes each.
 TRIPLES = [tuple((i + k) % (8 * WIDE) for k in shape) for shape in ((0, 1, 2), (0, 5, 13)) for i in range(8 * WIDE)]
+#: Further lists of the index, of texts with the same least shingles in MINIMA orders: two texts of similarity s miss all with probability (1 - s**MINIMA)**LISTS, 3e-5 at 0.8.
+LISTS, MINIMA = 20, 4
+_SALTS = mixed(np.arange(1, LISTS * MINIMA + 1, dtype=np.uint64))
+_FACTORS = mixed(_SALTS, 7) | np.uint64(1)
 
 
-def wide_fingerprint(text: bytes | None, width: int = 3) -> np.ndarray:
-    """WIDE words of SimHash over a text's word shingles; zeros for a text without words."""
+def shingle_set(text: bytes | None, width: int = NEAR_WIDTH) -> np.ndarray:
+    """Rising hashes of a text's distinct word shingles; a text with fewer words is one shingle."""
     raw = (text or b"").lower()
     h = word_hashes(raw, *places(raw, NOT_SPACE))
-    if not len(h):
-        return np.zeros(WIDE, np.uint64)
-    shingles = rolled(h, min(width, len(h)))
+    return np.unique(rolled(h, min(width, len(h)))) if len(h) else h
+
+
+def wide_fingerprint(shingles: np.ndarray) -> np.ndarray:
+    """WIDE words of SimHash over a set of shingles; zeros for an empty one."""
     out = np.zeros(WIDE, np.uint64)
-    for w in range(WIDE):
+    for w in range(WIDE if len(shingles) else 0):
         ones = np.zeros(64, np.int64)
         for k in range(0, len(shingles), 65536):
             bits = mixed(shingles[k : k + 65536], 0x2545F4914F6CDD1D * (w + 1) % (1 << 64)).view(np.uint8).reshape(-1, 8)
@@ -257,24 +266,63 @@ def wide_fingerprint(text: bytes | None, width: int = 3) -> np.ndarray:
     return out
 
 
-def _compare(bits: int):
-    """Runs over (key columns, id, raw) in list order: links (a, b) of ids within each list, thinned to a forest."""
+def least_keys(shingles: np.ndarray) -> np.ndarray:
+    """LISTS keys, each of the least shingles in MINIMA orders."""
+    low = np.full(LISTS * MINIMA, (1 << 64) - 1, np.uint64)
+    for k in range(0, len(shingles), 4096):
+        low = np.minimum(low, ((shingles[k : k + 4096, None] ^ _SALTS) * _FACTORS).min(axis=0))
+    out = np.zeros(LISTS, np.uint64)
+    for column in low.reshape(LISTS, MINIMA).T:
+        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + column)
+    return out.view(np.int64)
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets of shingles have a Jaccard similarity of NEAR or more."""
+    both = np.sort(np.concatenate([a, b]))
+    common = int((both[1:] == both[:-1]).sum())
+    return NEAR[1] * common >= NEAR[0] * (len(both) - common)
+
+
+def similar_links(fps: np.ndarray, sets: list[np.ndarray], lists: np.ndarray, bits: int = NEAR_BITS) -> tuple[np.ndarray, np.ndarray]:
+    """As list_links, but pairs are linked if their sets are similar. Pairs that are connected already are not compared."""
+    n, off, root = len(fps), 1, np.arange(len(fps))
+    size = np.array([len(s) for s in sets], np.int64)
+    left = np.arange(n - 1)
+    while len(left := left[left + off < n]) and len(left := left[lists[left] == lists[left + off]]):
+        some = left[root[left] != root[left + off]]
+        a, b = size[some], size[some + off]
+        some = some[NEAR[1] * np.minimum(a, b) >= NEAR[0] * np.maximum(a, b)]
+        some = some[np.bitwise_count(fps[some] ^ fps[some + off]).sum(axis=1, dtype=np.int64) <= bits]
+        good = np.array([k for k in some.tolist() if similar(sets[k], sets[k + off])], np.int64)
+        if len(good):
+            root = _forest(root[good], root[good + off], n)[root]
+        off += 1
+    at = np.flatnonzero(root != np.arange(n))
+    return at, root[at]
+
+
+def _compare(bits: int, keys: int, exact: bool):
+    """Runs over (`keys` key columns, id, raw) in list order: links (a, b) of ids within each list, thinned to a forest. exact: by the column shingles, not by bits only."""
 
     def links_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
 
         def closed(t: pa.Table) -> pa.RecordBatch:
-            key = np.stack([c.to_numpy() for c in t.columns[:4]])
+            key = np.stack([c.to_numpy() for c in t.columns[:keys]])
             lists = np.cumsum(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(axis=0)])) - 1
             ids = t.column("id").to_numpy()
             fps = np.frombuffer(b"".join(t.column("raw").to_pylist()), np.uint64).reshape(-1, WIDE)
-            a, b = list_links(fps, lists, bits, 3)
+            if exact:
+                a, b = similar_links(fps, [np.frombuffer(s, np.uint64) for s in t.column("shingles").to_pylist()], lists, bits)
+            else:
+                a, b = list_links(fps, lists, bits, 0)
             return pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], names=["a", "b"])
 
         for batch in batches:
             t = pa.Table.from_batches([batch])
             t = t if rest is None else pa.concat_tables([rest, t])
-            key = np.stack([c.to_numpy() for c in t.columns[:4]])
+            key = np.stack([c.to_numpy() for c in t.columns[:keys]])
             last = int(np.flatnonzero((key != key[:, -1:]).any(axis=0)).max(initial=-1)) + 1 if t.num_rows else 0
             if last:
                 yield closed(t.slice(0, last))
@@ -285,26 +333,53 @@ def _compare(bits: int):
     return links_of
 
 
-def near_links(own: DataFrame, bits: int = NEAR_BITS, longest: int = LIST) -> DataFrame:
-    """Links (a, b) between ids whose wide fingerprints (id, raw: WIDE words as binary) share a list and differ in at most `bits` bits.
+def _blocked(members: DataFrame, by: list[str], longest: int) -> DataFrame:
+    """(by, x, y, id): members (by, id, n: of how many) of each list. One longer than `longest` is cut into blocks, and each two blocks are a list of their own, x and y."""
+    zero = F.lit(0).cast("long")
+    short = members.where(F.col("n") <= longest).select(*by, zero.alias("x"), zero.alias("y"), "id")
+    blocks = F.ceil(F.col("n") / (longest // 2)).cast("long")
+    mine = F.pmod(F.xxhash64("id", by[0]), blocks)
+    long = members.where(F.col("n") > longest).select(*by, "id", mine.alias("mine"), F.explode(F.sequence(zero, blocks - 1)).alias("other"))
+    return short.unionByName(long.where("mine <> other").select(*by, F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "id"))
+
 
-    At such distances no number of shared bytes is guaranteed, so the index finds pairs with a probability: about 0.97 at a
-    similarity of 0.8 and over 0.99 from 0.85. A list longer than `longest` is cut into blocks, and each two blocks are
-    compared in a task of their own, so no list has to fit one task and no pair of it is lost.
+def candidate_links(own: DataFrame, bits: int = NEAR_BITS, longest: int = LIST) -> DataFrame:
+    """Links (a, b) between ids (id, raw: WIDE words as binary, least: keys) that share a list and differ in at most `bits` bits.
+
+    The lists are of three bytes of the fingerprint, and of equal least shingles. A list longer than `longest` is cut into blocks, and
+    each two blocks are compared in a task of their own, so no list has to fit one task and no pair of it is lost.
     """
     key = lambda three: F.conv(F.hex(F.concat(*[F.substring("raw", p + 1, 1) for p in three])), 16, 10).cast("long")
-    lists = F.array(*[F.struct(F.lit(k).cast("long").alias("sig"), key(three).alias("key")) for k, three in enumerate(TRIPLES)])
+    named = lambda sig, key: F.struct(sig.cast("long").alias("sig"), key.alias("key"))
+    lists = F.concat(F.array(*[named(F.lit(k), key(three)) for k, three in enumerate(TRIPLES)]), F.transform("least", lambda v, k: named(k + len(TRIPLES), v)))
     postings = own.select("id", F.explode(lists).alias("s")).select("s.sig", "s.key", "id")
     sizes = postings.groupBy("sig", "key").agg(F.count("*").alias("n")).where("n > 1")
     members = store(postings.join(sizes, ["sig", "key"]), "members")
-    short = members.where(F.col("n") <= longest).select("sig", "key", F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y"), "id")
-    blocks = F.ceil(F.col("n") / (longest // 2)).cast("long")
-    mine = F.pmod(F.xxhash64("id", "sig"), blocks)
-    long = members.where(F.col("n") > longest).select("sig", "key", "id", mine.alias("mine"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
-    long = long.where("mine <> other").select("sig", "key", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "id")
-    every = short.unionByName(long).join(own, "id").select("sig", "key", "x", "y", "id", "raw")
     at = ("sig", "key", "x", "y")
-    return every.repartition(*at).sortWithinPartitions(*at).mapInArrow(_compare(bits), "a long, b long")
+    every = _blocked(members, ["sig", "key"], longest).join(own.select("id", "raw"), "id").select(*at, "id", "raw")
+    return every.repartition(*at).sortWithinPartitions(*at).mapInArrow(_compare(bits, len(at), False), "a long, b long")
+
+
+def near_links(own: DataFrame, texts: DataFrame, bits: int = NEAR_BITS, longest: int = LIST) -> DataFrame:
+    """Links (a, b) between ids of own (id, raw, least, first) whose texts are near copies, with the components of all such pairs that the index connects.
+
+    Candidates connect ids to groups. All texts of a group are compared by their shingles, so a candidate that fails takes no pair with
+    it. A group longer than `longest` is cut into blocks like a list. texts: (first, text).
+    """
+
+    @F.pandas_udf("binary")
+    def shingles(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingle_set(t).tobytes() for t in texts], dtype=object)
+
+    group = store(components(store(candidate_links(own, bits, longest), "near")), "groups")
+    sizes = group.groupBy("component").agg(F.count("*").alias("n"))
+    members = group.withColumnRenamed("node", "id").join(sizes, "component")
+    where = group.select(F.col("node").alias("id")).join(own.select("id", "raw", "first"), "id")
+    # rows of one id and text are one document
+    sets = texts.join(where, "first").groupBy("id").agg(F.first("raw").alias("raw"), F.first("text").alias("text")).select("id", "raw", shingles(F.col("text").cast("binary")).alias("shingles"))
+    at = ("component", "x", "y")
+    every = _blocked(members, ["component"], longest).join(store(sets, "shingles"), "id").select(*at, "id", "raw", "shingles")
+    return every.repartition(*at).sortWithinPartitions(*at).mapInArrow(_compare(bits, len(at), True), "a long, b long")
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bits: int = NEAR_BITS) -> DataFrame:
@@ -313,14 +388,18 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bi
     Of rows that share that id and text one stays. A null id counts as larger than all others.
     """
 
-    @F.pandas_udf("binary")
-    def wide(texts: pd.Series) -> pd.Series:
-        return pd.Series([wide_fingerprint(t).tobytes() for t in texts], dtype=object)
+    @F.pandas_udf("key binary, raw binary, least array<long>")
+    def sketch(texts: pd.Series) -> pd.DataFrame:
+        sets = [shingle_set(t) for t in texts]
+        keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+        return pd.DataFrame({"key": keys, "raw": [wide_fingerprint(s).tobytes() for s in sets], "least": [least_keys(s) for s in sets]})
 
     row, order = F.struct(*docs.columns), F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1))
-    slim = store(docs.select(order.alias("doc"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("t"), wide(F.col(text).cast("binary")).alias("raw")), "wide")
-    own = store(slim.groupBy("raw").agg(F.min(F.struct("doc", "t")).alias("first")).select(F.xxhash64("raw").alias("id"), "raw", "first"), "distinct")
-    of = components(store(near_links(own.select("id", "raw"), bits), "near"))
+    first = F.struct(order.alias("doc"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("t"))
+    slim = store(docs.select(first.alias("first"), sketch(F.col(text).cast("binary")).alias("s")).select("first", "s.*"), "wide")
+    own = slim.groupBy("key").agg(F.min("first").alias("first"), F.first("raw").alias("raw"), F.first("least").alias("least"))
+    own = store(own.select(F.xxhash64("key").alias("id"), "raw", "least", "first"), "distinct")
+    of = components(store(near_links(own, docs.select(first.alias("first"), F.col(text).alias("text")), bits), "near"))
     named = own.join(of.withColumnRenamed("node", "id"), "id", "left").select(F.coalesce("component", "id").alias("component"), "first")
     stay = named.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.doc").alias("_doc"), F.col("first.t").alias("_t"))
     rows = docs.select(row.alias("_row"), order.alias("_doc"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_t"))

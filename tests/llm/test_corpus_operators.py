@@ -113,6 +113,45 @@ def test_near_dedup(frame, longest, monkeypatch):
     assert simhash.deduplicated(frame([])).collect() == []
 
 
+def jaccard(a, b):
+    a, b = ({tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_near_dedup_at_the_threshold(frame):
+    """Pairs a little over 0.8 lose a side, pairs a little under it do not, whichever way they were edited."""
+    rng, docs, near = random.Random(5), [], {}
+
+    def edited(w, kind, n):
+        fresh = words(rng, n, 5000)
+        if kind == "appended":
+            return w + fresh
+        if kind == "block":
+            return w[:50] + fresh + w[50 + n :]
+        w = list(w)
+        for k, at in enumerate(rng.sample(range(len(w)), n)):
+            w[at] = fresh[k]
+        return w
+
+    for kind, over, under in (("appended", 49, 60), ("block", 17, 28), ("scattered", 4, 7)):
+        for k in range(60):
+            w = words(rng, 200, 5000)
+            n, base = (over, under)[k % 2], len(docs)
+            other = edited(w, kind, n)
+            docs += [(base, " ".join(w)), (base + 1, " ".join(other))]
+            near[base + 1] = kind, jaccard(w, other) >= 0.8
+    assert {kind: {v for q, v in near.values() if q == kind} for kind, _ in near.values()} == dict.fromkeys(("appended", "block", "scattered"), {True, False})
+    stay = {r["doc_id"] for r in simhash.deduplicated(frame(docs)).select("doc_id").collect()}
+    assert {k: k not in stay for k in near} == {k: v for k, (_, v) in near.items()} and all(k in stay for k in range(0, len(docs), 2))
+
+
+def test_near_dedup_repeats(frame):
+    """A line that is repeated often fills the counts of a fingerprint, but is a few shingles only."""
+    rng = random.Random(6)
+    docs = [(k, " ".join(["x"] * 4000 + words(rng, 60, 5000))) for k in range(6)]
+    assert simhash.deduplicated(frame(docs)).count() == 6
+
+
 def sql(query, docs):
     c = duckdb.connect()
     c.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
