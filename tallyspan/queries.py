@@ -349,9 +349,9 @@ def pilot_cp(spark, sf_dir):
     return P.pilot(M.observations(_retained(spark, sf_dir)), PURITY).select(*M.KEY, "freq", F.round("pilot", 6).alias("pilot"))
 
 
-def _published(spark, sf_dir, most=3):
+def _published(spark, sf_dir):
     rows = store(_retained(spark, sf_dir), "retained")
-    chain, found = P.fits(rows, PURITY, most)
+    chain, found = P.fits(rows, PURITY)
     return P.tables(rows, chain, P.best(found), PURITY)
 
 
@@ -363,7 +363,7 @@ def fit_clusters(spark, sf_dir):
 @query()
 def cluster_table_checks(spark, sf_dir):
     """Broken rules of freshly fitted tables: all 0."""
-    t = _published(spark, sf_dir, 2)
+    t = _published(spark, sf_dir)
     return checks.cluster_rules(store(t["clusters"], "clusters"), store(t["mutations"], "mutations"), PURITY)
 
 

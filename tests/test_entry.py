@@ -42,3 +42,17 @@ def test_imports_without_optional_parts(tmp_path):
     root = os.path.dirname(entry.__file__)
     code = "import sys; sys.modules['tallyspan.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; q = e.queries(); assert q and not any(n.startswith('op') or n == 'pipeline' for n in q); assert e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=120)
+
+
+@pytest.mark.parametrize("name", ["fit_clusters", "cluster_table_checks"])
+def test_queries_fit_all_numbers_of_clusters(spark, monkeypatch, name):
+    asked = []
+
+    def fits(rows, purity, most=own.P.MOST_CLUSTERS):
+        asked.append(most)
+        raise InterruptedError
+
+    monkeypatch.setattr(own.P, "fits", fits)
+    with pytest.raises(InterruptedError):
+        own.queries()[name](spark, SF)
+    assert asked == [own.P.MOST_CLUSTERS] == [10]
