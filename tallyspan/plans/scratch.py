@@ -10,9 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; an own temporary one where that is unset (local runs)."""
+    """The folder named by spark.checkpoint.dir; an own temporary one where that is unset and driver and executors are one process.
+
+    On a cluster an executor would write to its own disk and rows would be lost, so an unset folder is refused there.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-tallyspan-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -37,6 +43,11 @@ def remove(spark: SparkSession, path: str) -> None:
 
 def store(df: DataFrame, name: str = "step", codec: str = "zstd") -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: lineage ends there, and no executor's loss harms it."""
+    return stored(df, name, codec)[0]
+
+
+def stored(df: DataFrame, name: str = "step", codec: str = "zstd") -> tuple[DataFrame, str]:
+    """store(), and the table's path, for remove() once nothing reads it any more."""
     path = new_path(df.sparkSession, name)
     df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
