@@ -5,37 +5,44 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspan.plans.scratch import store
+from tallyspan.llm.hot import with_hubs
+from tallyspan.plans.scratch import remove, store, stored
 
 
-def _minima(links: DataFrame) -> DataFrame:
-    """Per node its smallest neighbour. Summed up before the shuffle, so a hub is one row per task."""
-    return links.groupBy("u").agg(F.min("v").alias("m"))
+def _handed_on(links: DataFrame, total: int) -> DataFrame:
+    """links (u, v) with m, the smallest v of u. A hub's links are summed up before the shuffle and then stay where they are."""
+    minima = links.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    return with_hubs(links, minima, "u", "n", total).drop("n")
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of links (a, b), component being its smallest node.
 
     Star contraction: in turn, each node hands its larger and then its smaller neighbours to the smallest node
-    around it, until every component is a star. Each round is written to the shared folder. A round's joins are
-    of links with one row per node; a hub's links can be split over tasks. Links of a node to itself are
-    allowed; ids must not be null.
+    around it, until every component is a star: no node has two smaller neighbours, and none both a smaller and a larger one. Each round is
+    written to the shared folder and the round before is deleted. Nodes may be of any type with an order and must not be null. Links of a node
+    to itself are allowed, an empty table has no components.
     """
-    now = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    loops, now = now.where("u = v").select("u"), store(now.where("u > v"), "links")
-    before = None
-    for _ in range(most_rounds):
+    spark, (all_links, made) = links.sparkSession, stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    loops, now = all_links.where("u = v").select("u"), all_links.where("u > v")
+    total, old = now.count(), None
+    for _ in range(most_rounds if total else 0):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(_minima(both).select("u", F.least("u", "m").alias("m")), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        large = store(large, "links")
-        small = large.join(_minima(large), "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        now = store(small, "links")
-        # settled: the same links as after the last round, told by their number and a sum of 128 bits of hashes
-        wide = lambda seed: F.sum(F.xxhash64(F.lit(seed), "u", "v").cast("decimal(20,0)"))
-        after = now.agg(F.count("*"), wide(1), wide(2)).first()
-        if after == before or not after[0]:
+        large = _handed_on(both, 2 * total).withColumn("m", F.least("u", "m")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        large, path = stored(large, "links")
+        if old:
+            remove(spark, old)
+        total = large.count()
+        small = _handed_on(large, total).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        now, old = stored(small, "links")
+        remove(spark, path)
+        total = now.count()
+        # per node how many smaller neighbours it has, plus 2 if it has a larger one: a star has 1 and 2 only
+        sides = now.select(F.col("u").alias("x"), F.lit(1).alias("k")).unionByName(now.select(F.col("v").alias("x")).distinct().withColumn("k", F.lit(2)))
+        if sides.groupBy("x").agg(F.sum("k").alias("k")).where("k > 2").isEmpty():
             break
-        before = after
     else:
-        raise RuntimeError("components did not settle")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).unionByName(loops.select(F.col("u").alias("node"), F.col("u").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
+        if total:
+            raise RuntimeError("components did not settle")
+    found = now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")))
+    return store(found.unionByName(loops.select(F.col("u").alias("node"), F.col("u").alias("component"))).groupBy("node").agg(F.min("component").alias("component")), "components")

@@ -27,11 +27,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspan.llm.components import components
 from tallyspan.llm.hashing import NOT_SPACE, mixed, places, rolled, word_hashes
+from tallyspan.llm.hot import HUBS, with_hubs
 from tallyspan.plans.scratch import store
 
 SEED = 42
@@ -210,20 +211,27 @@ def links(fps: DataFrame, bits: int = BITS, longest: int = LIST) -> DataFrame:
     """Links (a, b) between distinct fingerprints (column fp) with the same components as all pairs of at most `bits` differing bits."""
     if not 0 <= bits <= BITS:
         raise ValueError("the index guarantees shared bytes up to 3 bits")
-    found = _postings(fps).repartition("sig", "key").sortWithinPartitions("sig", "key", "fp").mapInArrow(_in_lists(bits, longest), "a long, b long, sig long, key long")
+    postings, total = _postings(fps), len(SIGNATURES) * fps.count()
+    # lists with a large share of all postings, fewer than HUBS, are known before anything is dealt by list
+    huge = postings.groupBy("sig", "key").agg(F.count("*").alias("n")).where(F.col("n") > max(longest, total // HUBS))
+    huge = F.broadcast(store(huge.select("sig", "key"), "huge"))
+    rest = postings.join(huge, ["sig", "key"], "left_anti")
+    found = rest.repartition("sig", "key").sortWithinPartitions("sig", "key", "fp").mapInArrow(_in_lists(bits, longest), "a long, b long, sig long, key long")
     found = store(found, "links")
     short, long = found.where("sig < 0").select("a", "b"), found.where("sig >= 0").select("sig", "key", F.col("a").alias("fp"))
+    long = long.unionByName(postings.join(huge, ["sig", "key"]).select(F.col("sig").cast("long"), "key", "fp"))
     return short if long.isEmpty() else short.unionByName(hub_links(long, bits))
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, bits: int = BITS, longest: int = LIST) -> DataFrame:
     """(doc_id, fp, component_id) for every row of docs: the smallest id that links reach."""
     rows = store(fingerprints(docs, doc_id, text, width), "fingerprints")
-    own = store(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    own = store(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct")
     of = components(links(own.select("fp"), bits, longest)).withColumnRenamed("node", "fp")
-    named = own.join(of, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    return rows.join(named.select("fp", "component").join(ids, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    named = store(own.join(of, "fp", "left").withColumn("component", F.coalesce("component", "fp")), "named")
+    ids = named.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
+    table = with_hubs(named.select("fp", "component", "n"), ids, "component", "members", named.count()).select("fp", "component_id", "n")
+    return with_hubs(rows, store(table, "classes"), "fp", "n", rows.count()).select("doc_id", "fp", "component_id")
 
 
 def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, bits: int = BITS) -> DataFrame:
@@ -243,6 +251,8 @@ NEAR_BITS = 80
 TRIPLES = [tuple((i + k) % (8 * WIDE) for k in shape) for shape in ((0, 1, 2), (0, 5, 13)) for i in range(8 * WIDE)]
 #: Further lists of the index, of texts with the same least shingles in MINIMA orders: two texts of similarity s miss all with probability (1 - s**MINIMA)**LISTS, 3e-5 at 0.8.
 LISTS, MINIMA = 20, 4
+#: Shingles that at most FEW of the compared sets hold are counted pair by pair; matrices of the others have COLUMNS columns.
+FEW, COLUMNS = 16, 1024
 _SALTS = mixed(np.arange(1, LISTS * MINIMA + 1, dtype=np.uint64))
 _FACTORS = mixed(_SALTS, 7) | np.uint64(1)
 
@@ -277,28 +287,50 @@ def least_keys(shingles: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether two sets of shingles have a Jaccard similarity of NEAR or more."""
-    both = np.sort(np.concatenate([a, b]))
-    common = int((both[1:] == both[:-1]).sum())
-    return NEAR[1] * common >= NEAR[0] * (len(both) - common)
+def common_shingles(sets: list[np.ndarray]) -> np.ndarray:
+    """For each two of up to some thousand sets (sorted, distinct) how many members they share: a matrix.
 
-
-def similar_links(fps: np.ndarray, sets: list[np.ndarray], lists: np.ndarray, bits: int = NEAR_BITS) -> tuple[np.ndarray, np.ndarray]:
-    """As list_links, but pairs are linked if their sets are similar. Pairs that are connected already are not compared."""
-    n, off, root = len(fps), 1, np.arange(len(fps))
-    size = np.array([len(s) for s in sets], np.int64)
-    left = np.arange(n - 1)
-    while len(left := left[left + off < n]) and len(left := left[lists[left] == lists[left + off]]):
-        some = left[root[left] != root[left + off]]
-        a, b = size[some], size[some + off]
-        some = some[NEAR[1] * np.minimum(a, b) >= NEAR[0] * np.maximum(a, b)]
-        some = some[np.bitwise_count(fps[some] ^ fps[some + off]).sum(axis=1, dtype=np.int64) <= bits]
-        good = np.array([k for k in some.tolist() if similar(sets[k], sets[k + off])], np.int64)
-        if len(good):
-            root = _forest(root[good], root[good + off], n)[root]
-        off += 1
-    at = np.flatnonzero(root != np.arange(n))
+    Shingles of few sets are counted pair by pair along the sorted shingles, those of many by products of 0/1 matrices.
+    """
+    n, size = len(sets), [len(s) for s in sets]
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(n), size)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])) if len(flat) else np.zeros(0, np.int64)
+    held = np.diff(np.append(first, len(flat)))
+    total = np.zeros(n * n, np.float32)
+    few = np.flatnonzero(np.repeat((held > 1) & (held <= FEW), held))
+    for k in range(1, FEW):
+        few = few[few + k < len(flat)]
+        few = few[flat[few] == flat[few + k]]
+        if not len(few):
+            break
+        total += np.bincount(owner[few] * n + owner[few + k], minlength=n * n)
+    total = total.reshape(n, n)
+    total += total.T
+    many = held > FEW
+    column = np.repeat(np.where(many, np.cumsum(many) - 1, -1), held)
+    own, column = owner[column >= 0], column[column >= 0]
+    edges = np.searchsorted(column, np.arange(0, int(many.sum()) + COLUMNS, COLUMNS))
+    for low, high in zip(edges[:-1], edges[1:], strict=True):
+        if high > low:
+            m = np.zeros((n, COLUMNS), np.float32)
+            m[own[low:high], column[low:high] % COLUMNS] = 1
+            total += m @ m.T
+    return total
+
+
+def similar_links(sets: list[np.ndarray], lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As list_links, but pairs are linked if their sets have a Jaccard similarity of NEAR or more: every pair of a list is compared."""
+    root, edge = np.arange(len(sets)), np.flatnonzero(np.concatenate([[True], lists[1:] != lists[:-1], [True]]))
+    for low, high in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        if high - low > 1:
+            some = sets[low:high]
+            common, size = common_shingles(some), np.array([len(s) for s in some], np.float32)
+            # the diagonal is left out, so two empty sets are no pair; there is one of them at most
+            u, v = np.nonzero(np.triu(NEAR[1] * common >= NEAR[0] * (size[:, None] + size[None, :] - common), 1))
+            root[low:high] = low + _forest(u, v, high - low)
+    at = np.flatnonzero(root != np.arange(len(sets)))
     return at, root[at]
 
 
@@ -312,11 +344,10 @@ def _compare(bits: int, keys: int, exact: bool):
             key = np.stack([c.to_numpy() for c in t.columns[:keys]])
             lists = np.cumsum(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(axis=0)])) - 1
             ids = t.column("id").to_numpy()
-            fps = np.frombuffer(b"".join(t.column("raw").to_pylist()), np.uint64).reshape(-1, WIDE)
             if exact:
-                a, b = similar_links(fps, [np.frombuffer(s, np.uint64) for s in t.column("shingles").to_pylist()], lists, bits)
+                a, b = similar_links([np.frombuffer(s, np.uint64) for s in t.column("shingles").to_pylist()], lists)
             else:
-                a, b = list_links(fps, lists, bits, 0)
+                a, b = list_links(np.frombuffer(b"".join(t.column("raw").to_pylist()), np.uint64).reshape(-1, WIDE), lists, bits, 0)
             return pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], names=["a", "b"])
 
         for batch in batches:
@@ -334,7 +365,10 @@ def _compare(bits: int, keys: int, exact: bool):
 
 
 def _blocked(members: DataFrame, by: list[str], longest: int) -> DataFrame:
-    """(by, x, y, id): members (by, id, n: of how many) of each list. One longer than `longest` is cut into blocks, and each two blocks are a list of their own, x and y."""
+    """(by, x, y, id): members (by, id, n: of how many) of each list.
+
+    One longer than `longest` is cut into blocks, and each two blocks are a list of their own, x and y.
+    """
     zero = F.lit(0).cast("long")
     short = members.where(F.col("n") <= longest).select(*by, zero.alias("x"), zero.alias("y"), "id")
     blocks = F.ceil(F.col("n") / (longest // 2)).cast("long")
@@ -371,21 +405,28 @@ def near_links(own: DataFrame, texts: DataFrame, bits: int = NEAR_BITS, longest:
     def shingles(texts: pd.Series) -> pd.Series:
         return pd.Series([shingle_set(t).tobytes() for t in texts], dtype=object)
 
-    group = store(components(store(candidate_links(own, bits, longest), "near")), "groups")
+    group = components(store(candidate_links(own, bits, longest), "near"))
     sizes = group.groupBy("component").agg(F.count("*").alias("n"))
-    members = group.withColumnRenamed("node", "id").join(sizes, "component")
-    where = group.select(F.col("node").alias("id")).join(own.select("id", "raw", "first"), "id")
+    members = with_hubs(group.withColumnRenamed("node", "id"), sizes, "component", "n", group.count())
+    where = group.select(F.col("node").alias("id")).join(own.select("id", "first"), "id")
     # rows of one id and text are one document
-    sets = texts.join(where, "first").groupBy("id").agg(F.first("raw").alias("raw"), F.first("text").alias("text")).select("id", "raw", shingles(F.col("text").cast("binary")).alias("shingles"))
+    sets = texts.join(where, "first").groupBy("id").agg(F.first("text").alias("text")).select("id", shingles(F.col("text").cast("binary")).alias("shingles"))
     at = ("component", "x", "y")
-    every = _blocked(members, ["component"], longest).join(store(sets, "shingles"), "id").select(*at, "id", "raw", "shingles")
+    every = _blocked(members, ["component"], longest).join(store(sets, "shingles"), "id").select(*at, "id", "shingles")
     return every.repartition(*at).sortWithinPartitions(*at).mapInArrow(_compare(bits, len(at), True), "a long, b long")
 
 
+def _order(c: Column) -> Column:
+    """Any id's place: nulls after all others, the rest by their own order."""
+    return F.struct(c.isNull().alias("none"), c.alias("id"))
+
+
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bits: int = NEAR_BITS) -> DataFrame:
     """docs without near copies, with all their columns: of each group that links connect, the row with the smallest id stays.
 
-    Of rows that share that id and text one stays. A null id counts as larger than all others.
+    Of rows that share that id and text one stays, that of the least hash of its columns. A null id counts as larger than all others; ids
+    may be of any type with an order. Null and empty texts are copies of each other. An empty table stays empty. Columns of any
+    type and name are carried along. Texts of any length are compared whole.
     """
 
     @F.pandas_udf("key binary, raw binary, least array<long>")
@@ -394,14 +435,16 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bi
         keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
         return pd.DataFrame({"key": keys, "raw": [wide_fingerprint(s).tobytes() for s in sets], "least": [least_keys(s) for s in sets]})
 
-    row, order = F.struct(*docs.columns), F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1))
-    first = F.struct(order.alias("doc"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("t"))
-    slim = store(docs.select(first.alias("first"), sketch(F.col(text).cast("binary")).alias("s")).select("first", "s.*"), "wide")
+    named = lambda c: F.col(f"`{c.replace('`', '``')}`")
+    first = F.struct(_order(named(doc_id)).alias("doc"), F.xxhash64(F.coalesce(named(text), F.lit(""))).alias("t"))
+    slim = store(docs.select(first.alias("first"), sketch(named(text).cast("binary")).alias("s")).select("first", "s.*"), "wide")
     own = slim.groupBy("key").agg(F.min("first").alias("first"), F.first("raw").alias("raw"), F.first("least").alias("least"))
-    own = store(own.select(F.xxhash64("key").alias("id"), "raw", "least", "first"), "distinct")
-    of = components(store(near_links(own, docs.select(first.alias("first"), F.col(text).alias("text")), bits), "near"))
-    named = own.join(of.withColumnRenamed("node", "id"), "id", "left").select(F.coalesce("component", "id").alias("component"), "first")
-    stay = named.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.doc").alias("_doc"), F.col("first.t").alias("_t"))
-    rows = docs.select(row.alias("_row"), order.alias("_doc"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_t"))
-    # rows of one id and text are one document: they meet here, a few at a time
-    return rows.join(stay, ["_doc", "_t"]).groupBy("_doc", "_t").agg(F.min("_row").alias("_row")).select("_row.*")
+    # numbered once and written, so that two sets never share a number
+    own = store(own.select(F.monotonically_increasing_id().alias("id"), "raw", "least", "first"), "distinct")
+    of = components(store(near_links(own, docs.select(first.alias("first"), named(text).alias("text")), bits), "near"))
+    own = own.join(of.withColumnRenamed("node", "id"), "id", "left").select(F.coalesce("component", "id").alias("component"), "first")
+    stay = own.groupBy("component").agg(F.min("first").alias("first")).select("first")
+    others = F.to_json(F.struct(F.lit(0).alias("none"), *[named(c) for c in docs.columns if c != text]))
+    rows = docs.select(first.alias("first"), F.struct(*map(named, docs.columns)).alias("_row"), F.xxhash64(others).alias("_h"))
+    # rows of one id and text meet here, already dealt by the join's key
+    return rows.join(stay, "first").groupBy("first").agg(F.min_by("_row", "_h").alias("_row")).select("_row.*")
