@@ -116,7 +116,7 @@ def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source:
 def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (1, 2, 3), seed: str = "") -> DataFrame:
     """The rows of docs that the mix takes, each as often as it is taken, with all their columns."""
     found = plan(docs, doc_id, text, source, weights, seed).select(F.struct("source", "source_size", "whole", "under").alias("_plan"))
-    rows = docs.select(F.struct(*docs.columns).alias("_row"))
+    rows = docs.select(F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]).alias("_row"))
     own = lambda c: F.col("_row")[c]
     rows = rows.join(found, own(source).cast("string").eqNullSafe(F.col("_plan.source")))
     rows = rows.select("_row", "_plan.*").withColumn("_times", _times(hash_of(own(doc_id), seed)))
