@@ -1,27 +1,30 @@
 """Substring deduplication over a log-structured index of window hashes.
 
-A window is WIDTH consecutive words of a document. Each batch of documents is hashed, merged by hash with the sorted,
+A window is WIDTH consecutive words of a document. Each batch of documents is hashed, dealt by hash, merged with the sorted,
 immutable runs of earlier batches, verified, and written as a run of its own; runs are compacted into one once
-there are FANOUT of them. A word is removed if a window over it also starts in a document with a smaller id; windows are
-judged on the input.
+there are FANOUT of them. All runs are bucketed by the same hash into the same number of buckets, so a batch meets
+its history bucket by bucket: only the batch is shuffled. A word is removed if a window over it also starts in a document with a
+smaller id; windows are judged on the input.
 
 What is hashed and sorted are stretches: consecutive windows that have the same anchor, the smallest hash of ANCHOR words within a
 window, the leftmost if tied. Equal windows have equal anchors, so all places of a window meet under its
 anchor. A stretch that stands whole in a smaller document is settled at once (128 bits of hash: anchor and
 stretch). Of anchors that have different stretches, the first document of each is verified window by window, on
 hashes of 128 bits taken from the texts, the historical ones included. That leaves a few rows for each hundred words to
-shuffle, instead of one a window.
+shuffle, instead of one a window. The index keeps the texts, bucketed by their ids: they are shuffled once, when they come in.
 
 Copies are settled before the shuffle where a task sees them together, and then spread by an unrelated key.
 
-Null and empty texts have no words. A null id counts as larger than all others. Rows with one id are one
-document, told apart by their texts: neither is removed for the other's sake, and repeated rows give repeated results.
+Null and empty texts have no words, an empty table gives none. A null id counts as larger than all others; ids that are no whole numbers are
+refused. Rows with one id are one document, told apart by their texts: neither is removed for the other's sake, and repeated rows give
+repeated results. Texts of up to 2**31 words are taken whole. Extra columns are not looked at.
 """
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -29,22 +32,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyspan.llm.hashing import NOT_SPACE, mixed, places, rolled, word_hashes
-from tallyspan.plans.scratch import new_path, remove, store
+from tallyspan.plans.scratch import new_path, remove
 
 WIDTH = 13
 ANCHOR = 6
-FANOUT = 4
+FANOUT = 2
 #: Rows that a task settles among themselves before it hands them on.
 TOGETHER = 1 << 20
 LAST = (1 << 63) - 1
-#: Where deduplicated() ends its batches: the first quarter of the ids is history for the rest.
-SHARES = (0.25,)
+#: Where deduplicated() ends its batches: each is history for the next, and there is one more of them than FANOUT, so runs are compacted.
+SHARES = (0.25, 0.5)
 
 _ROW = "a long, s long, d long, at long"
-# at: 28 bits of the text's hash, 31 of the first window's place, 4 of the number of windows
-_TEXT, _START = 35, 4
+_PLACE = 31  # bits of a window's place in its text
+
+
+def count_bits(width: int, anchor: int = ANCHOR) -> int:
+    """Bits of at, a row's place, that hold its number of windows; the window's place stands above them, and what is left holds the text's hash."""
+    bits = (width - anchor + 1).bit_length()
+    if not anchor <= width or bits > 12:
+        raise ValueError(f"windows of {width} words: at least {anchor} and under {anchor + (1 << 12) - 1} are taken")
+    return bits
 
 
 def stretches(h: np.ndarray, width: int = WIDTH, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -82,7 +93,7 @@ def _settled(a: np.ndarray, s: np.ndarray, d: np.ndarray, at: np.ndarray) -> pa.
     return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, s, d, at)], names=["a", "s", "d", "at"])
 
 
-def _rows(make):
+def _rows(make, bits: int):
     """Runs over (d, t, text, ...): make(words' hashes, row) gives a, s, first window, count of each row to hand on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,7 +104,7 @@ def _rows(make):
                 raw = batch.column(2)[k].as_py() or b""
                 a, s, first, count = make(word_hashes(raw, *places(raw, NOT_SPACE)), batch, k)
                 if len(a):
-                    at = (int(t[k]) << _TEXT) + (first.astype(np.int64) << _START) + count
+                    at = (int(t[k]) << _PLACE + bits) + (first.astype(np.int64) << bits) + count
                     parts.append((a.view(np.int64), s.view(np.int64), np.full(len(a), d[k]), at))
                     n += len(a)
                 if n >= TOGETHER:
@@ -105,46 +116,56 @@ def _rows(make):
     return run
 
 
-def _texts(docs: DataFrame, new: bool, doc_id: str, text: str) -> DataFrame:
-    raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    return docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("d"), F.xxhash64(raw).bitwiseAND((1 << 28) - 1).alias("t"), raw.alias("text"), F.lit(new).alias("new"))
-
-
 class SubstringIndex:
     """The runs under `path`, a folder that driver and executors share. Batches must come in the order of their ids."""
 
     def __init__(self, spark: SparkSession, path: str | None = None, width: int = WIDTH, fanout: int = FANOUT):
         self.spark, self.path, self.width, self.fanout = spark, path or new_path(spark, "substring-index"), width, fanout
+        self.bits, self.buckets = count_bits(width), int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.runs: list[str] = []
+        self.texts: list[str] = []
         self.merged: list[str] = []
-        self.written = 0
+
+    def _table(self, df: DataFrame, by: str, order: tuple[str, ...]) -> str:
+        """df, dealt by `by`, as a bucketed and sorted table under the index's path; its name."""
+        name = f"substrings_{uuid.uuid4().hex}"
+        df.write.bucketBy(self.buckets, by).sortBy(*order).option("compression", "zstd").option("path", f"{self.path}/{name}").saveAsTable(name)
+        return name
+
+    def _union(self, names: list[str], *columns: str) -> DataFrame:
+        return reduce(DataFrame.unionByName, [self.spark.table(n).select(*columns) for n in names])
 
     def history(self) -> DataFrame | None:
         """(a, s, d) of all runs: a stretch and the smallest document that has it."""
-        if not self.runs:
-            return None
-        return self.spark.read.schema(f"{_ROW}, kind byte").parquet(*self.runs).where("kind <> 1").select("a", "s", "d")
-
-    def _new_run(self) -> str:
-        self.written += 1
-        return f"{self.path}/run-{self.written:06d}"
+        return self._union(self.runs, "a", "s", "d", "kind").where("kind in (0, 2)").drop("kind") if self.runs else None
 
     def clear_merged(self) -> None:
         """Delete runs that were compacted, once the results of their batches have been written."""
-        for path in self.merged:
-            remove(self.spark, path)
+        for name in self.merged:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            remove(self.spark, f"{self.path}/{name}")
         self.merged = []
 
     def compact(self) -> None:
-        """Merge all runs into one."""
+        """Merge all runs into one, bucket by bucket."""
         if len(self.runs) > 1:
-            old, run = self.runs, self._new_run()
             least = self.history().groupBy("a", "s").agg(F.min("d").alias("d")).select("a", "s", "d", F.lit(None).cast("long").alias("at"), F.lit(0).cast("byte").alias("kind"))
-            least.repartition("a").sortWithinPartitions("a", "s").write.option("compression", "zstd").parquet(run)
-            self.runs, self.merged = [run], self.merged + old  # results that are not read yet still need the old ones
-
-    def covers(self, texts: DataFrame, corpus: DataFrame | None = None, keep: bool = True) -> DataFrame:
-        """(d, at): the windows, as stretches, of the batch that an earlier document has. corpus: historical texts, to verify against. keep: write the batch's run."""
+            old, self.runs = self.runs, [self._table(least, "a", ("a", "s"))]
+            self.merged += old  # results that are not read yet still need them
+
+    def _kept(self, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+        """(d, t, text) of a batch, t a hash that tells texts of one id apart: written, bucketed by d."""
+        if not isinstance(docs.schema[doc_id].dataType, T.IntegralType):
+            raise ValueError(f"{doc_id} must be a whole number")
+        raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
+        mask = (1 << 63 - _PLACE - self.bits) - 1
+        rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("d"), F.xxhash64(raw).bitwiseAND(mask).alias("t"), raw.alias("text"))
+        name = self._table(rows.repartition(self.buckets, "d"), "d", ("d",))
+        self.texts.append(name)
+        return self.spark.table(name)
+
+    def covers(self, texts: DataFrame, keep: bool = True) -> DataFrame:
+        """(d, at): the windows, as stretches, of the batch, the last of self.texts, that an earlier document has. keep: the batch's run is history for the next."""
         width = self.width
 
         def stretch(h, batch, k):
@@ -152,35 +173,29 @@ class SubstringIndex:
 
         def windows(h, batch, k):
             a, _, first, count = stretches(h, width)
-            chosen = np.isin(a, np.asarray(batch.column(4)[k].values.to_numpy()).view(np.uint64))
+            chosen = np.isin(a, np.asarray(batch.column(3)[k].values.to_numpy()).view(np.uint64))
             start = np.concatenate([np.arange(f, f + c) for f, c in zip(first[chosen], count[chosen], strict=True)] or [np.zeros(0, np.int64)])
             return rolled(h, width)[start], rolled(h[::-1], width, 1)[::-1][start], start, np.ones(len(start), np.int64)
 
-        merged = texts.select("d", "t", "text").mapInArrow(_rows(stretch), _ROW)
-        past = self.history()
-        if past is not None:
+        merged, past = texts.mapInArrow(_rows(stretch, self.bits), _ROW).repartition(self.buckets, "a"), self.history()
+        if past is not None:  # dealt alike: the runs stay where they are
             merged = merged.unionByName(past.withColumn("at", F.lit(None).cast("long")))
-        same, anchor = W.partitionBy("a", "s"), W.partitionBy("a")
+        same, anchor = W.partitionBy("a", "s"), W.partitionBy("a").orderBy("s").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
         many = (F.min("s").over(anchor) < F.max("s").over(anchor)) & (F.min("d").over(anchor) < F.max("d").over(anchor))
-        merged = merged.select("a", "s", "d", "at", F.min("d").over(same).alias("least"), many.alias("many"))
-        # kind 1: an earlier document has the whole stretch; 2: to be verified by windows; 0: new
+        merged = merged.select("a", "s", "d", "at", many.alias("many")).withColumn("least", F.min("d").over(same))
+        # kind 1: an earlier document has the whole stretch; 2: to be verified by windows, 3 if historical; 0: new
         whole = F.col("at").isNotNull() & ((F.col("at") < 0) | (F.col("d") > F.col("least")))
-        kind = F.when(whole, 1).when(F.col("many"), 2).otherwise(0)
-        merged = merged.select("a", "s", "d", "at", kind.cast("byte").alias("kind"))
-        if keep:  # the merged rows are the run: sorted by hash as they are, rows of kind 1 being the batch's own and no one else's
-            run = self._new_run()
-            slim = merged.where("kind > 0 or at is not null").withColumn("at", F.when(F.col("kind") == 1, F.col("at")))
-            slim.write.option("compression", "zstd").parquet(run)
-            merged = self.spark.read.schema(slim.schema).parquet(run)
+        kind = F.when(whole, 1).when(F.col("many"), F.when(F.col("at").isNull(), 3).otherwise(2)).otherwise(0)
+        merged = merged.select("a", "s", "d", "at", kind.cast("byte").alias("kind")).where("kind > 0" + (" or at is not null" if keep else ""))
+        run = self._table(merged.withColumn("at", F.when(F.col("kind") == 1, F.col("at"))), "a", ("a", "s"))
+        if keep:
             self.runs.append(run)
             if len(self.runs) >= self.fanout:
                 self.compact()
-        else:
-            merged = store(merged.where("kind > 0").withColumn("at", F.when(F.col("kind") == 1, F.col("at"))), "merged")
+        merged = self.spark.table(run)
         whole = merged.where("kind = 1").select("d", F.when(F.col("at") < 0, -1 - F.col("at")).otherwise(F.col("at")).alias("at"))
-        doubtful = merged.where("kind = 2").groupBy("d").agg(F.collect_set("a").alias("anchors"))
-        every = texts if corpus is None else texts.unionByName(corpus)
-        found = every.join(doubtful, "d").select("d", "t", "text", "new", "anchors").mapInArrow(_rows(windows), _ROW)
+        doubtful = merged.where("kind > 1").groupBy("d").agg(F.collect_set("a").alias("anchors"))
+        found = self._union(self.texts, "d", "t", "text").join(doubtful, "d").mapInArrow(_rows(windows, self.bits), _ROW)
         return whole.unionByName(self._repeated(found))
 
     @staticmethod
@@ -189,12 +204,11 @@ class SubstringIndex:
         found = found.select("d", "at", least.alias("least"))
         return found.where("at < 0 or d > least").select("d", F.when(F.col("at") < 0, -1 - F.col("at")).otherwise(F.col("at")).alias("at"))
 
-    def dedup(self, docs: DataFrame, corpus: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text", keep: bool = True) -> DataFrame:
-        """One row per row of the batch docs: d, its words and the removed ones, and the text that is left. corpus: all earlier batches' documents."""
-        width = self.width
-        texts = _texts(docs, True, doc_id, text)
-        covered = self.covers(texts, None if corpus is None else _texts(corpus, False, doc_id, text), keep)
-        by_doc = covered.groupBy("d").agg(F.collect_list("at").alias("cover"))
+    def dedup(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: bool = True) -> DataFrame:
+        """One row per row of the batch docs: doc_id, its words and the removed ones, and the text that is left."""
+        width, bits = self.width, self.bits
+        texts = self._kept(docs, doc_id, text)
+        by_doc = self.covers(texts, keep).groupBy("d").agg(F.collect_list("at").alias("cover"))
 
         @F.pandas_udf("struct<n_words:long,n_removed:long,kept:binary>")
         def cut(raw: pd.Series, t: pd.Series, cover: pd.Series) -> pd.DataFrame:
@@ -203,8 +217,8 @@ class SubstringIndex:
                 words, gone = r.split(), 0
                 if c is not None and len(c) and len(words) >= width:
                     at = np.asarray(c, np.int64)
-                    at = at[at >> _TEXT == own]
-                    first, count = (at >> _START) & 0x7FFFFFFF, at & 15
+                    at = at[at >> _PLACE + bits == own]
+                    first, count = at >> bits & (1 << _PLACE) - 1, at & (1 << bits) - 1
                     edge = np.zeros(len(words) + 1, np.int64)
                     np.add.at(edge, first, 1)
                     np.add.at(edge, first + count + width - 1, -1)
@@ -220,20 +234,16 @@ class SubstringIndex:
         return out.select("doc_id", "r.*")
 
 
-def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shares: tuple[float, ...] = SHARES) -> DataFrame:
+def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shares: tuple[float, ...] = SHARES, width: int = WIDTH, fanout: int = FANOUT) -> DataFrame:
     """dedup() of all docs, taken in batches by ranges of their ids: doc_id, n_words, n_removed, kept (UTF-8). A batch ends at each of `shares` of the ids."""
-    index, ids = SubstringIndex(docs.sparkSession), F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST))
+    index, ids = SubstringIndex(docs.sparkSession, width=width, fanout=fanout), F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST))
     bounds = docs.select(ids.alias("d")).stat.approxQuantile("d", list(shares), 0.001) if shares else []
     bounds, parts = sorted({int(b) for b in bounds}), []
     for k in range(len(bounds) + 1):
         inside = F.lit(True) if k == 0 else ids > bounds[k - 1]
         batch = docs.where(inside & (ids <= bounds[k])) if k < len(bounds) else docs.where(inside)
-        corpus = docs.where(ids <= bounds[k - 1]) if k else None
-        parts.append(index.dedup(batch, corpus, doc_id, text, keep=k < len(bounds)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        parts.append(index.dedup(batch, doc_id, text, keep=k < len(bounds)))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shares: tuple[float, ...] = SHARES) -> DataFrame:

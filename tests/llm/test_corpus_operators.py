@@ -7,6 +7,7 @@ import duckdb
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tallyspan.llm import components, decontam, mixing, simhash, substrings, tokens
 
@@ -331,3 +332,35 @@ def test_decontamination_in_blocks(frame, spark, monkeypatch):
     assert decontam._items(bench, "item_id", "text")[1] > 2
     assert sorted((str(r["doc_id"]), r["items"]) for r in decontam.report(frame(docs), bench).collect()) == want
     assert decontam.clean(frame(docs), bench).count() == sum(not x for _, x in want)
+
+
+@pytest.mark.parametrize("width", [6, 21, 50])
+def test_substrings_of_other_widths(frame, width):
+    docs = corpus(11, 30)
+    got = sorted((r["doc_id"], r["n_removed"]) for r in substrings.deduplicated(frame(docs), shares=(0.2, 0.4, 0.6, 0.8), width=width, fanout=3).collect())
+    seen, want = {}, []
+    for i, t in docs:
+        w = t.split()
+        for k in range(len(w) - width + 1):
+            key = tuple(w[k : k + width])
+            seen[key] = min(i, seen.get(key, i))
+    for i, t in docs:
+        w = t.split()
+        want.append((i, len({p for k in range(len(w) - width + 1) if seen[tuple(w[k : k + width])] < i for p in range(k, k + width)})))
+    assert got == sorted(want)
+
+
+def test_substring_runs(frame, spark):
+    """Runs are compacted into one, and a batch meets them without a shuffle of theirs."""
+    index, docs = substrings.SubstringIndex(spark), corpus(12, 40)
+    for k in range(0, len(docs), 40):
+        index.dedup(frame(sorted(docs)[k : k + 40])).count()
+    assert len(index.runs) == 1 and index.merged
+    plan = index.history().groupBy("a", "s").count()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    index.clear_merged()
+    assert index.history().count() > 0
+    with pytest.raises(ValueError, match="words"):
+        substrings.SubstringIndex(spark, width=5)
+    with pytest.raises(ValueError, match="whole number"):
+        index.dedup(frame(docs).withColumn("doc_id", F.col("doc_id").cast("string")))
