@@ -1,22 +1,28 @@
 """URL filters: rules by host and path, and for the rest a naive Bayes score over segmented host and path tokens.
 
 Names in hosts are often words run together. A unigram model, counted over the words of all pages, splits them:
-every substring of a distinct name is looked up by a join, and Viterbi picks the likeliest split. Multinomial
-naive Bayes then scores the host's words and the path's. It is trained on all pages: a page counts as one to
-block if its host has one of SEEDS among its words, and the model spreads that to the words that go with
-them. Tokens are counted in BUCKETS hash buckets, so the model's size is fixed and every token is counted.
+every piece of a distinct name is looked up by a join, and Viterbi picks the likeliest split. Words of more than LONGEST_WORD letters are
+never split off: a name's pieces are then in proportion to its length. Multinomial naive Bayes then scores the host's words and the path's.
+
+It is trained on all pages. A page that a rule decides has the rule's verdict as its label; of the others, those whose host has
+one of SEEDS among its words count as ones to block, the rest as ones to allow. What gave a page its label is no feature of it: the
+rule's own tokens are left out of the pages that it decides, and seeds are left out everywhere. So the model learns which other words keep
+company with blocked pages. Tokens are counted in BUCKETS hash buckets, so the model's size is fixed and every token is counted.
 
 A null url, or one without ://, has an empty host and path, fits no rule and gets the verdict of the prior.
-Null html counts as empty. Repeated rows get the same verdict; page_id and extra columns are not looked at.
+Null html counts as empty; an empty table gives none. Urls and pages of any length are read whole. Repeated rows get the same verdict; page_id and extra columns
+are not looked at.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +30,7 @@ from tallyspan.plans.scratch import store
 
 #: (verdict, host, path start)
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
-#: Words that mark a host as one to block when the model is trained.
+#: Words that mark a host as one to block when the model is trained. They are no features.
 SEEDS = frozenset("spam pills casino poker porn xxx viagra cialis bet bets betting gambling jackpot escort replica torrent warez phishing malware".split())
 BUCKETS = 1 << 18
 LONGEST_WORD = 24
@@ -100,14 +106,18 @@ def segmented(names: DataFrame, words: DataFrame) -> DataFrame:
     def viterbi(name: pd.Series, at: pd.Series, total: pd.Series) -> pd.Series:
         return pd.Series([split(n, {(x["s"], x["l"]): x["n"] for x in k}, int(t)) for n, k, t in zip(name, at, total, strict=True)], dtype=object)
 
-    spots = names.select("name", F.explode(F.sequence(F.lit(1), F.length("name"))).alias("s"))
-    pieces = spots.select("name", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(LONGEST_WORD), F.length("name") - F.col("s") + 1))).alias("l"))
-    pieces = pieces.select("name", "s", "l", F.substring("name", F.col("s"), F.col("l")).alias("word"))
-    found = pieces.join(words, "word").groupBy("name").agg(F.collect_list(F.struct((F.col("s") - 1).alias("s"), "l", "n")).alias("at"))
-    total = words.agg(F.coalesce(F.sum("n"), F.lit(1)).alias("total"))  # one row
-    every = names.join(found, "name", "left").crossJoin(F.broadcast(total))
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                for base in range(0, len(name), 1024):  # a long name leaves in small batches
+                    at = [(s, n) for s in range(base, min(base + 1024, len(name))) for n in range(1, min(LONGEST_WORD, len(name) - s) + 1)]
+                    columns = [pa.array([name] * len(at)), *(pa.array(c, pa.int32()) for c in zip(*at, strict=True)), pa.array([name[s : s + n] for s, n in at])]
+                    yield pa.RecordBatch.from_arrays(columns, names=["name", "s", "l", "word"])
+
+    found = names.select("name").mapInArrow(pieces, "name string, s int, l int, word string").join(words, "word").groupBy("name").agg(F.collect_list(F.struct("s", "l", "n")).alias("at"))
+    total = words.agg(F.sum("n")).first()[0] or 1
     none = F.array().cast("array<struct<s:int,l:int,n:bigint>>")
-    return every.select("name", viterbi("name", F.coalesce(F.col("at").cast("array<struct<s:int,l:int,n:bigint>>"), none), "total").alias("parts"))
+    return names.join(found, "name", "left").select("name", viterbi("name", F.coalesce(F.col("at").cast("array<struct<s:int,l:int,n:bigint>>"), none), F.lit(total)).alias("parts"))
 
 
 def host_words(hosts: DataFrame, words: DataFrame) -> DataFrame:
@@ -139,20 +149,34 @@ def train(features: DataFrame) -> tuple[float, np.ndarray]:
     return math.log((n_bad + 1) / (n - n_bad + 1)), ratio.astype(np.float32)
 
 
-def report(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", rules=RULES) -> DataFrame:
-    """One row per page: host, path, rule, verdict, and the naive Bayes log odds that it is one to block."""
+def labelled(rows: DataFrame, rules=RULES) -> DataFrame:
+    """rows (host, path, words of the host) with rule, by_rule, block: the label, features, and trained: the features without what gave the label."""
+    rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
+    seeds = F.array(*map(F.lit, sorted(SEEDS)))
+    plain = F.filter(F.concat("words", tokens(F.col("path"))), lambda w: ~F.array_contains(seeds, w))
+    rows = rows.select("*", rule.alias("rule"), verdict.alias("by_rule"), plain.alias("features"))
+    own = F.when(F.col("rule").isNotNull(), tokens(F.col("rule"))).otherwise(F.array().cast("array<string>"))
+    seeded = F.exists("words", lambda w: F.array_contains(seeds, w))
+    rows = rows.withColumn("block", F.when(F.col("rule").isNotNull(), F.col("by_rule") == "block").otherwise(seeded)).withColumn("_own", own)
+    return rows.withColumn("trained", F.filter("features", lambda w: ~F.array_contains(F.col("_own"), w))).drop("_own")
+
+
+def report(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", rules=RULES, fit_on: Column | None = None) -> DataFrame:
+    """One row per page: host, path, rule, verdict, the label that it is trained with, and the naive Bayes log odds that it is one to block.
+
+    fit_on: a condition on host, such as a hold-out rule; the model is trained on the pages that meet it.
+    """
     host, path = host_and_path(F.col(url))
     rows = pages.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path"))
     words = store(host_words(rows.select("host").distinct(), unigrams(pages, html)), "hosts")
-    slim = rows.join(words, "host", "left").withColumn("words", F.coalesce("words", F.array().cast("array<string>")))
-    slim = slim.select("page_id", "host", "path", F.exists("words", lambda w: w.isin(*sorted(SEEDS))).alias("block"), _buckets(F.concat("words", tokens(F.col("path")))).alias("buckets"))
-    slim = store(slim, "urls")
-    prior, ratio = train(slim.select("buckets", "block"))
+    rows = rows.join(words, "host", "left").withColumn("words", F.coalesce("words", F.array().cast("array<string>")))
+    slim = labelled(rows, rules).withColumns({"features": _buckets(F.col("features")), "trained": _buckets(F.col("trained"))})
+    slim = store(slim.drop("words"), "urls")
+    prior, ratio = train((slim if fit_on is None else slim.where(fit_on)).select(F.col("trained").alias("buckets"), "block"))
 
     @F.pandas_udf("double")
     def log_odds(buckets: pd.Series) -> pd.Series:
         return pd.Series([prior + float(ratio[np.asarray(b, np.int64)].sum()) for b in buckets], dtype=float)
 
-    rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
-    out = slim.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("by_rule"), log_odds("buckets").alias("log_odds"))
-    return out.select("page_id", "host", "path", "rule", F.coalesce("by_rule", F.when(F.col("log_odds") > 0, "block").otherwise("allow")).alias("verdict"), "log_odds")
+    out = slim.select("page_id", "host", "path", "rule", "by_rule", F.col("block").alias("label"), log_odds("features").alias("log_odds"))
+    return out.select("page_id", "host", "path", "rule", F.coalesce("by_rule", F.when(F.col("log_odds") > 0, "block").otherwise("allow")).alias("verdict"), "label", "log_odds")

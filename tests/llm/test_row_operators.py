@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tallyspan.llm import licenses, pii, quality, toxicity, urls
 
@@ -88,7 +89,49 @@ def test_urls(spark):
     assert (got[5]["host"], got[5]["path"], got[5]["rule"]) == ("org", "", None)
     assert (got[6]["host"], got[6]["path"], got[6]["rule"]) == ("user@q.org:80", "/es/a", None)
     assert (got[7]["host"], got[8]["host"], got[7]["path"]) == ("", "", "")
-    assert got[None]["verdict"] == "block" and got[9]["rule"] is None and (got[10]["host"], got[10]["path"]) == ("x.com", "")
+    assert got[None]["label"] and got[None]["rule"] is None and got[9]["rule"] is None and (got[10]["host"], got[10]["path"]) == ("x.com", "")
+
+
+def test_urls_bayes_against_plain_counts(spark):
+    """Labels, left-out tokens and log odds computed anew; the model is not the seed list."""
+    rng, rows = random.Random(4), []
+    for k in range(120):
+        bad, seeded = k % 3 == 0, k % 9 == 0
+        name = ["casino"] * seeded + [rng.choice(["lucky", "spin"] if bad else ["garden", "tree"]) for _ in range(2)]
+        rows.append((k, f"http://{'-'.join(name)}.{rng.choice(['com', 'org', 'net'])}/{rng.choice(['en', 'es', 'fr'])}/{rng.choice(['a', 'b'])}", ""))
+    rows += [(500, None, None), (501, "http://spam.com/en/x", "")] * 2
+    rule = {"com/en/": "block", "net/de/": "allow", "org/es/": "block"}
+    split, pages = lambda x: re.findall("[a-z0-9]+", x), []
+    for i, u, _ in rows:
+        host, path = (re.match(r"http://([^/]*)(.*)", u).groups() if u else ("", ""))
+        hit = next((r for r in rule if (host + "/").endswith(r.split("/")[0] + "/") and path.startswith("/" + r.split("/")[1] + "/")), None)
+        words = split(host) + split(path)
+        block = rule[hit] == "block" if hit else any(w in urls.SEEDS for w in split(host))
+        feats = ["#1" if w.isdigit() else w for w in words if w not in urls.SEEDS]
+        pages.append((i, feats, [w for w in feats if not hit or w not in split(hit)], block))
+    vocabulary = {w for _, _, t, _ in pages for w in t}
+    count = {c: {w: sum(t.count(w) for _, _, t, b in pages if b == c) for w in vocabulary} for c in (True, False)}
+    n = sum(b for *_, b in pages)
+    weight = lambda w: np.log((count[True].get(w, 0) + 1) / (sum(count[True].values()) + len(vocabulary) + 1)) - np.log((count[False].get(w, 0) + 1) / (sum(count[False].values()) + len(vocabulary) + 1))
+    want = sorted((i, b, round(float(np.log((n + 1) / (len(pages) - n + 1)) + sum(map(weight, f))), 3)) for i, f, _, b in pages)
+    got = urls.report(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    close = sorted((r["page_id"], r["label"], round(r["log_odds"], 3)) for r in got)
+    assert all(a[:2] == b[:2] and abs(a[2] - b[2]) < 0.01 for a, b in zip(close, want, strict=True))
+    free = [r for r in got if r["rule"] is None]
+    assert any((r["verdict"] == "block") != r["label"] for r in free)
+
+
+def test_urls_held_out(spark):
+    """Hosts that the model never saw are told by the words that go with blocked ones."""
+    rng, rows = random.Random(5), []
+    for k in range(900):
+        bad = k % 3 == 0
+        name = ["casino"] * bad + [rng.choice(["lucky", "spin", "jack", "bonus"] if bad else ["garden", "tree", "house", "river"]) for _ in range(3)]
+        rows.append((k, f"http://{'-'.join(name)}{k}.info/fr/{rng.randrange(9)}", ""))
+    rule = F.crc32("host") % 5 != 0
+    got = urls.report(spark.createDataFrame(rows, "page_id long, url string, html string"), fit_on=rule).where(~rule).collect()
+    assert len(got) > 100 and np.mean([(r["verdict"] == "block") == (r["page_id"] % 3 == 0) for r in got]) > 0.95
+    assert urls.report(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
 
 def test_viterbi():
