@@ -195,7 +195,9 @@ class SubstringIndex:
         merged = self.spark.table(run)
         whole = merged.where("kind = 1").select("d", F.when(F.col("at") < 0, -1 - F.col("at")).otherwise(F.col("at")).alias("at"))
         doubtful = merged.where("kind > 1").groupBy("d").agg(F.collect_set("a").alias("anchors"))
-        found = self._union(self.texts, "d", "t", "text").join(doubtful, "d").mapInArrow(_rows(windows, self.bits), _ROW)
+        # joined table by table: a union of them would be dealt anew
+        found = reduce(DataFrame.unionByName, [self.spark.table(n).select("d", "t", "text").join(doubtful, "d") for n in self.texts])
+        found = found.mapInArrow(_rows(windows, self.bits), _ROW)
         return whole.unionByName(self._repeated(found))
 
     @staticmethod
