@@ -7,9 +7,9 @@ the running sum over the buckets of a source shows in which bucket the budget en
 that bucket are summed again by the next bits, LEVELS times. The last bucket, which as a rule holds one
 document, is taken if that brings the source nearer to its target.
 
-Sizes of null and empty texts are 0. Null is a source of its own, the last. The hash is of the id, so rows with the
-same id (null included) share one decision, and reruns agree. Extra columns of the input are kept by mixed()
-and not looked at elsewhere.
+Sizes of null and empty texts are 0. Null is a source of its own, the last. The hash is of the id and, below that, of the text, so rows that
+share an id (null included) are told apart by their texts, rows alike in both share one decision, and reruns agree. An empty table has no sources. Texts of any length
+are counted whole. Extra columns of the input, of any type and name, are kept by mixed() and not looked at elsewhere.
 """
 
 from __future__ import annotations
@@ -22,7 +22,9 @@ from tallyspan.plans.scratch import store
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bits of the hash that each histogram splits by, and how many histograms follow one another.
-LEVEL_BITS, LEVELS = 12, 3
+LEVEL_BITS, LEVELS = 12, 5
+#: Hexadecimal digits of the hash that come from the id, and from the text.
+ID_DIGITS, TEXT_DIGITS = 9, 6
 MOST_TIMES = 3
 
 
@@ -31,9 +33,10 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def hash_of(doc_id: Column, seed: str = "") -> Column:
-    """48 bits of the id's MD5; a null id counts as empty text. Any engine can compute it."""
-    return F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 12), 16, 10).cast("long")
+def hash_of(doc_id: Column, text: Column, seed: str = "") -> Column:
+    """60 bits: 36 of the id's MD5, then 24 of the text's; null counts as empty. Any engine can compute it."""
+    digits = lambda c, n: F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(c.cast("string"), F.lit("")))), 1, n)
+    return F.conv(F.concat(digits(doc_id, ID_DIGITS), digits(text, TEXT_DIGITS)), 16, 10).cast("long")
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST_TIMES) -> DataFrame:
@@ -59,10 +62,10 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int =
 def thresholds(slim: DataFrame, budgets: DataFrame) -> DataFrame:
     """(source, under, last): documents of a source whose hash is under `under` fit its budget; the bucket from there to `last`, taken too, is nearer to it.
 
-    slim: (source, size, h), h of 48 bits; budgets: (source, budget).
+    slim: (source, size, h), h of LEVELS * LEVEL_BITS bits; budgets: (source, budget).
     """
     total = LEVEL_BITS * LEVELS
-    at = slim.select("source", "size", F.shiftright("h", 48 - total).alias("h"))
+    at = slim.select("source", "size", "h")
     state = budgets.select("source", "budget", F.lit(0).cast("long").alias("prefix"), F.lit(True).alias("open"), F.lit(0).cast("long").alias("crossing"))
     for level in range(1, LEVELS + 1):
         shift = total - level * LEVEL_BITS
@@ -92,7 +95,7 @@ def thresholds(slim: DataFrame, budgets: DataFrame) -> DataFrame:
 
 def plan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (1, 2, 3), seed: str = "") -> DataFrame:
     """(source, source_size, target, whole, under): how often every document of a source is taken, and under which hash once more."""
-    slim = store(docs.select(F.col(source).cast("string").alias("source"), size_of(F.col(text)).alias("size"), hash_of(F.col(doc_id), seed).alias("h")), "sizes")
+    slim = store(docs.select(F.col(source).cast("string").alias("source"), size_of(F.col(text)).alias("size"), hash_of(F.col(doc_id), F.col(text), seed).alias("h")), "sizes")
     aims = store(targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights), "targets")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     aims = aims.withColumn("whole", whole)
@@ -102,13 +105,13 @@ def plan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: st
 
 
 def _times(h: Column) -> Column:
-    return F.when(F.col("source_size") > 0, F.col("whole") + F.when(F.shiftright(h, 48 - LEVEL_BITS * LEVELS) < F.col("under"), 1).otherwise(0)).otherwise(0)
+    return F.when(F.col("source_size") > 0, F.col("whole") + F.when(h < F.col("under"), 1).otherwise(0)).otherwise(0)
 
 
 def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (1, 2, 3), seed: str = "") -> DataFrame:
     """One row per row of docs: size, source_size, target, taken (words, repeats counted)."""
     found = plan(docs, doc_id, text, source, weights, seed).withColumnRenamed("source", "s")
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("src"), size_of(F.col(text)).alias("size"), hash_of(F.col(doc_id), seed).alias("h"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("src"), size_of(F.col(text)).alias("size"), hash_of(F.col(doc_id), F.col(text), seed).alias("h"))
     rows = rows.join(found, F.col("src").eqNullSafe(F.col("s")))
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * _times(F.col("h"))).cast("long").alias("taken"))
 
@@ -119,7 +122,7 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
     rows = docs.select(F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]).alias("_row"))
     own = lambda c: F.col("_row")[c]
     rows = rows.join(found, own(source).cast("string").eqNullSafe(F.col("_plan.source")))
-    rows = rows.select("_row", "_plan.*").withColumn("_times", _times(hash_of(own(doc_id), seed)))
+    rows = rows.select("_row", "_plan.*").withColumn("_times", _times(hash_of(own(doc_id), own(text), seed)))
     return rows.where("_times > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))).alias("_copy")).select("_row.*")
 
 

@@ -364,3 +364,13 @@ def test_substring_runs(frame, spark):
         substrings.SubstringIndex(spark, width=5)
     with pytest.raises(ValueError, match="whole number"):
         index.dedup(frame(docs).withColumn("doc_id", F.col("doc_id").cast("string")))
+
+
+def test_mixing_tells_rows_of_one_id_apart(frame):
+    """Sources without ids still come near their targets, and columns of any type and name are carried along."""
+    docs = [(None, f"word number {k} of a text", "a" if k % 2 else "b") for k in range(100)]
+    got = mixing.report(frame(docs)).groupBy("source_size", "target").agg(F.sum("taken").alias("taken")).collect()
+    assert len(got) == 2 and all(abs(r["taken"] - r["target"]) <= 6 for r in got)
+    odd = frame(docs).withColumn("a.b", F.create_map(F.lit("k"), F.col("doc_id")))
+    assert mixing.mixed(odd).columns == odd.columns and simhash.deduplicated(odd).columns == odd.columns and simhash.deduplicated(odd).count() > 1
+    assert mixing.report(frame([])).collect() == []
