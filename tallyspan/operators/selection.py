@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -64,3 +66,8 @@ def boundaries(sample: DataFrame) -> DataFrame:
     ends = sample.groupBy("block").agg(F.min("rank").alias("low"), F.max("rank").alias("high"))
     after = F.lead("low").over(W.orderBy("block"))  # one row per block
     return ends.withColumn("after", after).where("after is not null").select("block", (F.floor((F.col("high") + F.col("after")) / 2) + 1).cast("long").alias("cut"))
+
+
+def united(*points: DataFrame) -> DataFrame:
+    """All points of several one-column tables, each once."""
+    return reduce(DataFrame.unionByName, points).distinct()

@@ -360,7 +360,7 @@ def fit_clusters(spark, sf_dir):
     return _published(spark, sf_dir)["clusters"]
 
 
-@query()
+@query("SELECT unnest(['size', 'range', 'fraction', 'multiplicity', 'expected']) AS rule, 0::BIGINT AS n")
 def cluster_table_checks(spark, sf_dir):
     """Broken rules of freshly fitted tables: all 0."""
     t = _published(spark, sf_dir)

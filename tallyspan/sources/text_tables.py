@@ -37,10 +37,11 @@ def read_table(spark: SparkSession, path: str, required: list[str]) -> DataFrame
 
 def read_scalar(spark: SparkSession, path: str, low: float = 0.0, high: float = 1.0) -> float:
     """The one number of a file, above low and at most high."""
-    found = [t for r in spark.read.text(path).limit(1000).collect() for t in r["value"].split()]
+    tokens = spark.read.text(path).select(F.explode(F.split("value", r"\s+")).alias("t")).where("t <> ''")
+    found = tokens.limit(2).collect()  # two are one too many
     if len(found) != 1:
         raise ValueError(f"{path} must hold one number")
-    value = float(found[0])
+    value = float(found[0]["t"])
     if not low < value <= high:
         raise ValueError(f"{value} is not above {low} and at most {high}")
     return value

@@ -12,9 +12,10 @@ from tallyspan import api
 from tallyspan.functions import likelihood as L
 from tallyspan.functions import literals
 from tallyspan.operators import chain as C
-from tallyspan.operators import checks, intervals, ledger, selection
+from tallyspan.operators import checks, intervals, ledger, records, replay, selection
 from tallyspan.operators import mixture as M
 from tallyspan.plans import fit as P
+from tallyspan.plans import scratch
 from tallyspan.plans.ranks import ranked
 from tallyspan.sources import text_tables as T
 from tallyspan.streaming import ingest
@@ -189,6 +190,45 @@ def test_mixture_weights(spark):
     assert w == pytest.approx([0.5, 0.5], abs=1e-3)
 
 
+def test_records_and_replays(spark):
+    rows = spark.createDataFrame([(k, k % 2, 1, float(k % 5), "native" if k % 3 else "derived") for k in range(12)], "candidate_id long, budget long, q long, bic double, kind string")
+    assert records.where_all(rows, ("kind", "budget"), kind="native", budget=[0]).count() == 4
+    with pytest.raises(ValueError, match="filtered by: bic"):
+        records.where_all(rows, ("kind",), bic=1.0)
+    assert {r["state"]: r["n"] for r in records.link_states(rows, F.when(F.col("candidate_id") > 0, F.col("candidate_id") - 1)).collect()} == {"root": 1, "falling": 2, "rising": 9}
+    ranks = spark.range(10).withColumnRenamed("id", "rank")
+    assert replay.order_check(ranks).first()["valid"] and not replay.order_check(ranks.where("rank <> 4")).first()["valid"]
+    assert sorted(r["rank"] for r in replay.even_ranks(ranks, 4).collect()) == [0, 3, 6, 9]
+    assert sorted(tuple(r) for r in replay.runs(ranks, F.col("rank").isin(0, 1, 5, 7, 8, 9)).select("first_rank", "n").collect()) == [(0, 2), (5, 1), (7, 3)]
+    obs = spark.createDataFrame([(k, *o) for k, o in enumerate(OBS)], "original_row long, alt_count long, depth long, major_cn long, total_cn long")
+    grad = {r["original_row"]: (r["gradient"], r["curvature"]) for r in replay.gradients(obs, 0.9, 0.3).collect()}
+    for k, o in enumerate(OBS):
+        f = lambda cp, o=o: math.log(sum(math.exp(v) for v in plain_kernel(*o, 0.9, cp)))
+        assert grad[k][0] == pytest.approx((f(0.3 + 1e-5) - f(0.3 - 1e-5)) / 2e-5, rel=1e-5, abs=1e-4)
+        assert grad[k][1] == pytest.approx(max(1e-8, -(f(0.3 + 1e-4) - 2 * f(0.3) + f(0.3 - 1e-4)) / 1e-8), rel=1e-3, abs=1e-3)
+
+
+def test_scalar_is_read_whole(spark, tmp_path):
+    (tmp_path / "u").write_text("\n" * 3000 + "0.5\n")
+    assert T.read_scalar(spark, str(tmp_path / "u")) == 0.5
+    (tmp_path / "v").write_text("0.5\n" + "\n" * 3000 + "0.6")
+    with pytest.raises(ValueError, match="one number"):
+        T.read_scalar(spark, str(tmp_path / "v"))
+
+
+def test_no_shared_folder_on_a_cluster():
+    class Nowhere:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda *a: None)
+
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+            getConf = staticmethod(lambda: Nowhere.conf)
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        scratch.shared_dir(Nowhere)
+
+
 def test_stream(spark, tmp_path):
     p, s, points, _ = tables(spark, 60)
     p.write.parquet(f"{tmp_path}/in")
