@@ -45,63 +45,69 @@ def block_stats(blocks: DataFrame, value: str) -> DataFrame:
 
 def _prefix_best(v: np.ndarray, low: int) -> tuple[np.ndarray, list[np.ndarray]]:
     """For rows scored v (rows x labels) whose labels start at `low` or above and never fall: best[b], the best total with labels up
-    to b, and for each label above low where its block starts, by the number of rows so far. Earliest start if tied."""
-    n, q = v.shape
-    sums = np.concatenate([np.zeros((1, q)), np.cumsum(v, axis=0)])
-    best, starts = np.full(q, -np.inf), []
-    so_far = sums[:, low].copy()
-    best[low] = so_far[-1]
-    for b in range(low + 1, q):
-        gain = so_far - sums[:, b]
-        top = np.maximum.accumulate(gain)
-        starts.append(np.maximum.accumulate(np.where(np.concatenate([[True], gain[1:] > top[:-1]]), np.arange(n + 1), 0)))
-        so_far = top + sums[:, b]
-        best[b] = so_far[-1]
-    return best, starts
+    to b, and for each label above low what starting its block after so many rows gains."""
+    sums = np.vstack([np.zeros(v.shape[1]), v.cumsum(axis=0)])
+    best, gains = np.full(v.shape[1], -np.inf), []
+    reached = sums[:, low]
+    best[low] = reached[-1]
+    for b in range(low + 1, v.shape[1]):
+        gains.append(reached - sums[:, b])
+        reached = np.maximum.accumulate(gains[-1]) + sums[:, b]
+        best[b] = reached[-1]
+    return best, gains
 
 
 def best_blocks(ranks: DataFrame, scores: list[Column], weight: Column | None = None) -> tuple[float, list[int]]:
-    """(total, cuts) of the ordered assignment that scores most: the row at rank i takes score k_i, and k never falls along the ranks.
+    """(total, cuts) of the ordered assignment that scores most: the row at rank i takes score k_i, and k never falls along the ranks."""
+    return best_blocks_each(ranks, F.array(*[s if weight is None else s * weight for s in scores]), [len(scores)])[0]
 
-    A block may be empty, which repeats its cut. Scores must be finite. The optimum comes from two passes over
-    ranges of ranks, not one scan over all: each range gives the best total for entering at label a and leaving at
-    label b, q x q numbers, which are chained on the driver; then each range, knowing where it is entered and left,
+
+def best_blocks_each(ranks: DataFrame, values: Column, widths: list[int]) -> list[tuple[float, list[int]]]:
+    """best_blocks for several sets of labels in the same passes: values holds their scores one after another, widths how many each set has.
+
+    A block may be empty, which repeats its cut; of equal starts the earliest counts. Scores must be finite. The optimum comes from
+    two passes over ranges of ranks, not one scan over all: each range gives the best total for entering at label a and leaving at
+    label b, q x q numbers a set, which are chained on the driver; then each range, knowing where it is entered and left,
     gives its blocks' sizes.
     """
-    q = len(scores)
-    values = F.array(*[s if weight is None else s * weight for s in scores])
+    ends = np.cumsum(widths)
+    spans = [(int(e - q), int(e)) for e, q in zip(ends, widths, strict=True)]
     parts = int(ranks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = store(ranks.select("rank", values.alias("v")).repartitionByRange(parts, "rank").withColumn("part", F.spark_partition_id()), "ranges")
+    dealt = store(ranks.select("rank", values.alias("v")).repartitionByRange(parts, "rank").withColumn("part", F.spark_partition_id()), "ranges", codec="lz4")
 
     def matrix(t: pa.Table) -> np.ndarray:
         order = np.argsort(t["rank"].to_numpy(), kind="stable")
-        return np.array(t["v"].to_pylist(), float).reshape(-1, q)[order]
+        return t["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, int(ends[-1]))[order]
 
     def totals(key: tuple, t: pa.Table) -> pa.Table:
         v = matrix(t)
-        m = np.stack([_prefix_best(v, a)[0] for a in range(q)])
-        return pa.table({"part": [key[0].as_py()], "m": [m.ravel().tolist()]}, pa.schema([("part", pa.int32()), ("m", pa.list_(pa.float64()))]))
+        m = np.concatenate([_prefix_best(v[:, lo:hi], a)[0] for lo, hi in spans for a in range(hi - lo)])
+        return pa.table({"part": [key[0].as_py()], "m": [m.tolist()]}, pa.schema([("part", pa.int32()), ("m", pa.list_(pa.float64()))]))
 
     found = sorted((r["part"], r["m"]) for r in dealt.groupBy("part").applyInArrow(totals, "part int, m array<double>").toLocalIterator())
-    state, back = np.array([0.0] + [-np.inf] * (q - 1)), []
-    for _, m in found:
-        paths = state[:, None] + np.array(m).reshape(q, q)
-        back.append(paths.argmax(axis=0))
-        state = paths.max(axis=0)
-    end, route = q - 1, {}
-    for (part, _), b in zip(reversed(found), reversed(back), strict=True):
-        route[part] = int(b[end]), end
-        end = int(b[end])
+    squares = np.cumsum([0, *(q * q for q in widths)])
+    best, routes = [], {part: [] for part, _ in found}
+    for k, q in enumerate(widths):
+        state, back = np.array([0.0] + [-np.inf] * (q - 1)), []
+        for _, m in found:
+            paths = state[:, None] + np.array(m[squares[k] : squares[k + 1]]).reshape(q, q)
+            back.append(paths.argmax(axis=0))
+            state = paths.max(axis=0)
+        end = q - 1
+        for (part, _), b in zip(reversed(found), reversed(back), strict=True):
+            routes[part].append((int(b[end]), end))
+            end = int(b[end])
+        best.append(float(state[-1]))
 
     def sizes(key: tuple, t: pa.Table) -> pa.Table:
-        low, high = route[key[0].as_py()]
-        v = matrix(t)
-        starts, upto, n = _prefix_best(v, low)[1], len(v), np.zeros(q, np.int64)
-        for b in range(high, low, -1):
-            at = int(starts[b - low - 1][upto])
-            n[b], upto = upto - at, at
-        n[low] = upto
-        return pa.table({"label": pa.array(np.arange(q)), "n": pa.array(n)})
+        v, n = matrix(t), np.zeros(int(ends[-1]), np.int64)
+        for (lo, hi), (low, high) in zip(spans, routes[key[0].as_py()], strict=True):
+            gains, upto = _prefix_best(v[:, lo:hi], low)[1], len(v)
+            for b in range(high, low, -1):
+                at = int(gains[b - low - 1][: upto + 1].argmax())
+                n[lo + b], upto = upto - at, at
+            n[lo + low] = upto
+        return pa.table({"label": pa.array(np.arange(len(n))), "n": pa.array(n)})
 
     counts = {r["label"]: r["n"] for r in dealt.groupBy("part").applyInArrow(sizes, "label long, n long").groupBy("label").agg(F.sum("n").alias("n")).collect()}
-    return float(state[-1]), np.cumsum([counts.get(k, 0) for k in range(q - 1)]).astype(int).tolist()
+    return [(total, np.cumsum([counts.get(k, 0) for k in range(lo, hi - 1)]).astype(int).tolist()) for total, (lo, hi) in zip(best, spans, strict=True)]

@@ -1,11 +1,13 @@
 """Fitting: one order of all observations, contiguous blocks for every number of clusters, and the best by BIC.
 
-The loops run on the driver, each step over all rows as a Spark job; what comes back is a few numbers a step.
+The loops run on the driver, each step over all rows as a Spark job; what comes back is a few numbers a step. All numbers of
+clusters are fitted together, so a pass over the rows serves all of them.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,13 +22,18 @@ from tallyspan.operators import mixture as M
 from tallyspan.plans.ranks import ranked
 from tallyspan.plans.scratch import store
 
-GRID, ROUNDS, GAP = 257, 25, 1e-3
+GRID, ROUNDS, GAP = 257, 100, 1e-6
 MOST_CLUSTERS = 10
+STRETCHES = 1024  # equal parts of the chain that the first blocks are made of
+WEIGHT_GAP = 1e-8
 
 
 @dataclass
 class Fit:
-    """Clusters by falling fraction: centers and weights; cuts of the chain in rising order of the pilot."""
+    """Clusters by falling fraction: centers and weights; cuts of the chain in rising order of the pilot.
+
+    gap bounds what better weights could add to the mean log likelihood; settled tells that neither cuts nor centers moved any more.
+    """
 
     k: int
     centers: list[float]
@@ -36,6 +43,8 @@ class Fit:
     conditional: float
     bic: float
     n: int
+    gap: float
+    settled: bool
 
 
 def _sums(obs: DataFrame, columns: list, of) -> np.ndarray:
@@ -63,14 +72,25 @@ NEEDED = ("alt_count", "depth", "major_cn", "den", "const")
 def logliks(alt: np.ndarray, depth: np.ndarray, major: np.ndarray, den: np.ndarray, const: np.ndarray, cps: np.ndarray) -> np.ndarray:
     """Rows x cps: the log likelihood of prepared rows. cps: one set for all rows, or a row of its own for each."""
     alt, rest, den, const = (np.asarray(x, float)[:, None] for x in (alt, depth - alt, den, const))
-    cps = np.atleast_2d(cps)
-    out = np.full((len(alt), cps.shape[1]), -np.inf)
+    cps = np.broadcast_to(np.atleast_2d(cps), (len(alt), np.atleast_2d(cps).shape[1]))
+    terms = []
     with np.errstate(divide="ignore", invalid="ignore"):
         for m in range(1, int(major.max(initial=0)) + 1):
-            p = np.minimum(1.0, cps * (m / den))
-            value = np.where(alt == 0, 0.0, alt * np.log(p)) + np.where(rest == 0, 0.0, rest * np.log1p(-p)) + const
-            out = np.where((major >= m)[:, None], np.logaddexp(out, value), out)
-    return out
+            has = slice(None) if (major >= m).all() else np.flatnonzero(major >= m)
+            p = np.minimum(1.0, cps[has] * (m / den[has]))
+            left = rest[has] * np.log1p(-p)
+            left[rest[has][:, 0] == 0] = 0.0
+            value = alt[has] * np.log(p)
+            value[alt[has][:, 0] == 0] = 0.0
+            terms.append((has, value + left))
+        top = np.full(cps.shape, -np.inf)
+        for has, value in terms:
+            top[has] = np.maximum(top[has], value)
+        shift = np.where(np.isneginf(top), 0.0, top)
+        total = np.zeros(cps.shape)
+        for has, value in terms:
+            total[has] += np.exp(value - shift[has])
+        return np.log(total) + shift + const
 
 
 def loglik_array(cps: list[float]) -> Column:
@@ -90,11 +110,77 @@ def _matrix(b: pa.RecordBatch, name: str) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
+def nonnegative_minimum(a: np.ndarray, c: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """x >= 0 that minimises x'ax / 2 - c'x, by an active set: entries that reach 0 are fixed there, the one that would gain most is freed."""
+    a = a + 1e-10 * np.trace(a) / len(a) * np.eye(len(a))
+    x, free = start.copy(), start > 0
+    for _ in range(20 * len(c)):
+        while free.any():
+            at = np.flatnonzero(free)
+            z = np.linalg.solve(a[np.ix_(at, at)], c[at])
+            if (z > 0).all():
+                x[:] = 0
+                x[at] = z
+                break
+            down = z <= 0
+            step = (x[at][down] / (x[at][down] - z[down])).min()
+            x[at] += step * (z - x[at])
+            gone = at[down & (x[at] <= 1e-14)]
+            if not len(gone):
+                gone = at[down][[np.argmin(x[at][down])]]
+            x[gone], free[gone] = 0, False
+        slope = c - a @ x
+        slope[free] = -np.inf
+        if slope.max() <= 1e-10:
+            break
+        free[slope.argmax()] = True
+    return x
+
+
+class Weights:
+    """Mixture weights on their way to the maximum: quadratic models of the mean log likelihood, steps halved until it rises.
+
+    advance() takes the sums over all rows at self.at, and sets self.at to where they are needed next.
+    """
+
+    def __init__(self, start: np.ndarray):
+        self.at = np.array(start, float) / np.sum(start)
+        self.weights, self.value, self.gap, self.step = self.at, -math.inf, math.inf, 0.0
+        self.aim = self.at
+
+    def advance(self, mean: float, score: np.ndarray, square: np.ndarray) -> None:
+        """mean log likelihood; means of each component's share by its weight; means of the products of two of these."""
+        if self.value == -math.inf or (np.isfinite(mean) and mean >= self.value):
+            self.weights, self.value, self.gap, self.step = self.at, mean, float(score.max()) - 1, 1.0
+            self.aim = nonnegative_minimum(square, 2 * score - 1, self.weights)
+            self.aim = self.aim / self.aim.sum()
+        else:
+            self.step /= 2
+        self.at = self.weights + self.step * (self.aim - self.weights)
+
+    def done(self, gap: float) -> bool:
+        return self.gap <= gap or (0 < self.step < 1e-6)
+
+
+def _moments(like: np.ndarray, top: np.ndarray, freq: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Sums for Weights.advance: n, log likelihood, scores, and products of scores."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        mass = like @ w
+        share = like / mass[:, None]
+        return np.concatenate([[freq.sum(), freq @ (np.log(mass) + top)], freq @ share, (share.T @ (share * freq[:, None])).ravel()])
+
+
+def _advance(weights: Weights, sums: np.ndarray) -> None:
+    q, mean = len(weights.at), sums / sums[0]
+    weights.advance(float(mean[1]), mean[2 : q + 2], mean[q + 2 :].reshape(q, q))
+
+
 def pilot(obs: DataFrame, purity: float, points: int = GRID, rounds: int = ROUNDS, gap: float = GAP) -> DataFrame:
     """Prepared observations with pilot, the posterior mean fraction under the grid mixture that fits all of them best.
 
-    Likelihoods on the grid are computed once and stored, relative to each row's largest, in single precision; each round of expectation and maximisation is one pass
-    that sums `points` numbers a task. The mean log likelihood is within `gap` of its maximum once no grid point's score exceeds 1 by more.
+    Likelihoods on the grid are computed once and stored, relative to each row's largest, in single precision; each round is one pass
+    that sums `points` squared numbers a task. The mean log likelihood is within `gap` of its maximum once no grid point's score
+    exceeds 1 by more; if `rounds` end before that, a warning says so.
     """
     grid = np.linspace(0.0, purity, points)
 
@@ -110,21 +196,20 @@ def pilot(obs: DataFrame, purity: float, points: int = GRID, rounds: int = ROUND
         return np.frombuffer(b"".join(rows), np.float32).reshape(-1, points).astype(float)
 
     ready = store(M.prepared(obs, purity).withColumn("_l", relative(*NEEDED)), "grid", codec="lz4")
-    n = ready.agg(F.sum("freq")).first()[0] or 0
-    weights = np.full(points, 1.0 / points)
-    for _ in range(rounds if n else 0):
-        w = weights
+    found = Weights(np.full(points, 1.0 / points))
+    for _ in range(0 if ready.isEmpty() else rounds):
+        w = found.at
 
         def score(b: pa.RecordBatch) -> np.ndarray:
             like = matrix(b.column(b.schema.names.index("_l")).to_pylist())
-            return (b.column(b.schema.names.index("freq")).to_numpy() / (like @ w)) @ like
+            return _moments(like, np.zeros(len(like)), b.column(b.schema.names.index("freq")).to_numpy(), w)
 
-        s = _sums(ready, ["_l", "freq"], score) / n
-        if s.max() - 1 <= gap:
+        _advance(found, _sums(ready, ["_l", "freq"], score))
+        if found.done(gap):
             break
-        weights = weights * s**1.5  # a longer step than expectation alone; the sum is set right below
-        weights /= weights.sum()
-    w = weights
+    if found.gap > gap and found.value > -math.inf:
+        warnings.warn(f"the pilot mixture ended {found.gap:.1e} from its optimum", stacklevel=2)
+    w = found.weights
 
     @F.pandas_udf("double")
     def mean(rows: pd.Series) -> pd.Series:
@@ -134,89 +219,183 @@ def pilot(obs: DataFrame, purity: float, points: int = GRID, rounds: int = ROUND
     return ready.withColumn("pilot", mean("_l")).drop("_l")
 
 
-def refit(blocks: DataFrame, purity: float, points: int = 65, rounds: int = 3) -> dict[int, tuple[float, float]]:
-    """Per block (center, log likelihood): the best of a grid over [0, purity], then of finer ones around it. All blocks in one job a round.
+def _by_block(b: pa.RecordBatch) -> dict[str, np.ndarray]:
+    """A batch's columns in chain order, so that blocks are slices."""
+    columns = {n: b.column(k).to_numpy(zero_copy_only=False) for k, n in enumerate(b.schema.names)}
+    order = np.argsort(columns["rank"], kind="stable")
+    return {n: c[order] for n, c in columns.items()}
+
 
-    blocks: prepared observations with freq and block.
+def _block_sums(chain: DataFrame, cuts: list[list[int]], points: list[np.ndarray], purity: float) -> list[np.ndarray]:
+    """For each partition, given by its cuts, blocks x points: the log likelihood of a block at its points.
+
+    points: for each partition blocks x points, or one row for all blocks. One pass, whatever the number of partitions.
     """
-    spread, middle, best = purity / 2, {}, {}
-    offsets = np.linspace(-1, 1, points)
-    for _ in range(rounds):
-        around, width = dict(middle), spread
-
-        def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total: dict[int, np.ndarray] = {}
-            for batch in batches:
-                columns = {n: batch.column(k).to_numpy(zero_copy_only=False) for k, n in enumerate(batch.schema.names)}
-                for block in np.unique(columns["block"]):
-                    mine = np.flatnonzero(columns["block"] == block)
-                    cps = np.clip(around.get(int(block), purity / 2) + offsets * width, 0.0, purity)
-                    for k in range(0, len(mine), 2000):
-                        some = mine[k : k + 2000]
-                        value = columns["freq"][some] @ logliks(*(columns[n][some] for n in NEEDED), cps)
-                        total[int(block)] = total.get(int(block), 0.0) + value
-            rows = [(b, float(c), float(v)) for b, values in total.items() for c, v in zip(np.clip(around.get(b, purity / 2) + offsets * width, 0.0, purity), values, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.float64(), pa.float64()))], names=["block", "cp", "v"])
-
-        scores = blocks.select("block", "freq", *NEEDED).mapInArrow(sums, "block long, cp double, v double").groupBy("block", "cp").agg(F.sum("v").alias("loglik"))
-        best = {r["block"]: (r["cp"], r["loglik"]) for r in M.best_on_grid(scores, ("block",)).collect()}
-        middle = {b: c for b, (c, _) in best.items()}
-        spread *= 2.5 / (points - 1)
-    return best
-
-
-def mixture_weights(obs: DataFrame, centers: list[float], start: list[float], rounds: int = 25, gap: float = 1e-5) -> tuple[list[float], float]:
-    """(weights, log likelihood) at fixed centers. The likelihoods are stored once; the log likelihood is within n * gap of its maximum."""
-    ready = store(obs.select("freq", loglik_array(centers).alias("t")).withColumn("top", F.array_max("t")).withColumn("t", F.transform("t", lambda v: F.exp(v - F.col("top")))), "weights", codec="lz4")
-    weights = np.array(start, float) / sum(start)
-    value = 0.0
-    for _ in range(rounds):
-        w = weights
+    shared = all(p is points[0] for p in points) and len(points[0]) == 1
+    shapes = [(len(c) + 1, p.shape[1]) for c, p in zip(cuts, points, strict=True)]
+
+    def sums(b: pa.RecordBatch) -> np.ndarray:
+        out = [np.zeros(s) for s in shapes]
+        rows = _by_block(b)
+        for k in range(0, len(rows["rank"]), 2000):
+            some = {n: c[k : k + 2000] for n, c in rows.items()}
+            like = logliks(*(some[n] for n in NEEDED), points[0][0]) if shared else None
+            for own, cut, at in zip(out, cuts, points, strict=True):
+                edges = [0, *np.searchsorted(some["rank"], cut), len(some["rank"])]
+                for j in range(len(own)):
+                    part = slice(edges[j], edges[j + 1])
+                    if part.start < part.stop:
+                        here = like[part] if shared else logliks(*(some[n][part] for n in NEEDED), at[j % len(at)])
+                        own[j] += some["freq"][part] @ here
+        return np.concatenate([o.ravel() for o in out])
+
+    flat, out, start = _sums(chain, ["rank", "freq", *NEEDED], sums), [], 0
+    for s in shapes:
+        out.append(flat[start : start + s[0] * s[1]].reshape(s))
+        start += s[0] * s[1]
+    return out
 
-        def step(b: pa.RecordBatch) -> np.ndarray:
-            like, freq = _matrix(b, "t"), b.column(b.schema.names.index("freq")).to_numpy().astype(float)
-            mass = like @ w
-            return np.append((freq / mass) @ like, [freq @ (np.log(mass) + b.column(b.schema.names.index("top")).to_numpy()), freq.sum()])
 
-        s = _sums(ready, ["t", "freq", "top"], step)
-        value, score = float(s[-2]), s[:-2] / s[-1]
-        if score.max() - 1 <= gap:
-            break
-        weights = weights * score
-        weights /= weights.sum()
-    return weights.tolist(), value
+def refit(chain: DataFrame, purity: float, cuts: list[list[int]], around: list[np.ndarray] | None = None, zooms: int = 1, points: int = 33) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """(centers, log likelihoods) of each partition's blocks: the best of the whole grid, or of two of its steps around given centers,
+    then of finer ones around that. A pass over the rows for each of these, for all partitions together. Of equal ones the smallest."""
 
+    def top(at: list[np.ndarray], values: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        picks = [v.argmax(axis=1) for v in values]
+        return [np.take_along_axis(np.broadcast_to(a, v.shape), p[:, None], 1)[:, 0] for a, v, p in zip(at, values, picks, strict=True)], [v.max(axis=1) for v in values]
+
+    best, width, offsets = [], 2 * purity / (GRID - 1), np.linspace(-1, 1, points)
+    if around is None:
+        at = [np.linspace(0.0, purity, GRID)[None, :]] * len(cuts)
+        around, best = top(at, _block_sums(chain, cuts, at, purity))
+    for _ in range(zooms):
+        at = [np.clip(c[:, None] + offsets * width, 0.0, purity) for c in around]
+        around, best = top(at, _block_sums(chain, cuts, at, purity))
+        width *= 2.5 / (points - 1)
+    return around, best
+
+
+def first_blocks(chain: DataFrame, purity: float, total: int, most: int) -> tuple[list[list[int]], list[np.ndarray]]:
+    """(cuts, centers) of the best 1..most blocks that are made of whole stretches of the chain and have centers on the grid.
+
+    A pass sums the likelihoods of each stretch on the grid; of a chain of any length STRETCHES x GRID numbers come back, on which the
+    best blocks are searched in full.
+    """
+    grid, n = np.linspace(0.0, purity, GRID), min(STRETCHES, total)
+    edges = [total * j // n for j in range(n + 1)]
+    inner = edges[1:-1]
+
+    def sums(b: pa.RecordBatch) -> np.ndarray:
+        out, rows = np.zeros((n, 2, GRID)), _by_block(b)
+        for k in range(0, len(rows["rank"]), 2000):
+            some = {name: c[k : k + 2000] for name, c in rows.items()}
+            like = logliks(*(some[name] for name in NEEDED), grid)
+            never = np.isneginf(like)
+            which = np.searchsorted(inner, some["rank"], side="right")
+            first = np.flatnonzero(np.diff(which, prepend=-1))
+            freq = some["freq"][:, None]
+            out[which[first], 0] += np.add.reduceat(np.where(never, 0.0, like) * freq, first)
+            out[which[first], 1] += np.add.reduceat(never * freq, first)
+        return out.ravel()
+
+    upto = np.concatenate([np.zeros((1, 2, GRID)), _sums(chain, ["rank", "freq", *NEEDED], sums).reshape(n, 2, GRID).cumsum(axis=0)])
+
+    def at_grid(i, j):
+        return np.where(upto[j, 1] > upto[i, 1], -np.inf, upto[j, 0] - upto[i, 0])
+
+    gain = np.full((n + 1, n + 1), -np.inf)  # of one block from stretch i up to j
+    for i in range(n):
+        gain[i, i + 1 :] = at_grid(i, slice(i + 1, None)).max(axis=1)
+    state, back, found = gain[0].copy(), [], [[0, n]]
+    for k in range(2, min(most, n) + 1):
+        paths = state[:, None] + gain
+        back.append(paths.argmax(axis=0))
+        state = paths.max(axis=0)
+        ends = [n]
+        for b in reversed(back):
+            ends.append(int(b[ends[-1]]))
+        found.append([0, *reversed(ends)])
+    centers = [np.array([grid[at_grid(i, j).argmax()] for i, j in zip(f, f[1:], strict=False)]) for f in found]
+    return [[edges[e] for e in f[1:-1]] for f in found], centers
+
+
+def mixture_weights(obs: DataFrame, centers: list[list[float]], start: list[list[float]], rounds: int = ROUNDS, gap: float = WEIGHT_GAP) -> list[tuple[list[float], float, float]]:
+    """(weights, log likelihood, gap) for each list of fixed centers. The likelihoods are stored once; the log likelihood is within n * gap of its maximum."""
+    ends = np.cumsum([len(c) for c in centers])
+    spans = [(int(e) - len(c), int(e)) for e, c in zip(ends, centers, strict=True)]
+    ready = store(obs.select("freq", loglik_array([c for each in centers for c in each]).alias("t")), "weights", codec="lz4")
+    found = [Weights(np.array(s, float)) for s in start]
+    for _ in range(rounds):
+        todo = [k for k, f in enumerate(found) if not f.done(gap)]
+        if not todo:
+            break
+        at = {k: found[k].at for k in todo}
 
-def partition(chain: DataFrame, purity: float, k: int, cuts: list[int], rounds: int = 4) -> Fit | None:
-    """Alternates block centres and the best blocks for them until the blocks stay. None if a block is left empty."""
-    before = -math.inf
+        def step(b: pa.RecordBatch) -> np.ndarray:
+            like, freq = _matrix(b, "t"), b.column(b.schema.names.index("freq")).to_numpy().astype(float)
+            out = []
+            for k, w in at.items():
+                own = like[:, slice(*spans[k])]
+                top = own.max(axis=1)
+                out.append(_moments(np.exp(own - top[:, None]), top, freq, w))
+            return np.concatenate(out)
+
+        flat, begin = _sums(ready, ["t", "freq"], step), 0
+        for k in todo:
+            size = 2 + len(at[k]) + len(at[k]) ** 2
+            n = flat[begin]
+            _advance(found[k], flat[begin : begin + size])
+            begin += size
+    return [(f.weights.tolist(), f.value * float(n), f.gap) for f in found]
+
+
+def partitions(chain: DataFrame, purity: float, cuts: list[list[int]], centers: list[np.ndarray], rounds: int = 50, gain: float = 1e-9) -> list[Fit]:
+    """cuts and centers: where each partition starts. Alternates block centers and the best blocks for them, for all partitions together, until no likelihood rises by more than
+    `gain` of itself; the centers are then those of the last blocks. A partition that would lose a block keeps its blocks."""
+    cuts, settled = [list(c) for c in cuts], [len(c) == 0 for c in cuts]
+    centers, values = refit(chain, purity, cuts, centers)
     for _ in range(rounds):
-        blocks = C.labelled(chain, cuts)
-        best = refit(blocks, purity)
-        if len(best) < k:
-            return None
-        centers = [best[b][0] for b in range(k)]
-        conditional = math.fsum(v for _, v in best.values())
-        if conditional - before <= 1e-7 * max(1.0, abs(conditional)):
+        todo = [k for k, done in enumerate(settled) if not done]
+        if not todo:
             break
-        before = conditional
+        flat = [float(c) for k in todo for c in centers[k]]
         # minus infinity has no place in sums: a score that low is never chosen over a finite one
-        scores = [F.greatest(F.col("_s")[j], F.lit(-1e12)) for j in range(k)]
-        _, found = C.best_blocks(chain.withColumn("_s", loglik_array(centers)), scores, F.col("freq"))
-        if found == cuts or len({*found, 0}) < k:
+        scores = F.transform("_s", lambda v: F.greatest(v, F.lit(-1e12)) * F.col("freq"))
+        found = C.best_blocks_each(chain.select("rank", "freq", loglik_array(flat).alias("_s")), scores, [len(centers[k]) for k in todo])
+        for k, (_, new) in zip(todo, found, strict=True):
+            if new == cuts[k] or len({*new, 0}) <= len(new):
+                settled[k] = True
+            else:
+                cuts[k] = new
+        todo = [k for k in todo if not settled[k]]
+        if not todo:
             break
-        cuts = found
-    sizes = {r["block"]: r["n"] for r in C.labelled(chain, cuts).groupBy("block").agg(F.sum("freq").alias("n")).collect()}
-    weights, value = mixture_weights(chain, centers, [sizes[b] for b in range(k)])
-    n = sum(sizes.values())
-    order = sorted(range(k), key=lambda b: (-centers[b], b))
-    return Fit(k, [centers[b] for b in order], [weights[b] for b in order], cuts, value, conditional, -2 * value + (2 * k - 1) * math.log(n), n)
+        at, new_values = refit(chain, purity, [cuts[k] for k in todo], [centers[k] for k in todo])
+        for k, c, v in zip(todo, at, new_values, strict=True):
+            settled[k] = bool(v.sum() - values[k].sum() <= gain * abs(v.sum()))
+            centers[k], values[k] = c, v
+    centers, values = refit(chain, purity, cuts, zooms=4)
+    sizes = _sizes(chain, cuts)
+    n = int(sum(sizes[0]))
+    out = []
+    for k, (weights, value, gap) in enumerate(mixture_weights(chain, [c.tolist() for c in centers], sizes)):
+        q, c = len(centers[k]), centers[k]
+        order = sorted(range(q), key=lambda b: (-c[b], b))
+        out.append(Fit(q, [float(c[b]) for b in order], [weights[b] for b in order], cuts[k], value, math.fsum(values[k]), -2 * value + (2 * q - 1) * math.log(n), n, gap, settled[k]))
+    return out
 
 
-def quantile_cuts(chain: DataFrame, k: int) -> list[int]:
-    """First ranks of k blocks of about equal numbers of observations: where fitting starts."""
-    n = chain.count()
-    return [n * j // k for j in range(1, k)]
+def _sizes(chain: DataFrame, cuts: list[list[int]]) -> list[list[float]]:
+    """How many observations each block of each partition holds."""
+
+    def sums(b: pa.RecordBatch) -> np.ndarray:
+        rank, freq = (b.column(b.schema.names.index(n)).to_numpy() for n in ("rank", "freq"))
+        return np.concatenate([np.bincount(np.searchsorted(c, rank, side="right"), freq, len(c) + 1) for c in cuts])
+
+    flat, out = _sums(chain, ["rank", "freq"], sums).tolist(), []
+    for c in cuts:
+        out, flat = [*out, flat[: len(c) + 1]], flat[len(c) + 1 :]
+    return out
 
 
 def chained(rows: DataFrame, purity: float) -> DataFrame:
@@ -226,21 +405,11 @@ def chained(rows: DataFrame, purity: float) -> DataFrame:
 
 
 def fits(rows: DataFrame, purity: float, most: int = MOST_CLUSTERS) -> tuple[DataFrame, list[Fit]]:
-    """(chain, fits for 1..most clusters). Each number starts from the last fit, its largest block halved."""
-    chain, found = chained(rows, purity), []
-    total = chain.count()
-    for k in range(1, min(most, total) + 1):
-        starts = [] if found else [quantile_cuts(chain, k)]
-        if found:
-            edges = [0, *found[-1].cuts, total]
-            wide = max(range(len(edges) - 1), key=lambda j: edges[j + 1] - edges[j])
-            starts.append(sorted({*found[-1].cuts, (edges[wide] + edges[wide + 1]) // 2}))
-        tried = [f for cuts in starts if len({*cuts, 0}) == k and (f := partition(chain, purity, k, cuts))]
-        if not tried:
-            break
-        found.append(min(tried, key=lambda f: (f.bic, f.cuts)))
-        if len(found) > 2 and found[-1].bic > found[-2].bic > found[-3].bic:
-            break
+    """(chain, fits for 1..most clusters, or as many as there are distinct observations). None is left out for its BIC."""
+    chain = chained(rows, purity)
+    found = partitions(chain, purity, *first_blocks(chain, purity, chain.count(), most))
+    if late := [f.k for f in found if not f.settled or f.gap > WEIGHT_GAP]:
+        warnings.warn(f"not settled: fits of {late} clusters", stacklevel=2)
     return chain, found
 
 

@@ -186,8 +186,37 @@ def test_refusals(spark, tmp_path, name, change, said):
 
 def test_mixture_weights(spark):
     df = M.prepared(spark.createDataFrame([(a, 100, 1, 2, f) for a, f in ((40, 3), (41, 2), (15, 5))], "alt_count long, depth long, major_cn long, total_cn long, freq long"), 0.9)
-    w, _ = P.mixture_weights(df, [0.8, 0.3], [1, 1])
-    assert w == pytest.approx([0.5, 0.5], abs=1e-3)
+    (w, _, gap), (one, _, _) = P.mixture_weights(df, [[0.8, 0.3], [0.5]], [[1, 1], [1]])
+    assert w == pytest.approx([0.5, 0.5], abs=1e-3) and gap <= P.WEIGHT_GAP and one == [1]
+
+
+def test_partitions_against_all_cuts(spark):
+    rng = random.Random(5)
+    seen = {(a, 40, *rng.choice([(1, 2), (2, 3), (3, 4)])) for a in rng.sample(range(40), 14)}
+    obs = spark.createDataFrame([(*o, rng.randint(1, 4)) for o in sorted(seen)], "alt_count long, depth long, major_cn long, total_cn long, freq long")
+    ready = M.prepared(obs, 0.9).withColumn("pilot", F.col("alt_count") / F.col("depth"))
+    chain = scratch.store(ranked(ready, [F.col("pilot"), F.col("major_cn")], "rank", 0), "chain")
+    found = P.partitions(chain, 0.9, *P.first_blocks(chain, 0.9, 14, 4))
+    rows = chain.orderBy("rank").toPandas()
+    like = P.logliks(*(rows[c].to_numpy() for c in P.NEEDED), np.linspace(0, 0.9, 4001)) * rows["freq"].to_numpy()[:, None]
+    block = {(i, j): like[i:j].sum(axis=0).max() for i, j in combinations(range(15), 2)}
+    assert [f.k for f in found] == [1, 2, 3, 4]
+    for f in found:
+        best = max(sum(block[pair] for pair in zip((0, *cuts), (*cuts, 14), strict=True)) for cuts in combinations(range(1, 14), f.k - 1))
+        assert f.settled and f.conditional == pytest.approx(best, rel=1e-4) and f.n == rows["freq"].sum()
+        assert f.gap <= P.WEIGHT_GAP and sum(f.weights) == pytest.approx(1)
+
+
+def test_pilot_is_at_the_optimum(spark):
+    rng = random.Random(8)
+    seen = {(rng.randint(0, 30), 30, 2, 3): rng.randint(1, 9) for _ in range(60)}
+    obs = spark.createDataFrame([(*o, f) for o, f in seen.items()], "alt_count long, depth long, major_cn long, total_cn long, freq long").repartition(3)
+    got = P.pilot(obs, 0.8, points=33).orderBy("alt_count").toPandas()
+    like = np.exp(P.logliks(*(got[c].to_numpy() for c in P.NEEDED), np.linspace(0, 0.8, 33)))
+    freq, w = got["freq"].to_numpy() / got["freq"].sum(), np.full(33, 1 / 33)
+    for _ in range(20000):
+        w = w * ((freq / (like @ w)) @ like)
+    assert got["pilot"].to_numpy() == pytest.approx(like @ (w * np.linspace(0, 0.8, 33)) / (like @ w), abs=2e-3)
 
 
 def test_records_and_replays(spark):
