@@ -1,4 +1,4 @@
-"""python -m tallyspan fit|validate POINTS SEGMENTS PURITY [OUTPUT]: exit 0, or 1 with a message."""
+"""python -m tallyspan fit|validate POINTS SEGMENTS PURITY [OUTPUT], or verify OUTPUT: exit 0, or 1 with a message."""
 
 import argparse
 import json
@@ -11,18 +11,25 @@ def main(argv=None) -> int:
     from tallyspan import api
 
     parser = argparse.ArgumentParser("tallyspan")
-    parser.add_argument("what", choices=("fit", "validate"))
-    parser.add_argument("points")
-    parser.add_argument("segments")
-    parser.add_argument("purity")
-    parser.add_argument("output", nargs="?")
+    parser.add_argument("what", choices=("fit", "validate", "verify"))
+    parser.add_argument("paths", nargs="+", help="points, segments, purity and, to fit, output; to verify, the output")
     parser.add_argument("--most", type=int, default=10)
+    parser.add_argument("--clusters", type=int)
     a = parser.parse_args(argv)
+    needed = {"fit": 4, "validate": 3, "verify": 1}[a.what]
     spark = SparkSession.builder.appName("tallyspan").getOrCreate()
     try:
-        if a.what == "fit" and not a.output:
-            raise ValueError("fit needs an output path")
-        print(json.dumps(api.fit(spark, a.points, a.segments, a.purity, a.output, a.most) if a.what == "fit" else api.validate_inputs(spark, a.points, a.segments, a.purity)))
+        if len(a.paths) != needed:
+            raise ValueError(f"{a.what} needs {needed} paths")
+        if a.what == "fit":
+            print(json.dumps(api.fit(spark, *a.paths, config=api.FitConfig(a.most, a.clusters))))
+        elif a.what == "validate":
+            print(json.dumps(api.validate_inputs(spark, *a.paths)))
+        else:
+            found = api.verify(spark, *a.paths)
+            print(json.dumps(found))
+            if any(found.values()):
+                raise RuntimeError("the run breaks rules")
     except (ValueError, RuntimeError, OSError) as e:
         print(f"error: {e}", file=sys.stderr)
         return 1

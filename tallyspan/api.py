@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyspan.operators import checks, ledger
@@ -13,6 +16,32 @@ POINT_COLUMNS = ["chromosome_index", "position", "ref_count", "alt_count"]
 SEGMENT_COLUMNS = ["chromosome_index", "start_position", "end_position", "major_cn", "minor_cn", "total_cn"]
 
 
+@dataclass(frozen=True)
+class FitConfig:
+    """How to fit: up to max_clusters, or exactly `clusters`. Names go into the published record."""
+
+    max_clusters: int = P.MOST_CLUSTERS
+    clusters: int | None = None
+    sample_id: str = "sample"
+    assembly: str = "unspecified"
+
+    def __post_init__(self) -> None:
+        for name in ("max_clusters", "clusters"):
+            value = getattr(self, name)
+            if value is None and name == "clusters":
+                continue
+            if type(value) is not int or not 1 <= value <= P.MOST_CLUSTERS:
+                raise ValueError(f"{name} must be a whole number from 1 to {P.MOST_CLUSTERS}")
+        for name, forbidden in (("sample_id", "/\\\t\r\n"), ("assembly", "\t\r\n")):
+            value = getattr(self, name)
+            if not isinstance(value, str) or not value.strip() or set(value) & set(forbidden):
+                raise ValueError(f"{name} must be a name without separators")
+
+    def capacities(self, n: int) -> list[int]:
+        """The numbers of clusters to fit to n distinct observations."""
+        return [self.clusters] if self.clusters else list(range(1, min(n, self.max_clusters) + 1))
+
+
 def _read(spark: SparkSession, points: str, segments: str, purity: str) -> tuple[DataFrame, float]:
     p, s = ledger.points_of(T.read_table(spark, points, POINT_COLUMNS)), ledger.segments_of(T.read_table(spark, segments, SEGMENT_COLUMNS))
     p, s = store(p, "points"), store(s, "segments")
@@ -27,22 +56,35 @@ def validate_inputs(spark: SparkSession, points: str, segments: str, purity: str
     return ledger.summary(rows).first().asDict() | {"purity": value, "reasons": reasons}
 
 
-def fit(spark: SparkSession, points: str, segments: str, purity: str, output: str, most: int = P.MOST_CLUSTERS) -> dict:
-    """Fits 1..most clusters and publishes mutations, clusters and the ledger of the best by BIC under output, which must not exist."""
+def fit(spark: SparkSession, points: str, segments: str, purity: str, output: str, most: int = P.MOST_CLUSTERS, config: FitConfig | None = None) -> dict:
+    """Fits what config asks for (without one 1..most clusters) and publishes the best by BIC under output, which must not exist:
+    mutations, clusters, the ledger, all fits, and the posterior tables."""
+    config = config or FitConfig(max_clusters=most)
     rows, value = _read(spark, points, segments, purity)
     kept = store(ledger.retained(rows), "retained")
     if kept.isEmpty():
         raise ValueError("no observation is retained")
-    chain, found = P.fits(kept, value, most)
+    chain, found = P.fits(kept, value, config.max_clusters, config.clusters)
     best = P.best(found)
-    tables = {k: store(t, k) for k, t in P.tables(kept, chain, best, value).items()}
-    if broken := {r["rule"]: r["n"] for r in checks.cluster_rules(tables["clusters"], tables["mutations"], value).collect() if r["n"]}:
+    tables = P.tables(kept, chain, best, value) | P.posterior_tables(kept, chain, best, value)
+    tables = {k: store(t, k) for k, t in tables.items()} | {"fits": P.fit_table(spark, found)}
+    if broken := {r["rule"]: r["n"] for r in P.faults(kept, tables, value).collect() if r["n"]}:
         raise RuntimeError(f"the fitted tables break rules: {broken}")
-    about = {"purity": value, "clusters": best.k, "bic": best.bic, "loglik": best.loglik, "n": best.n, "bic_by_k": {str(f.k): f.bic for f in found}}
+    about = {"purity": value, "clusters": best.k, "bic": best.bic, "loglik": best.loglik, "n": best.n, "bic_by_k": {str(f.k): f.bic for f in found}, "sample_id": config.sample_id, "assembly": config.assembly, "settled": best.settled, "weight_gap": best.gap}
     T.publish(tables | {"ledger": rows}, output, about)
     return about
 
 
+TABLES = ("mutations", "clusters", "ledger", "fits", "posterior_clusters", "posterior_flow", "posterior_summary", "posterior_mutations")
+
+
 def load_result(spark: SparkSession, output: str) -> dict[str, DataFrame]:
     """The published tables."""
-    return {name: spark.read.parquet(f"{output}/{name}") for name in ("mutations", "clusters", "ledger")}
+    return {name: spark.read.parquet(f"{output}/{name}") for name in TABLES}
+
+
+def verify(spark: SparkSession, output: str) -> dict[str, int]:
+    """Broken rules of a published run by name, counted on its tables as they are: all 0 if it is sound."""
+    found = load_result(spark, output)
+    about = json.loads(spark.read.text(f"{output}/about").first()["value"])
+    return {r["rule"]: r["n"] for r in P.faults(ledger.retained(found["ledger"]), found, about["purity"]).collect()}

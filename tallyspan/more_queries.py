@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyspan import queries as Q
+from tallyspan.operators import checks
 from tallyspan.operators import mixture as M
 from tallyspan.operators import records as R
 from tallyspan.operators import replay as V
@@ -184,3 +185,33 @@ def refit_grid(spark, sf_dir):
     """A uniform grid and the modes of components, sorted apart and each once."""
     modes = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey") % 7).toDF("k").where("k < 6").select((F.col("k").cast("double") / 7).alias("cp"))
     return selection.united(spark.range(19).select((F.col("id") / 20).alias("cp")), modes)
+
+
+@Q.query("""SELECT rule, n FROM (SELECT 'missing' AS rule, count(*) AS n FROM ret WHERE original_row % 11 = 0 UNION ALL SELECT 'unknown', count(*) FROM ret WHERE original_row % 19 = 0
+  UNION ALL SELECT 'repeated', count(*) FROM ret WHERE original_row % 13 = 0 AND original_row % 11 > 0 UNION ALL SELECT 'cluster', coalesce(sum(times), 0)::BIGINT FROM mut WHERE original_row % 17 = 0
+  UNION ALL SELECT 'call', coalesce(sum(times), 0)::BIGINT FROM mut JOIN (SELECT p.original_row FROM (SELECT original_row, k, m, exp(v - loglik) AS p FROM ker JOIN ll USING (original_row, k)) p
+    JOIN lab ON lab.original_row = p.original_row AND label = k JOIN ret ON ret.original_row = p.original_row GROUP BY 1 HAVING max(p) FILTER (m = 1 + p.original_row % major_cn) < max(p) - 1e-9) USING (original_row) WHERE original_row % 17 > 0)""",
+         Q._MIX + ", mut AS (SELECT original_row, CASE WHEN original_row % 13 = 0 THEN 2 ELSE 1 END AS times FROM ret WHERE original_row % 11 > 0)")
+def row_faults(spark, sf_dir):
+    """Mutations with planted faults: rows left out, made up, doubled, of a cluster that does not exist, and multiplicities by turns."""
+    kept = store(Q._retained(spark, sf_dir), "retained")
+    i = F.col("original_row")
+    rows = kept.select(i, F.when(i % 17 == 0, 7).otherwise(_label()).alias("cluster_index"), (i % F.col("major_cn") + 1).alias("multiplicity"))
+    sound = rows.where(i % 11 > 0)
+    made_up = rows.where(i % 19 == 0).withColumn("original_row", -i - 1)
+    clusters = spark.createDataFrame(list(enumerate(CENTERS)), "cluster_index long, cellular_prevalence double")
+    return checks.row_rules(sound.unionByName(sound.where(i % 13 == 0)).unionByName(made_up), clusters, kept, PURITY)
+
+
+@Q.query("""SELECT 'number' AS rule, count(*) FILTER (i <> place) AS n FROM x UNION ALL SELECT 'order', count(*) FILTER (c > b) FROM x UNION ALL SELECT 'proportion', count(*) FILTER (abs(p * t - s) > 1e-6) FROM x""",
+    """x AS (SELECT i, c, s, p, row_number() OVER (ORDER BY i) - 1 AS place, lag(c) OVER (ORDER BY i) AS b, sum(s) OVER () AS t FROM
+  (SELECT n_nationkey + CASE WHEN n_nationkey > 20 THEN 1 ELSE 0 END AS i, 1 - (n_nationkey * 7 % 25) / 25.0 AS c, count(*) AS s, CASE WHEN n_nationkey % 3 = 0 THEN 0.5 ELSE count(*)::DOUBLE / (SELECT count(*) FROM customer) END AS p
+   FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY n_nationkey))""")
+def cluster_order_faults(spark, sf_dir):
+    """Customers by nation as clusters whose numbers skip one, whose fractions rise at times, and every third of whose shares is wrong."""
+    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    k = F.col("c_nationkey").cast("long")
+    total = customer.agg(F.count("*").alias("total"))
+    sizes = customer.groupBy(k.alias("k")).agg(F.count("*").alias("num_SNV")).crossJoin(total)  # one row
+    k = F.col("k")
+    return checks.order_rules(sizes.select(F.when(k > 20, k + 1).otherwise(k).alias("cluster_index"), (1 - k * 7 % 25 / 25.0).alias("cellular_prevalence"), "num_SNV", F.when(k % 3 == 0, 0.5).otherwise(F.col("num_SNV") / F.col("total")).alias("assignment_proportion")))

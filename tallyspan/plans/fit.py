@@ -18,7 +18,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspan.operators import chain as C
+from tallyspan.operators import checks
 from tallyspan.operators import mixture as M
+from tallyspan.operators import replay as V
 from tallyspan.plans.ranks import ranked
 from tallyspan.plans.scratch import store
 
@@ -404,10 +406,18 @@ def chained(rows: DataFrame, purity: float) -> DataFrame:
     return store(ranked(found, [F.col("pilot"), *map(F.col, M.KEY)], "rank", 0), "chain", codec="lz4")
 
 
-def fits(rows: DataFrame, purity: float, most: int = MOST_CLUSTERS) -> tuple[DataFrame, list[Fit]]:
-    """(chain, fits for 1..most clusters, or as many as there are distinct observations). None is left out for its BIC."""
+def fits(rows: DataFrame, purity: float, most: int = MOST_CLUSTERS, only: int | None = None) -> tuple[DataFrame, list[Fit]]:
+    """(chain, fits for 1..most clusters, or as many as there are distinct observations). None is left out for its BIC.
+
+    only: fit this number of clusters alone.
+    """
     chain = chained(rows, purity)
-    found = partitions(chain, purity, *first_blocks(chain, purity, chain.count(), most))
+    cuts, centers = first_blocks(chain, purity, chain.count(), only or most)
+    if only:
+        if len(cuts) < only:
+            raise ValueError(f"{len(cuts)} distinct observations cannot make {only} clusters")
+        cuts, centers = cuts[-1:], centers[-1:]
+    found = partitions(chain, purity, cuts, centers)
     if late := [f.k for f in found if not f.settled or f.gap > WEIGHT_GAP]:
         warnings.warn(f"not settled: fits of {late} clusters", stacklevel=2)
     return chain, found
@@ -431,3 +441,55 @@ def tables(rows: DataFrame, chain: DataFrame, fit: Fit, purity: float) -> dict[s
     total = fit.n
     clusters = sizes.select("cluster_index", "num_SNV", "cellular_prevalence", (F.col("cellular_prevalence") / purity).alias("cancer_cell_fraction"), F.lit(purity).alias("purity"), (F.col("num_SNV") / F.lit(total)).alias("assignment_proportion"))
     return {"mutations": mutations, "clusters": clusters}
+
+
+def posterior_tables(rows: DataFrame, chain: DataFrame, fit: Fit, purity: float) -> dict[str, DataFrame]:
+    """What the mixture says beside the published labels: components, flow from labels to components, one summary row, and a row per mutation."""
+    label = F.lit(fit.k - 1) - F.col("block")
+    blocks = store(C.labelled(chain, fit.cuts).withColumn("label", label), "blocks", codec="lz4")
+    member = store(M.memberships(blocks, purity, fit.centers, fit.weights), "member", codec="lz4")
+    summary = M.summary(member, F.col("label"), fit.centers, purity)
+    summary = summary.join(F.broadcast(V.allocation_distance(member, F.col("label"), fit.k)), "n").join(F.broadcast(V.fit_arithmetic(member, [w or math.inf for w in fit.weights])), "n")  # one row each
+    each = V.posterior_mutations(blocks.withColumn("original_row", F.col("rank")), F.col("label"), fit.centers, fit.weights, purity)
+    each = each.withColumnRenamed("original_row", "rank").join(blocks.select("rank", *M.KEY), "rank").drop("rank")
+    return {
+        "posterior_clusters": M.cumulative_mass(M.posterior_clusters(member, fit.centers, fit.weights, purity)).select("cluster_index", "mass_below").join(M.posterior_clusters(member, fit.centers, fit.weights, purity), "cluster_index"),
+        "posterior_flow": M.flow(member, F.col("label"), fit.k),
+        "posterior_summary": summary,
+        "posterior_mutations": rows.select("original_row", *M.KEY).join(each, list(M.KEY)).drop(*M.KEY),
+    }
+
+
+def fit_table(spark, found: list[Fit]) -> DataFrame:
+    """One row per number of clusters."""
+    chosen = best(found)
+    return spark.createDataFrame([(*(getattr(f, n) for n in FIT_COLUMNS), f is chosen) for f in found], "k long, centers array<double>, weights array<double>, cuts array<long>, loglik double, conditional double, bic double, n long, gap double, settled boolean, selected boolean")
+
+
+FIT_COLUMNS = ("k", "centers", "weights", "cuts", "loglik", "conditional", "bic", "n", "gap", "settled")
+
+
+def faults(rows: DataFrame, published: dict[str, DataFrame], purity: float) -> DataFrame:
+    """(rule, n) over the published tables of a run, rows being what its ledger retains: all 0 if the run is sound.
+
+    Labels, calls and sizes are checked against the rows; likelihood, BIC and posterior tables are computed anew from the published centers and weights.
+    """
+    chosen = published["fits"].where("selected").first()
+    fit = Fit(*(chosen[n] for n in FIT_COLUMNS))
+    named = published["mutations"].select("original_row", F.col("cluster_index").alias("label")).join(rows, "original_row")
+    obs = named.groupBy(*M.KEY, "label").agg(F.count("*").alias("freq"))
+    member = store(M.memberships(obs, purity, fit.centers, fit.weights), "again", codec="lz4")
+    sums = V.fit_arithmetic(member, [w or math.inf for w in fit.weights]).select("n", "loglik", "bic")
+    told = published["fits"].where("selected").select("n", "loglik", "bic")
+    again = {
+        "fit": (sums, told, ("n",)),
+        "posterior_clusters": (M.posterior_clusters(member, fit.centers, fit.weights, purity), published["posterior_clusters"].drop("mass_below"), ("cluster_index",)),
+        "posterior_flow": (M.flow(member, F.col("label"), fit.k), published["posterior_flow"], ("chain_cluster_index", "posterior_cluster_index")),
+        "posterior_summary": (M.summary(member, F.col("label"), fit.centers, purity), published["posterior_summary"].drop("total_variation", "count_gap", "loglik", "bic", "weight_gap"), ("n",)),
+    }
+    rules = [checks.cluster_rules(published["clusters"], published["mutations"], purity), checks.order_rules(published["clusters"]), checks.row_rules(published["mutations"], published["clusters"], rows, purity)]
+    rules += [checks.far_apart(*tables).select(F.lit(name).alias("rule"), "n") for name, tables in again.items()]
+    out = rules[0]
+    for r in rules[1:]:
+        out = out.unionByName(r)
+    return out

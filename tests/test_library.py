@@ -170,6 +170,13 @@ def test_fit_recovers_two_clusters(spark, tmp_path):
     assert [r["cellular_prevalence"] for r in got] == pytest.approx([0.8, 0.3], abs=0.02) and sum(r["num_SNV"] for r in got) == 240
     with pytest.raises(FileExistsError):
         T.publish(found, out, {})
+    assert {f["k"]: f["selected"] for f in found["fits"].collect()} == {1: False, 2: True, 3: False}
+    assert found["posterior_mutations"].count() == 240 and found["posterior_summary"].first()["count_gap"] < 1e-6
+    faults = api.verify(spark, out)
+    assert len(faults) == 17 and not any(faults.values())
+    wrong = dict(found, clusters=found["clusters"].withColumn("cluster_index", 1 - F.col("cluster_index")), posterior_flow=found["posterior_flow"].limit(3))
+    faults = {r["rule"] for r in P.faults(ledger.retained(found["ledger"]), wrong, 0.8).collect() if r["n"]}
+    assert {"order", "posterior_flow"} <= faults and "fit" not in faults
 
 
 @pytest.mark.parametrize(("name", "change", "said"), [("p", "a b\n1 2 3", "width"), ("p", "", "empty"), ("p", "chromosome_index position alt_count", "lacks"), ("p", "a a\n1 1", "repeats"), ("u", "0.5 0.6", "one number"), ("u", "1.2", "not above"), ("s", "chromosome_index start_position end_position major_cn minor_cn total_cn\n1 5 9 1 1 3\n1 8 12 1 0 1", "copy_number 1, overlap 1")])
@@ -184,6 +191,16 @@ def test_refusals(spark, tmp_path, name, change, said):
             api.validate_inputs(spark, *paths)
 
 
+@pytest.mark.parametrize("wrong", [{"max_clusters": 0}, {"max_clusters": 11}, {"clusters": True}, {"sample_id": " "}, {"sample_id": "a/b"}, {"assembly": "a\tb"}])
+def test_config_refusals(wrong):
+    with pytest.raises(ValueError, match=next(iter(wrong))):
+        api.FitConfig(**wrong)
+
+
+def test_config_capacities():
+    assert api.FitConfig(4).capacities(3) == [1, 2, 3] and api.FitConfig(clusters=5).capacities(9) == [5]
+
+
 def test_mixture_weights(spark):
     df = M.prepared(spark.createDataFrame([(a, 100, 1, 2, f) for a, f in ((40, 3), (41, 2), (15, 5))], "alt_count long, depth long, major_cn long, total_cn long, freq long"), 0.9)
     (w, _, gap), (one, _, _) = P.mixture_weights(df, [[0.8, 0.3], [0.5]], [[1, 1], [1]])
