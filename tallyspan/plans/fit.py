@@ -59,12 +59,13 @@ def _sums(obs: DataFrame, columns: list, of) -> np.ndarray:
                 one = of(b)
                 total = one if total is None else total + one
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["i", "v"])
+            told = np.union1d(np.flatnonzero(total), [len(total) - 1])  # the last one tells the length
+            yield pa.RecordBatch.from_arrays([pa.array(told), pa.array(total[told])], names=["i", "v"])
 
-    got = obs.select(*columns).mapInArrow(part, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
-    out = np.zeros(max((r["i"] for r in got), default=-1) + 1)
-    for r in got:
-        out[r["i"]] = r["v"]
+    got = obs.select(*columns).mapInArrow(part, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()
+    at = got["i"].to_numpy()
+    out = np.zeros(at.max(initial=-1) + 1)
+    out[at] = got["v"].to_numpy()
     return out
 
 

@@ -268,7 +268,8 @@ def vaf_strata_quota(spark, sf_dir):
     return selection.quotas(_retained(spark, sf_dir), F.col("alt_count") / F.col("depth"), BINS, TAKE)
 
 
-@query()
+@query("""SELECT original_row, bin FROM (SELECT original_row, bin, row_number() OVER (PARTITION BY bin ORDER BY md5('11:' || original_row), original_row) AS place
+  FROM (SELECT original_row, greatest(ceil(alt_count / depth * 10), 1)::BIGINT AS bin FROM ret)) JOIN quota USING (bin) WHERE place <= take""", _QUOTA)
 def vaf_strata_sample(spark, sf_dir):
     return selection.sampled(_retained(spark, sf_dir), F.col("alt_count") / F.col("depth"), BINS, TAKE, 11).select("original_row", "bin")
 
