@@ -1,10 +1,12 @@
 """PII, licenses, URLs, quality and toxicity against brute force, with odd inputs."""
 
 import hashlib
+import math
 import random
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tallyspan.llm import licenses, pii, quality, toxicity, urls
@@ -195,3 +197,37 @@ def test_toxicity(frame, labels):
     assert np.mean([r["predicted"] == (r["doc_id"] % 3 == 0) for r in held]) > 0.95
     assert all(0 <= r["score"] <= 1 for r in got)
     assert all(r["score"] < 1e-9 for r in toxicity.scored(df, toxicity.train(df, labels([]))).collect())
+
+
+def test_toxicity_against_a_plain_fit(frame, labels):
+    """Counts by dictionary, ratios from the formula, and plain gradient steps on a dense matrix, for texts in any order."""
+    rng = random.Random(4)
+    kind, foul = "the quiet river ran over stones and under bridges".split(), "vile wretch rot scum".split()
+    docs = [(k, " ".join(rng.choices(kind, k=8) + (rng.choices(foul, k=3) if k % 3 == 0 else []))) for k in range(90)] + [(90, None), (91, ""), (92, "a\u00e9 b"), (93, "vile river"), (93, "vile river")]
+    truth = {i: int(i % 3 == 0) for i, _ in docs}
+    own = frame(docs).repartition(3)
+    model = toxicity.train(own, labels([(i, 0, y) for i, y in truth.items()]))
+    found = [(i, t or "", set(toxicity.buckets(t).tolist())) for i, t in docs]
+    n, toxic = len(found), sum(truth[i] for i, _, _ in found)
+    counts = {}
+    for i, _, b in found:
+        for x in b:
+            both = counts.setdefault(x, [0, 0])
+            both[truth[i]] += 1
+    sure = {}
+    for x, (no, yes) in counts.items():
+        ratio = math.log((yes + 1) / (toxic + 2)) - math.log((no + 1) / (n - toxic + 2))
+        if no + yes >= 3 and abs(ratio) / math.sqrt(1 / (yes + 1) + 1 / (no + 1)) > 1.5:
+            sure[x] = ratio
+    assert len(sure) < toxicity.SELECT and set(np.flatnonzero(model.weight)) <= set(sure)
+    names = sorted(sure)
+    x = np.array([[sure[c] * (c in b) for c in names] for _, _, b in found])
+    y, w, c = np.array([truth[i] for i, _, _ in found]), np.zeros(len(names)), 0.0
+    rate = 1 / (0.25 * np.linalg.norm(np.c_[x, np.ones(n)], 2) ** 2 / n + 1e-3)
+    for _ in range(20000):
+        error = 1 / (1 + np.exp(-(x @ w + c))) - y
+        w, c = w - rate * (x.T @ error / n + 1e-3 * w), c - rate * error.mean()
+    want = sorted((i, p) for (i, _, _), p in zip(found, 1 / (1 + np.exp(-(x @ w + c))), strict=True))
+    got = sorted((r["doc_id"], r["score"]) for r in toxicity.scored(own, model).collect())
+    assert [i for i, _ in got] == [i for i, _ in want]
+    assert [p for _, p in got] == pytest.approx([p for _, p in want], abs=0.02)
