@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspan.llm import decontam, licenses, mixing, pii, quality, simhash, substrings, tokens, toxicity, urls
+from tallyspan.llm import decontam, licenses, mixing, pii, quality, simhash, substrings, tokens, toxicity, urls, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,8 +55,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.report(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_licenses, op3_simhash, op4_toxicity, op5_mixing, op6_urls, op7_substrings, op8_tokens, op9_decontam, op10_quality)}
+    return {f.__name__: f for f in (op1_pii, op2_licenses, op3_simhash, op4_toxicity, op5_mixing, op6_urls, op7_substrings, op8_tokens, op9_decontam, op10_quality, op13_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:
