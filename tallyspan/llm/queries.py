@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspan.llm import decontam, licenses, mixing, packing, pii, quality, simhash, substrings, tokens, toxicity, urls, whitening
+from tallyspan.llm import decontam, licenses, mixing, negatives, packing, pii, quality, simhash, substrings, tokens, toxicity, urls, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mined(_table(spark, sf_dir, "embeddings"))
+
+
 def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.report(_table(spark, sf_dir, "documents"))
 
@@ -64,8 +68,8 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_licenses, op3_simhash, op4_toxicity, op5_mixing, op6_urls, op7_substrings, op8_tokens, op9_decontam, op10_quality, op12_packing, op13_whitening)}
+    return {f.__name__: f for f in (op1_pii, op2_licenses, op3_simhash, op4_toxicity, op5_mixing, op6_urls, op7_substrings, op8_tokens, op9_decontam, op10_quality, op11_hard_negatives, op12_packing, op13_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": mixing.ORACLE_SQL, "op7_substrings": substrings.ORACLE_SQL}
+    return {"op5_mixing": mixing.ORACLE_SQL, "op7_substrings": substrings.ORACLE_SQL, "op11_hard_negatives": negatives.ORACLE_SQL}

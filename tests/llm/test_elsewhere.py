@@ -27,4 +27,4 @@ def test_queries_where_executors_lack_the_package(tmp_path):
     got = subprocess.run([sys.executable, "-c", CODE.format(root=root, sf=SF)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=900)
     assert got.returncode == 0, got.stderr[-3000:]
     found = dict(line.split() for line in got.stdout.splitlines() if line.startswith(("op", "pipeline")))
-    assert len(found) == 13 and all(int(n) > 0 for n in found.values())
+    assert len(found) == 14 and all(int(n) > 0 for n in found.values())

@@ -5,7 +5,7 @@ import math
 import numpy as np
 import pytest
 
-from tallyspan.llm import whitening
+from tallyspan.llm import negatives, whitening
 
 SCHEMA = "vec_id long, embedding array<float>, label int, n string, component string"
 
@@ -77,3 +77,87 @@ def test_whitening_does_not_depend_on_partitions(vectors):
     rows = random_vectors(2, 500, 20)
     a, b = (whitening.fit(whitening.whole(vectors(rows).repartition(p))) for p in (3, 7))
     assert a.sums == b.sums and a.trace == b.trace and np.abs(a.directions - b.directions).max() < 1e-10
+
+
+def brute_negatives(rows, every=50, positives=5, negatives_=3):
+    good = [(i, [math.floor(256 * c) for c in v], (y + 1) % 10 if i is not None and i % 7 == 0 else y) for i, v, y in rows if y is not None and v is not None and v and all(c is not None and math.isfinite(c) for c in v)]
+    out = []
+    for i, v, y in good:
+        if i is None or i % every:
+            continue
+        scored = sorted(((-sum(a * b for a, b in zip(v, w, strict=True)), j is None, j or 0, z) for j, w, z in good if j != i), key=lambda t: t[:3])
+        for s, none, j, _ in [t for t in scored if t[3] == y][:positives]:
+            window = [t for t in scored if t[3] != y and 50 * -s <= 100 * -t[0] <= 95 * -s][:negatives_]
+            out += [(i, None if none else j, k + 1, None if t[1] else t[2], -s, -t[0]) for k, t in enumerate(window)]
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("d, n, partitions, anchors", [(3, 400, 3, 4096), (24, 600, 7, 5), (64, 300, 1, 4096)])
+def test_negatives_equal_brute_force(vectors, d, n, partitions, anchors):
+    rows = random_vectors(n, n, d)
+    rows += [(n + k, rows[1][1], k % 3) for k in range(60)]  # ties: one vector under many ids
+    rows += [(2000, [0.0] * d, 1), (2001, None, 1), (2050, [math.nan] * d, 1), (2100, [None] * d, 1), (2150, rows[3][1], None), (None, rows[0][1], 1), (None, rows[5][1], 2), (-50, rows[7][1], 3), (2200, [], 1), (2201, [1.0], 1), (2202, [math.inf] * d, 2)]
+    rows += [rows[100], rows[100], (100, rows[9][1], 2), rows[11]]  # repeated rows, and an id with two vectors
+    got = negatives.mined(vectors(rows).repartition(partitions), anchors=anchors).collect()
+    assert sorted(map(tuple, got), key=str) == brute_negatives([r for r in rows if r[1] is None or len(r[1]) == d])
+
+
+def test_negatives_where_bounds_decide(vectors, monkeypatch):
+    """Well-separated clusters of very different norms: most pairs are never scored, and the rows stay right."""
+    monkeypatch.setattr(negatives, "BLOCK", 64)
+    rng = np.random.default_rng(4)
+    axes = np.eye(6)
+    rows = [(k, [float(np.float32(c)) for c in (axes[k % 6] * (1 + k % 9) + rng.standard_normal(6) * 0.02)], (k % 6) % 3) for k in range(1200)]
+    frame = negatives.prepared(negatives.whole(vectors(rows)), np.eye(6)).orderBy("near", "closest")
+    anchors = negatives.Anchors(frame.where("vec_id % 50 = 0").toArrow())
+    best = negatives.Best(len(anchors.ids), 5)
+    everything = np.tile(np.array([negatives.NOTHING + 1, negatives.NO_ID - 1]), (len(anchors.ids), 1, 1))
+    told = negatives._scan(iter(frame.drop("near", "closest").toArrow().combine_chunks().to_batches()), anchors, True, everything, best)
+    assert told[2] < told[0] / 3
+    assert sorted(map(tuple, negatives.mined(vectors(rows)).collect()), key=str) == brute_negatives(rows)
+
+
+def test_bounds_hold_for_all_pairs():
+    rng = np.random.default_rng(9)
+    for d in (1, 2, 5, 64):
+        x = np.floor(rng.standard_normal((150, d)) * rng.choice([1, 40, 3000], (150, 1)))
+        x[:5] = 0
+        x[5:10] = -x[10:15]
+        refs = negatives._units(np.vstack([x[10:14], rng.standard_normal((4, d))]))
+        angles, norms = negatives._angles(x, refs), np.linalg.norm(x, axis=1)
+        low, high = negatives.interval(angles, norms, angles, norms)
+        exact = negatives.scores(x, x)
+        assert (low <= exact).all() and (exact <= high).all()
+        down, up = negatives.block_interval(angles[20:50], norms[20:50], angles, norms)
+        assert (down <= exact[20:50].min(axis=0)).all() and (up >= exact[20:50].max(axis=0)).all()
+        assert (negatives._pairwise(x, x[::-1]) == (x.astype(int) * x[::-1].astype(int)).sum(axis=1)).all()
+    big = np.full((1, 4), 2.0**31 - 1)
+    assert negatives.scores(np.full((1, 1), 2.0**30), np.full((1, 1), 2.0**30))[0, 0] == 1 << 60
+    with pytest.raises(OverflowError):
+        negatives.scores(big, big)
+
+
+def test_negatives_of_little(vectors):
+    assert negatives.mined(vectors([])).collect() == []
+    assert negatives.mined(vectors([(1, [1.0, 2.0], 0), (2, [1.0, 2.0], 1)])).collect() == []  # no anchor
+    assert negatives.mined(vectors([(50, [1.0, 2.0], 0)])).collect() == []
+    assert negatives.mined(vectors([(50, [0.0], 0), (51, [0.0], 0), (52, [0.0], 1)])).collect() == [(50, 51, 1, 52, 0, 0)]
+    with pytest.raises(Exception, match="beyond 32 bits"):
+        negatives.mined(vectors([(1, [1e30, 2.0], 0), (2, [1.0, 2.0], 1)]))
+
+
+def test_hard_negatives_query_equals_its_sql(spark):
+    import os
+
+    import duckdb
+
+    from tallyspan.llm import queries
+
+    if not os.path.isdir("/root/testdata/sf0.01"):
+        pytest.skip("no test tables")
+    c = duckdb.connect()
+    c.execute("CREATE VIEW embeddings AS SELECT * FROM read_parquet('/root/testdata/sf0.01/embeddings.parquet')")
+    want = c.execute(queries.oracle_sql()["op11_hard_negatives"])
+    names = [d[0] for d in want.description]
+    got = queries.queries()["op11_hard_negatives"](spark, "/root/testdata/sf0.01")
+    assert got.columns == names and sorted(map(tuple, got.collect())) == sorted(want.fetchall())
