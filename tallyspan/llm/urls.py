@@ -4,10 +4,11 @@ Names in hosts are often words run together. A unigram model, counted over the w
 every piece of a distinct name is looked up by a join, and Viterbi picks the likeliest split. Words of more than LONGEST_WORD letters are
 never split off: a name's pieces are then in proportion to its length. Multinomial naive Bayes then scores the host's words and the path's.
 
-It is trained on all pages. A page that a rule decides has the rule's verdict as its label; of the others, those whose host has
-one of SEEDS among its words count as ones to block, the rest as ones to allow. What gave a page its label is no feature of it: the
-rule's own tokens are left out of the pages that it decides, and seeds are left out everywhere. So the model learns which other words keep
-company with blocked pages. Tokens are counted in BUCKETS hash buckets, so the model's size is fixed and every token is counted.
+It is trained on all pages, on the same features that it scores. A page that a rule decides has the rule's verdict as its label; of the others, those whose host has
+one of SEEDS among its words count as ones to block. The rest have no label: nobody has said that they are fine, so they count as ones to allow with the weight UNLABELLED only.
+Features are kept apart by field: words of the host but its suffix, words of the path after the first, and the suffix together with the path's first word, alone and with the first
+letter of the second. Rules speak of suffix and path start together, so neither is a feature of its own: no suffix and no language decides a verdict. Features are counted in
+BUCKETS hash buckets, so the model's size is fixed and every one is counted.
 
 A null url, or one without ://, has an empty host and path, fits no rule and gets the verdict of the prior.
 Null html counts as empty; an empty table gives none. Urls and pages of any length are read whole. Repeated rows get the same verdict; page_id and extra columns
@@ -30,8 +31,10 @@ from tallyspan.plans.scratch import store
 
 #: (verdict, host, path start)
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
-#: Words that mark a host as one to block when the model is trained. They are no features.
+#: Words that mark a host as one to block when the model is trained.
 SEEDS = frozenset("spam pills casino poker porn xxx viagra cialis bet bets betting gambling jackpot escort replica torrent warez phishing malware".split())
+#: What a page without a label counts as one to allow, against 1 for a page with a label.
+UNLABELLED = 0.25
 BUCKETS = 1 << 18
 LONGEST_WORD = 24
 
@@ -121,62 +124,76 @@ def segmented(names: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def host_words(hosts: DataFrame, words: DataFrame) -> DataFrame:
-    """(host, words): the segmented words of each distinct host's names, in order."""
-    names = hosts.select("host", F.posexplode(tokens(F.col("host"))).alias("k", "name"))
+    """(host, words): the segmented words of each distinct host's names but the last, in order."""
+    names = hosts.select("host", F.posexplode(_names(F.col("host"))).alias("k", "name"))
     parts = segmented(names.select("name").distinct(), words)
     return names.join(parts, "name").groupBy("host").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "parts"))), lambda x: x["parts"])).alias("words"))
 
 
-def _buckets(words: Column) -> Column:
-    """Hash buckets of tokens; numbers count by their length only."""
-    plain = F.transform(words, lambda w: F.when(w.rlike("^[0-9]+$"), F.concat(F.lit("#"), F.length(w).cast("string"))).otherwise(w))
-    return F.transform(plain, lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int"))
+def _names(host: Column) -> Column:
+    """A host's names without a port and without the last one, its suffix."""
+    names = tokens(F.regexp_replace(host, ":[0-9]*$", ""))
+    return F.slice(names, 1, F.greatest(F.size(names) - 1, F.lit(0)))
 
 
-def train(features: DataFrame) -> tuple[float, np.ndarray]:
-    """(prior, log ratio by bucket) of multinomial naive Bayes with add-one smoothing. features: (buckets, block), all pages."""
-    classes = features.agg(F.sum(F.col("block").cast("long")).alias("b"), F.count("*").alias("n")).first()
-    counts = features.select(F.explode("buckets").alias("b"), "block").groupBy("b").agg(F.count_if("block").alias("bad"), F.count_if(~F.col("block")).alias("good")).toArrow()
+def fields(words: Column, host: Column, path: Column) -> Column:
+    """Features by field. Numbers count by their length only, but for the letter that the second word of a path starts with."""
+    plain = lambda w: F.when(w.rlike("^[0-9]+$"), F.concat(F.lit("#"), F.length(w).cast("string"))).otherwise(w)
+    of = lambda kind, some: F.transform(some, lambda w: F.concat(F.lit(kind), plain(w)))
+    way = tokens(path)
+    first, second = F.coalesce(F.get(way, F.lit(0)), F.lit("")), F.coalesce(F.get(way, F.lit(1)), F.lit(""))
+    place = F.concat(F.regexp_extract(host, r"([^.:]*)(?::[0-9]*)?$", 1), F.lit("/"), plain(first))
+    both = F.array(F.concat(F.lit("place:"), place), F.concat(F.lit("start:"), place, F.lit("/"), F.substring(second, 1, 1)))
+    return F.concat(of("host:", words), both, of("path:", F.slice(way, 2, F.greatest(F.size(way) - 1, F.lit(0)))))
+
+
+def _buckets(features: Column) -> Column:
+    return F.transform(features, lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int"))
+
+
+def train(features: DataFrame, unlabelled: float = UNLABELLED) -> tuple[float, np.ndarray]:
+    """(prior, log ratio by bucket) of multinomial naive Bayes with add-one smoothing. features: (buckets, label), all pages; a null label counts as one to allow by `unlabelled`."""
+    block = F.coalesce("label", F.lit(False))
+    weight = F.when(F.col("label").isNull(), unlabelled).otherwise(1.0)
+    features = features.select("buckets", F.when(block, 1.0).otherwise(0.0).alias("bad"), F.when(block, 0.0).otherwise(weight).alias("good"))
+    classes = features.agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).first()
+    counts = features.select(F.explode("buckets").alias("b"), "bad", "good").groupBy("b").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).toArrow()
     bad, good = np.ones(BUCKETS), np.ones(BUCKETS)
     at = counts["b"].to_numpy()
     bad[at] += counts["bad"].to_numpy()
     good[at] += counts["good"].to_numpy()
-    n_bad, n = classes["b"] or 0, classes["n"]
     used = len(at) + 1
     ratio = np.log(bad / (bad.sum() - BUCKETS + used)) - np.log(good / (good.sum() - BUCKETS + used))
-    if not n_bad or n_bad == n:  # one class only: nothing to tell apart
+    if not classes["bad"] or not classes["good"]:  # one class only: nothing to tell apart
         ratio[:] = 0
-    return math.log((n_bad + 1) / (n - n_bad + 1)), ratio.astype(np.float32)
+    return math.log(((classes["bad"] or 0.0) + 1) / ((classes["good"] or 0.0) + 1)), ratio.astype(np.float32)
 
 
 def labelled(rows: DataFrame, rules=RULES) -> DataFrame:
-    """rows (host, path, words of the host) with rule, by_rule, block: the label, features, and trained: the features without what gave the label."""
+    """rows (host, path, words of the host) with rule, by_rule, label (true: to block; null: none) and features."""
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
     seeds = F.array(*map(F.lit, sorted(SEEDS)))
-    plain = F.filter(F.concat("words", tokens(F.col("path"))), lambda w: ~F.array_contains(seeds, w))
-    rows = rows.select("*", rule.alias("rule"), verdict.alias("by_rule"), plain.alias("features"))
-    own = F.when(F.col("rule").isNotNull(), tokens(F.col("rule"))).otherwise(F.array().cast("array<string>"))
+    rows = rows.select("*", rule.alias("rule"), verdict.alias("by_rule"), fields(F.col("words"), F.col("host"), F.col("path")).alias("features"))
     seeded = F.exists("words", lambda w: F.array_contains(seeds, w))
-    rows = rows.withColumn("block", F.when(F.col("rule").isNotNull(), F.col("by_rule") == "block").otherwise(seeded)).withColumn("_own", own)
-    return rows.withColumn("trained", F.filter("features", lambda w: ~F.array_contains(F.col("_own"), w))).drop("_own")
+    return rows.withColumn("label", F.when(F.col("rule").isNotNull(), F.col("by_rule") == "block").when(seeded, True))
 
 
 def report(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", rules=RULES, fit_on: Column | None = None) -> DataFrame:
-    """One row per page: host, path, rule, verdict, the label that it is trained with, and the naive Bayes log odds that it is one to block.
+    """One row per page: host, path, rule, verdict, the label that it is trained with (null: none), and the naive Bayes log odds that it is one to block.
 
-    fit_on: a condition on host, such as a hold-out rule; the model is trained on the pages that meet it.
+    fit_on: a condition on page_id, host or path, such as a hold-out rule; the model is trained on the pages that meet it.
     """
     host, path = host_and_path(F.col(url))
     rows = pages.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path"))
     words = store(host_words(rows.select("host").distinct(), unigrams(pages, html)), "hosts")
     rows = rows.join(words, "host", "left").withColumn("words", F.coalesce("words", F.array().cast("array<string>")))
-    slim = labelled(rows, rules).withColumns({"features": _buckets(F.col("features")), "trained": _buckets(F.col("trained"))})
+    slim = labelled(rows, rules).withColumn("features", _buckets(F.col("features")))
     slim = store(slim.drop("words"), "urls")
-    prior, ratio = train((slim if fit_on is None else slim.where(fit_on)).select(F.col("trained").alias("buckets"), "block"))
+    prior, ratio = train((slim if fit_on is None else slim.where(fit_on)).select(F.col("features").alias("buckets"), "label"))
 
     @F.pandas_udf("double")
     def log_odds(buckets: pd.Series) -> pd.Series:
         return pd.Series([prior + float(ratio[np.asarray(b, np.int64)].sum()) for b in buckets], dtype=float)
 
-    out = slim.select("page_id", "host", "path", "rule", "by_rule", F.col("block").alias("label"), log_odds("features").alias("log_odds"))
+    out = slim.select("page_id", "host", "path", "rule", "by_rule", "label", log_odds("features").alias("log_odds"))
     return out.select("page_id", "host", "path", "rule", F.coalesce("by_rule", F.when(F.col("log_odds") > 0, "block").otherwise("allow")).alias("verdict"), "label", "log_odds")
