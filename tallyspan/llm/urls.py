@@ -185,7 +185,7 @@ def report(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: s
     """
     host, path = host_and_path(F.col(url))
     rows = pages.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path"))
-    words = store(host_words(rows.select("host").distinct(), unigrams(pages, html)), "hosts")
+    words = store(host_words(rows.select("host").distinct(), store(unigrams(pages, html), "unigrams")), "hosts")
     rows = rows.join(words, "host", "left").withColumn("words", F.coalesce("words", F.array().cast("array<string>")))
     slim = labelled(rows, rules).withColumn("features", _buckets(F.col("features")))
     slim = store(slim.drop("words"), "urls")
