@@ -111,3 +111,155 @@ def best_blocks_each(ranks: DataFrame, values: Column, widths: list[int]) -> lis
 
     counts = {r["label"]: r["n"] for r in dealt.groupBy("part").applyInArrow(sizes, "label long, n long").groupBy("label").agg(F.sum("n").alias("n")).collect()}
     return [(total, np.cumsum([counts.get(k, 0) for k in range(lo, hi - 1)]).astype(int).tolist()) for total, (lo, hi) in zip(best, spans, strict=True)]
+
+
+#: Rows of a range of ranks that one task scans.
+RANGE_ROWS = 1 << 20
+
+
+def in_ranges(ranks: DataFrame, total: int, rows: int = RANGE_ROWS) -> DataFrame:
+    """ranks stored in the order of their ranks: each part of the table is a range of about `rows` of them."""
+    return store(ranks.repartitionByRange(max(1, -(-total // rows)), "rank").sortWithinPartitions("rank"), "ranges", codec="lz4")
+
+
+def _running(gain: np.ndarray, never: np.ndarray) -> np.ndarray:
+    """For each t the place of the largest gain among those before or at t in t's stretch, the first if tied; -1 if all are minus infinity. never: stretch numbers, rising."""
+    n = len(gain)
+    if never[-1] == never[0]:
+        upto = np.maximum.accumulate(gain)
+        return np.maximum.accumulate(np.where(gain > np.concatenate([[-np.inf], upto[:-1]]), np.arange(n), -1))
+    order = np.lexsort((-np.arange(n), gain))  # of equal gains the first comes last, and so counts as the largest
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
+    found = order[np.maximum.accumulate(place + never * n) - never * n]
+    return np.where(np.isneginf(gain[found]), -1, found)
+
+
+class _Run:
+    """Consecutive rows scanned so far. value[a + 1, b]: the best total over them for labels that go on from label a, or start anew if a = -1, and end with b, each
+    row's label being that of the row before or the next one; starts[a + 1][b]: the ranks at which labels began on that way."""
+
+    def __init__(self, q: int, first: bool):
+        self.q, self.value = q, np.full((q + 1, q), -np.inf)
+        self.starts: list[list[tuple]] = [[() for _ in range(q)] for _ in range(q + 1)]
+        self.entries = [0] if first else range(1, q + 1)
+        for a in self.entries:
+            if a:
+                self.value[a, a - 1] = 0.0
+
+    def extend(self, ranks: np.ndarray, v: np.ndarray, first: bool) -> None:
+        """v: rows x labels, minus infinity allowed. first: whether nothing was scanned before."""
+        n, q = v.shape
+        bad = np.isneginf(v)
+        sums = np.vstack([np.zeros(q), np.where(bad, 0.0, v).cumsum(axis=0)])
+        never = np.vstack([np.zeros(q, np.int64), bad.cumsum(axis=0)])
+        for a in self.entries:
+            old = self.value[a].copy()
+            before = np.full(n + 1, -np.inf)
+            if a == 0 and first:
+                before[0] = 0.0  # nothing has a label yet
+            places, stays, new = [], [], []
+            for b in range(q):
+                gain = before[:n].copy()
+                stays.append(old[b] > -np.inf and old[b] >= gain[0])
+                gain[0] = max(gain[0], old[b])
+                at = _running(gain - sums[:n, b], never[:n, b])
+                good = (at >= 0) & (never[1:, b] == never[:n, b])
+                reached = np.full(n + 1, -np.inf)
+                reached[0] = old[b]
+                reached[1:][good] = (gain[at[good]] - sums[at[good], b]) + sums[1:, b][good]
+                places.append(at)
+                before = reached
+                new.append(reached[n])
+            told = []
+            for b in range(q):
+                way, label, t = [], b, n
+                while new[b] > -np.inf:
+                    t = int(places[label][t - 1]) if t else 0
+                    if t == 0 and stays[label]:
+                        told.append((*self.starts[a][label], *reversed(way)))
+                        break
+                    way.append(int(ranks[t]))
+                    label -= 1
+                    if label < 0:
+                        told.append(tuple(reversed(way)))
+                        break
+                    if t == 0:
+                        told.append((*self.starts[a][label], *reversed(way)))
+                        break
+                else:
+                    told.append(())
+            self.value[a], self.starts[a] = new, told
+
+
+def _ordered(chain: DataFrame, columns: list, scores, widths: list[int]) -> list[tuple[float, list[int]]]:
+    """See ordered_partitions. chain: as in_ranges() stores it, or its rows in any other order, which only makes for more and shorter runs. scores: a batch with `columns` -> rows x all labels."""
+    ends = np.cumsum(widths)
+    spans = [(int(e - q), int(e)) for e, q in zip(ends, widths, strict=True)]
+
+    def scan(batches):
+        runs, opened, upto = None, None, None
+
+        def told():
+            value = [float(x) for r in runs for x in r.value.ravel()]
+            starts = [[-1] * (r.q - len(s)) + list(s) for r in runs for row in r.starts for s in row]
+            return pa.RecordBatch.from_arrays([pa.array([opened]), pa.array([upto]), pa.array([value], pa.list_(pa.float64())), pa.array([[s for each in starts for s in each]], pa.list_(pa.int64()))], names=["first", "last", "value", "starts"])
+
+        for b in batches:
+            ranks = b.column(0).to_numpy()
+            breaks = [0, *(np.flatnonzero(np.diff(ranks) != 1) + 1), len(ranks)] if len(ranks) else []
+            for lo, hi in zip(breaks, breaks[1:], strict=False):
+                v = scores(b.slice(lo, hi - lo))
+                fresh = runs is None or ranks[lo] != upto + 1
+                if fresh:
+                    if runs is not None:
+                        yield told()
+                    runs, opened = [_Run(q, ranks[lo] == 0) for q in widths], int(ranks[lo])
+                for (s, e), run in zip(spans, runs, strict=True):
+                    run.extend(ranks[lo:hi], v[:, s:e], fresh)
+                upto = int(ranks[hi - 1])
+        if runs is not None:
+            yield told()
+
+    found = chain.select("rank", *columns).mapInArrow(scan, "first long, last long, value array<double>, starts array<long>").orderBy("first")
+    state, expected = [None] * len(widths), 0
+    for r in found.toLocalIterator():  # one row per run, a few numbers each; they are chained one after another
+        if r["first"] != expected:
+            raise ValueError("ranks must be 0, 1, 2, ... without gaps")
+        expected, i, j = r["last"] + 1, 0, 0
+        for k, q in enumerate(widths):
+            value = np.array(r["value"][i : i + (q + 1) * q]).reshape(q + 1, q)
+            starts = np.array(r["starts"][j : j + (q + 1) * q * q]).reshape(q + 1, q, q)
+            i, j = i + value.size, j + starts.size
+            own = lambda a, b, starts=starts: tuple(int(s) for s in starts[a, b] if s >= 0)
+            if state[k] is None:
+                state[k] = [(float(value[0, b]), own(0, b)) for b in range(q)]
+                continue
+            new = []
+            for b in range(q):
+                paths = [state[k][a][0] + value[a + 1, b] for a in range(q)]
+                a = max(range(q), key=lambda a: (paths[a], a))  # of equal ones the one that got furthest, whose cuts are earlier
+                new.append((paths[a], (*state[k][a][1], *own(a + 1, b))) if paths[a] > -np.inf else (-np.inf, ()))
+            state[k] = new
+    out = []
+    for q, s in zip(widths, state, strict=True):
+        if s is None or s[q - 1][0] == -np.inf:
+            raise ValueError(f"no partition into {q} blocks with a row each has a finite total")
+        out.append((s[q - 1][0], list(s[q - 1][1][1:])))  # the first start is rank 0
+    return out
+
+
+def ordered_partitions(ranks: DataFrame, values: Column, widths: list[int]) -> list[tuple[float, list[int]]]:
+    """(total, cuts) of the best partition of ranks 0, 1, ... into as many blocks, in order and none empty, as each set has labels: block b's rows take score b.
+
+    values: an array of scores, set after set; minus infinity means that the row cannot be in that block. Of equal totals the one with the earlier cuts, last cut first, counts. One pass over
+    ranges of ranks, each of about RANGE_ROWS rows read in batches; a range tells for each label it may be entered with and left with the best total and the cuts, and ranges are chained on the driver.
+    ValueError if no partition has a finite total, as when there are fewer rows than labels.
+    """
+    given = ranks.select("rank", values.alias("v"))
+    total = given.count()
+
+    def matrix(b):
+        return b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+
+    return _ordered(in_ranges(given, total), ["v"], matrix, widths)
