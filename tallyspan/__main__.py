@@ -15,6 +15,9 @@ def main(argv=None) -> int:
     parser.add_argument("paths", nargs="+", help="points, segments, purity and, to fit, output; to verify, the output")
     parser.add_argument("--most", type=int, default=10)
     parser.add_argument("--clusters", type=int)
+    parser.add_argument("--subsample-size", type=int, help="fit partitions to samples of so many rows")
+    for name, kind, default in (("replicates", int, 1), ("seed", int, 0), ("window-size", float, 0.05), ("overlap", float, 0.0), ("sample-id", str, "sample"), ("assembly", str, "unspecified"), ("device", str, "auto")):
+        parser.add_argument(f"--{name}", type=kind, default=default)
     a = parser.parse_args(argv)
     needed = {"fit": 4, "validate": 3, "verify": 1}[a.what]
     spark = SparkSession.builder.appName("tallyspan").getOrCreate()
@@ -22,7 +25,8 @@ def main(argv=None) -> int:
         if len(a.paths) != needed:
             raise ValueError(f"{a.what} needs {needed} paths")
         if a.what == "fit":
-            print(json.dumps(api.fit(spark, *a.paths, config=api.FitConfig(a.most, a.clusters))))
+            config = api.FitConfig(a.most, a.clusters, a.sample_id, a.assembly, a.device, a.subsample_size, a.replicates, a.seed, a.window_size, a.overlap)
+            print(json.dumps(api.fit(spark, *a.paths, config=config)))
         elif a.what == "validate":
             print(json.dumps(api.validate_inputs(spark, *a.paths)))
         else:

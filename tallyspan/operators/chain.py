@@ -118,8 +118,9 @@ RANGE_ROWS = 1 << 20
 
 
 def in_ranges(ranks: DataFrame, total: int, rows: int = RANGE_ROWS) -> DataFrame:
-    """ranks stored in the order of their ranks: each part of the table is a range of about `rows` of them."""
-    return store(ranks.repartitionByRange(max(1, -(-total // rows)), "rank").sortWithinPartitions("rank"), "ranges", codec="lz4")
+    """ranks stored in the order of their ranks: each part of the table is a range of at most about `rows` of them, of fewer as long as there are no more parts than shuffle partitions."""
+    parts = int(ranks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return store(ranks.repartitionByRange(max(1, -(-total // rows), min(parts, total // 4096)), "rank").sortWithinPartitions("rank"), "ranges", codec="lz4")
 
 
 def _running(gain: np.ndarray, never: np.ndarray) -> np.ndarray:
@@ -192,7 +193,7 @@ class _Run:
             self.value[a], self.starts[a] = new, told
 
 
-def _ordered(chain: DataFrame, columns: list, scores, widths: list[int]) -> list[tuple[float, list[int]]]:
+def ordered_scan(chain: DataFrame, columns: list, scores, widths: list[int]) -> list[tuple[float, list[int]]]:
     """See ordered_partitions. chain: as in_ranges() stores it, or its rows in any other order, which only makes for more and shorter runs. scores: a batch with `columns` -> rows x all labels."""
     ends = np.cumsum(widths)
     spans = [(int(e - q), int(e)) for e, q in zip(ends, widths, strict=True)]
@@ -239,7 +240,7 @@ def _ordered(chain: DataFrame, columns: list, scores, widths: list[int]) -> list
             for b in range(q):
                 paths = [state[k][a][0] + value[a + 1, b] for a in range(q)]
                 a = max(range(q), key=lambda a: (paths[a], a))  # of equal ones the one that got furthest, whose cuts are earlier
-                new.append((paths[a], (*state[k][a][1], *own(a + 1, b))) if paths[a] > -np.inf else (-np.inf, ()))
+                new.append((float(paths[a]), (*state[k][a][1], *own(a + 1, b))) if paths[a] > -np.inf else (-np.inf, ()))
             state[k] = new
     out = []
     for q, s in zip(widths, state, strict=True):
@@ -262,4 +263,4 @@ def ordered_partitions(ranks: DataFrame, values: Column, widths: list[int]) -> l
     def matrix(b):
         return b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
 
-    return _ordered(in_ranges(given, total), ["v"], matrix, widths)
+    return ordered_scan(in_ranges(given, total), ["v"], matrix, widths)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallyspan.operators import mixture as M
 from tallyspan.operators import replay
 
 
@@ -68,6 +69,18 @@ def order_rules(clusters: DataFrame) -> DataFrame:
     )
 
 
+def center_rules(clusters: DataFrame, mutations: DataFrame, kept: DataFrame, purity: float, points: int = 129, slack: float = 1e-7) -> DataFrame:
+    """(rule, n): clusters whose own rows are likelier, by over `slack` a row, at another cluster's fraction or at one of evenly spaced ones than at their own. So swapped fractions are found. Clusters are few."""
+    told = {r["cluster_index"]: r["cellular_prevalence"] for r in clusters.select("cluster_index", "cellular_prevalence").collect()}
+    rows = mutations.select("original_row", "cluster_index").join(kept, "original_row").groupBy("cluster_index", *M.KEY).agg(F.count("*").alias("freq"))
+    sizes = rows.groupBy("cluster_index").agg(F.sum("freq").alias("n"))
+    grid = sorted({k * purity / (points - 1) for k in range(points)} | {c for c in told.values() if 0 <= c <= purity})
+    at = M.grid_loglik(rows, purity, grid, ("cluster_index",)).join(F.broadcast(clusters.select("cluster_index", "cellular_prevalence")), "cluster_index", "left")
+    own = F.max(F.when(F.col("cp") == F.col("cellular_prevalence"), F.col("loglik"))).alias("own")
+    found = at.groupBy("cluster_index").agg(F.max("loglik").alias("best"), own).join(sizes, "cluster_index")
+    return found.agg(F.count_if(F.col("own").isNull() | (F.col("best") > F.col("own") + slack * F.col("n"))).alias("n")).select(F.lit("center").alias("rule"), "n")
+
+
 def far_apart(left: DataFrame, right: DataFrame, keys: tuple[str, ...], slack: float = 1e-6) -> DataFrame:
     """One row, n: keys on one side only, and keys any of whose numbers differ by over `slack` of the larger, or of 1."""
     values = [c for c in left.columns if c not in keys]

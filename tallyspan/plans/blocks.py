@@ -240,18 +240,24 @@ def certain(search: _Search, grid: np.ndarray, values: list[np.ndarray]) -> None
     chain, cells, purity = search.chain, len(grid) - 1, search.chain.purity
     fine = cells * PARTS
 
-    def of(alt, depth, major, den, const) -> np.ndarray:
-        modes = np.zeros((len(alt), 2 * fine))
-        for m in range(1, int(major.max(initial=0)) + 1):
-            has = np.flatnonzero(major >= m)
-            mode = alt[has] / depth[has] * den[has] / m
-            part = np.floor(mode / purity * fine).astype(int)
-            inside = (part >= 0) & (part < fine)
-            modes[has[inside], part[inside]] += 1
-            modes[has[inside], fine + part[inside]] += mode[inside]
-        return np.hstack([ceilings(alt, depth, major, den, const, grid), modes])
-
-    told = chain.of_spans(chain.by_piece(cells + 2 * fine, of))
+    edges, n = chain.edges, len(chain.edges) - 1
+
+    def modes(b: pa.RecordBatch) -> np.ndarray:
+        count, total = np.zeros(n * fine), np.zeros(n * fine)
+        for some, cut in _slices(b, edges):
+            alt, depth, major, den = (some[c][cut[0] : cut[-1]] for c in NEEDED[:4])
+            piece = np.searchsorted(edges, some["rank"][cut[0] : cut[-1]], side="right") - 1
+            for m in range(1, int(major.max(initial=0)) + 1):
+                mode = alt / depth * den / m
+                has = np.flatnonzero((major >= m) & (mode < purity))
+                at = piece[has] * fine + np.floor(mode[has] / purity * fine).astype(int)
+                count += np.bincount(at, minlength=n * fine)
+                total += np.bincount(at, mode[has], n * fine)
+        return np.concatenate([count, total])
+
+    upper = chain.of_spans(chain.by_piece(cells, lambda *c: ceilings(*c, grid)))
+    flat = summed(chain.rows, ["rank", *NEEDED], modes)
+    told = [np.concatenate([u, c, t]) for u, c, t in zip(upper, *(chain.of_spans(x.reshape(n, fine)) for x in np.split(flat if len(flat) else np.zeros(2 * n * fine), 2)), strict=True)]
     points = []
     for k, t in enumerate(told):
         wide = np.flatnonzero(t[:cells] > search.best[k][0])

@@ -1,7 +1,7 @@
-"""Fitting: one order of all observations, contiguous blocks for every number of clusters, and the best by BIC.
+"""Fitting: one order of all observations, contiguous blocks for every number of clusters, all their coarsenings, and the best by BIC.
 
 The loops run on the driver, each step over all rows as a Spark job; what comes back is a few numbers a step. All numbers of
-clusters are fitted together, so a pass over the rows serves all of them.
+clusters, samples and candidates are fitted together, so a pass over the rows serves all of them.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from tallyspan.operators import chain as C
 from tallyspan.operators import checks
 from tallyspan.operators import mixture as M
 from tallyspan.operators import replay as V
+from tallyspan.operators import selection as S
+from tallyspan.plans import blocks as B
 from tallyspan.plans.ranks import ranked
 from tallyspan.plans.scratch import store
 
@@ -30,46 +32,38 @@ STRETCHES = 1024  # equal parts of the chain that the first blocks are made of
 WEIGHT_GAP = 1e-8
 
 
+#: What weights of candidates may still gain, in mean log likelihood, when they are compared.
+SEARCH_GAP = 1e-7
+
+
 @dataclass
 class Fit:
-    """Clusters by falling fraction: centers and weights; cuts of the chain in rising order of the pilot.
+    """Clusters by falling fraction, of equal ones the block that comes first: centers and weights; cuts of the chain in rising order of the pilot, and labels: the cluster of each block. Centers
+    need not fall along the chain.
 
-    gap bounds what better weights could add to the mean log likelihood; settled tells that neither cuts nor centers moved any more.
+    requested: for how many clusters it was the best; parent_k, parent_rep, kind: the partition that it is, or is a coarsening of. gap bounds what better weights could add to the mean log likelihood; settled tells that neither cuts
+    nor centers of that partition moved any more.
     """
 
     k: int
     centers: list[float]
     weights: list[float]
     cuts: list[int]
+    labels: list[int]
     loglik: float
     conditional: float
     bic: float
     n: int
     gap: float
     settled: bool
+    requested: int
+    parent_k: int
+    parent_rep: int
+    kind: str
 
 
-def _sums(obs: DataFrame, columns: list, of) -> np.ndarray:
-    """The sum over tasks of of(values, freq): values a matrix of the columns."""
-
-    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
-        for b in batches:
-            if b.num_rows:
-                one = of(b)
-                total = one if total is None else total + one
-        if total is not None:
-            told = np.union1d(np.flatnonzero(total), [len(total) - 1])  # the last one tells the length
-            yield pa.RecordBatch.from_arrays([pa.array(told), pa.array(total[told])], names=["i", "v"])
-
-    got = obs.select(*columns).mapInArrow(part, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()
-    at = got["i"].to_numpy()
-    out = np.zeros(at.max(initial=-1) + 1)
-    out[at] = got["v"].to_numpy()
-    return out
-
-
-NEEDED = ("alt_count", "depth", "major_cn", "den", "const")
+NEEDED = B.NEEDED
+_sums = B.summed
 
 
 def logliks(alt: np.ndarray, depth: np.ndarray, major: np.ndarray, den: np.ndarray, const: np.ndarray, cps: np.ndarray) -> np.ndarray:
@@ -323,10 +317,11 @@ def first_blocks(chain: DataFrame, purity: float, total: int, most: int) -> tupl
 
 
 def mixture_weights(obs: DataFrame, centers: list[list[float]], start: list[list[float]], rounds: int = ROUNDS, gap: float = WEIGHT_GAP) -> list[tuple[list[float], float, float]]:
-    """(weights, log likelihood, gap) for each list of fixed centers. The likelihoods are stored once; the log likelihood is within n * gap of its maximum."""
-    ends = np.cumsum([len(c) for c in centers])
-    spans = [(int(e) - len(c), int(e)) for e, c in zip(ends, centers, strict=True)]
-    ready = store(obs.select("freq", loglik_array([c for each in centers for c in each]).alias("t")), "weights", codec="lz4")
+    """(weights, log likelihood, gap) for each list of fixed centers. The likelihoods of all different centers are stored once; the log likelihood is within n * gap of its maximum."""
+    every = sorted({c for each in centers for c in each})
+    place = {c: k for k, c in enumerate(every)}
+    columns = [np.array([place[c] for c in each]) for each in centers]
+    ready = store(obs.select("freq", loglik_array(every).alias("t")), "weights", codec="lz4")
     found = [Weights(np.array(s, float)) for s in start]
     for _ in range(rounds):
         todo = [k for k, f in enumerate(found) if not f.done(gap)]
@@ -336,11 +331,15 @@ def mixture_weights(obs: DataFrame, centers: list[list[float]], start: list[list
 
         def step(b: pa.RecordBatch) -> np.ndarray:
             like, freq = _matrix(b, "t"), b.column(b.schema.names.index("freq")).to_numpy().astype(float)
-            out = []
+            top = like.max(axis=1)
+            scaled, out = np.exp(like - top[:, None]), []
             for k, w in at.items():
-                own = like[:, slice(*spans[k])]
-                top = own.max(axis=1)
-                out.append(_moments(np.exp(own - top[:, None]), top, freq, w))
+                own, base = scaled[:, columns[k]], top
+                if (low := np.flatnonzero(own.max(axis=1) < 1e-200)).size:  # far below the best of all centers
+                    base = top.copy()
+                    base[low] = like[np.ix_(low, columns[k])].max(axis=1)
+                    own[low] = np.exp(like[np.ix_(low, columns[k])] - base[low, None])
+                out.append(_moments(own, base, freq, w))
             return np.concatenate(out)
 
         flat, begin = _sums(ready, ["t", "freq"], step), 0
@@ -352,21 +351,24 @@ def mixture_weights(obs: DataFrame, centers: list[list[float]], start: list[list
     return [(f.weights.tolist(), f.value * float(n), f.gap) for f in found]
 
 
-def partitions(chain: DataFrame, purity: float, cuts: list[list[int]], centers: list[np.ndarray], rounds: int = 50, gain: float = 1e-9) -> list[Fit]:
-    """cuts and centers: where each partition starts. Alternates block centers and the best blocks for them, for all partitions together, until no likelihood rises by more than
-    `gain` of itself; the centers are then those of the last blocks. A partition that would lose a block keeps its blocks."""
+def alternate(chain: DataFrame, purity: float, cuts: list[list[int]], centers: list[np.ndarray], rounds: int = 50, gain: float = 1e-9) -> tuple[list[list[int]], list[bool]]:
+    """(cuts, settled). cuts and centers: where each partition starts. Alternates block centers and the best blocks for them, none empty, for all partitions together, until no likelihood rises by more than
+    `gain` of itself."""
     cuts, settled = [list(c) for c in cuts], [len(c) == 0 for c in cuts]
     centers, values = refit(chain, purity, cuts, centers)
     for _ in range(rounds):
         todo = [k for k, done in enumerate(settled) if not done]
         if not todo:
             break
-        flat = [float(c) for k in todo for c in centers[k]]
-        # minus infinity has no place in sums: a score that low is never chosen over a finite one
-        scores = F.transform("_s", lambda v: F.greatest(v, F.lit(-1e12)) * F.col("freq"))
-        found = C.best_blocks_each(chain.select("rank", "freq", loglik_array(flat).alias("_s")), scores, [len(centers[k]) for k in todo])
+        flat = np.array([float(c) for k in todo for c in centers[k]])
+
+        def scores(b: pa.RecordBatch, flat=flat) -> np.ndarray:
+            columns = [b.column(k).to_numpy() for k in range(1, b.num_columns)]
+            return logliks(*columns[1:], flat) * columns[0][:, None]
+
+        found = C.ordered_scan(chain, ["freq", *NEEDED], scores, [len(centers[k]) for k in todo])
         for k, (_, new) in zip(todo, found, strict=True):
-            if new == cuts[k] or len({*new, 0}) <= len(new):
+            if new == cuts[k]:
                 settled[k] = True
             else:
                 cuts[k] = new
@@ -377,64 +379,143 @@ def partitions(chain: DataFrame, purity: float, cuts: list[list[int]], centers:
         for k, c, v in zip(todo, at, new_values, strict=True):
             settled[k] = bool(v.sum() - values[k].sum() <= gain * abs(v.sum()))
             centers[k], values[k] = c, v
-    centers, values = refit(chain, purity, cuts, zooms=4)
-    sizes = _sizes(chain, cuts)
-    n = int(sum(sizes[0]))
+    return cuts, settled
+
+
+def merged(cuts: list[int], centers: list[float], values: list[float], sizes: list[float]) -> tuple[list[int], list[float], list[float], list[float]]:
+    """A partition whose neighbouring blocks have different centers: equal neighbours are one block."""
+    out_cuts, c, v, n = [], [centers[0]], [values[0]], [sizes[0]]
+    for cut, center, value, size in zip(cuts, centers[1:], values[1:], sizes[1:], strict=True):
+        if center == c[-1]:
+            v[-1], n[-1] = v[-1] + value, n[-1] + size
+        else:
+            out_cuts.append(cut)
+            c, v, n = [*c, center], [*v, value], [*n, size]
+    return out_cuts, c, v, n
+
+
+def falling(centers: list[float]) -> tuple[list[int], list[int]]:
+    """(blocks by falling center, of equal ones the first one first; the place of each block among them)."""
+    order = sorted(range(len(centers)), key=lambda b: (-centers[b], b))
+    return order, [order.index(b) for b in range(len(centers))]
+
+
+def scored(chain: DataFrame, purity: float, total: int, partitions_: list[list[int]], gap: float = WEIGHT_GAP, surely: bool = True, settled: list[bool] | None = None) -> list[Fit]:
+    """Each partition, given by its cuts, with its refitted centers, best weights and BIC. Every stretch that any of them has as a block is searched once, however many partitions share it."""
+    spans = sorted({span for cuts in partitions_ for span in zip([0, *cuts], [*cuts, total], strict=True)})
+    told = dict(zip(spans, zip(*B.refit(chain, purity, spans, surely), strict=True), strict=True))
+    kept = []
+    for cuts in partitions_:
+        parts = [told[span] for span in zip([0, *cuts], [*cuts, total], strict=True)]
+        kept.append(merged(cuts, *map(list, zip(*parts, strict=True))))
     out = []
-    for k, (weights, value, gap) in enumerate(mixture_weights(chain, [c.tolist() for c in centers], sizes)):
-        q, c = len(centers[k]), centers[k]
-        order = sorted(range(q), key=lambda b: (-c[b], b))
-        out.append(Fit(q, [float(c[b]) for b in order], [weights[b] for b in order], cuts[k], value, math.fsum(values[k]), -2 * value + (2 * q - 1) * math.log(n), n, gap, settled[k]))
+    for (cuts, centers, values, sizes), (weights, value, left), given, sure in zip(kept, mixture_weights(chain, [k[1] for k in kept], [k[3] for k in kept], gap=gap), partitions_, settled or [True] * len(kept), strict=True):
+        q, n = len(centers), int(sum(sizes))
+        order, labels = falling(centers)
+        out.append(Fit(q, [centers[b] for b in order], [weights[b] for b in order], cuts, labels, value, math.fsum(values), -2 * value + (2 * q - 1) * math.log(n), n, left, sure, len(given) + 1, len(given) + 1, 1, "native"))
     return out
 
 
-def _sizes(chain: DataFrame, cuts: list[list[int]]) -> list[list[float]]:
-    """How many observations each block of each partition holds."""
+def partitions(chain: DataFrame, purity: float, cuts: list[list[int]], centers: list[np.ndarray]) -> list[Fit]:
+    """The partitions that alternate() ends in, without their coarsenings."""
+    cuts, settled = alternate(chain, purity, cuts, centers)
+    return scored(chain, purity, chain.count(), cuts, settled=settled)
 
-    def sums(b: pa.RecordBatch) -> np.ndarray:
-        rank, freq = (b.column(b.schema.names.index(n)).to_numpy() for n in ("rank", "freq"))
-        return np.concatenate([np.bincount(np.searchsorted(c, rank, side="right"), freq, len(c) + 1) for c in cuts])
 
-    flat, out = _sums(chain, ["rank", "freq"], sums).tolist(), []
-    for c in cuts:
-        out, flat = [*out, flat[: len(c) + 1]], flat[len(c) + 1 :]
-    return out
+PARENTS = "requested_k long, replicate long, cuts array<long>"
+
+
+def search(chain: DataFrame, purity: float, total: int, parents: list[tuple[int, int, list[int]]], budgets: list[int], settled: dict[tuple[int, int], bool] | None = None) -> tuple[list[Fit], DataFrame]:
+    """(the best fit of each budget, all candidates). parents: (requested_k, replicate, cuts).
+
+    Candidates are the parents and all their coarsenings, each scored; only those whose components all have weight can win. A budget without any takes the best of what its parents can be merged to, down to a single block. The
+    winners' centers are searched once more with B.certain() and their weights to WEIGHT_GAP.
+    """
+    spark = chain.sparkSession
+    most = max([len(cuts) + 1 for _, _, cuts in parents] + budgets)
+    bank = S.coarsenings(spark.createDataFrame([(k, rep, [int(c) for c in cuts]) for k, rep, cuts in parents], PARENTS), list(range(1, most + 1))).collect()  # at most 2^9 a parent
+    every = sorted({tuple(r["cuts"]) for r in bank}, key=lambda c: (len(c), c))
+    fits_ = dict(zip(every, scored(chain, purity, total, [list(c) for c in every], SEARCH_GAP, surely=False), strict=True))
+    whole = [(r["budget"], tuple(r["cuts"]), r["parent_k"], r["parent_rep"], r["kind"]) for r in bank]
+    able = lambda c: min(fits_[c].weights) > 0
+    rows = [w for w in whole if w[0] in budgets]
+    for budget in budgets:
+        if not any(w[0] == budget and able(w[1]) for w in rows):
+            rows += [(budget, c, k, rep, "repaired") for b, c, k, rep, _ in whole if b <= budget and able(c)]
+    rows.sort(key=lambda w: (w[0], w[4] != "native", w[2], w[3], w[1]))
+    table = [(i, b, len(fits_[c].centers), fits_[c].bic, kind, k, rep, list(c), able(c), fits_[c].loglik, fits_[c].conditional, fits_[c].gap) for i, (b, c, k, rep, kind) in enumerate(rows)]
+    candidates = spark.createDataFrame(table, "candidate_id long, budget long, q long, bic double, kind string, parent_k long, parent_rep long, cuts array<long>, eligible boolean, loglik double, conditional double, gap double")
+    won = S.winners(candidates.where("eligible"))
+    picked = {r["budget"]: rows[r["candidate_id"]] for r in won.collect()}
+    final = scored(chain, purity, total, [list(w[1]) for w in picked.values()])
+    for f, (budget, _, k, rep, kind) in zip(final, picked.values(), strict=True):
+        f.requested, f.parent_k, f.parent_rep, f.kind, f.settled = budget, k, rep, kind, (settled or {}).get((k, rep), True)
+    return sorted(final, key=lambda f: f.requested), S.flagged(candidates, won)
 
 
 def chained(rows: DataFrame, purity: float) -> DataFrame:
-    """Distinct observations of rows in chain order: prepared, with freq, pilot and rank from 0."""
-    found = pilot(M.observations(rows), purity)
-    return store(ranked(found, [F.col("pilot"), *map(F.col, M.KEY)], "rank", 0), "chain", codec="lz4")
+    """Distinct observations of rows in chain order: prepared, with freq, pilot and rank from 0, stored by ranges of ranks."""
+    found = store(pilot(M.observations(rows), purity), "pilot", codec="lz4")
+    return C.in_ranges(ranked(found, [F.col("pilot"), *map(F.col, M.KEY)], "rank", 0), found.count())
+
 
+def sampled_parents(rows: DataFrame, chain: DataFrame, purity: float, size: int, replicates: int, seed: int, window: float, overlap: float, most: int, only: int | None) -> list[tuple[int, int, list[int], bool]]:
+    """(requested_k, replicate, cuts of the whole chain, settled): partitions fitted to samples of rows, stratified by the share of alternate reads, and carried over to the whole chain."""
+    drawn = store(S.window_samples(rows, F.col("alt_count") / F.col("depth"), size, seed, replicates, window, overlap), "samples")
+    out = []
+    for rep in range(1, replicates + 1):
+        own = M.observations(drawn.where(F.col("replicate") == rep)).withColumnRenamed("freq", "own")
+        part = chain.join(own, list(M.KEY)).withColumn("full_rank", F.col("rank")).withColumn("freq", F.col("own")).drop("own", "rank")
+        count = part.count()
+        part = C.in_ranges(ranked(part, [F.col("full_rank")], "rank", 0), count)
+        cuts, centers = first_blocks(part, purity, count, only or most)
+        if only:
+            cuts, centers = cuts[-1:], centers[-1:]
+        cuts, settled = alternate(part, purity, cuts, centers)
+        for c, sure in zip(cuts, settled, strict=True):
+            ends = S.boundaries(C.labelled(part.select("rank", "full_rank"), c).select("block", F.col("full_rank").alias("rank")))
+            out.append((len(c) + 1, rep, sorted(r["cut"] for r in ends.collect()), sure))
+    return out
 
-def fits(rows: DataFrame, purity: float, most: int = MOST_CLUSTERS, only: int | None = None) -> tuple[DataFrame, list[Fit]]:
-    """(chain, fits for 1..most clusters, or as many as there are distinct observations). None is left out for its BIC.
 
-    only: fit this number of clusters alone.
+def fits(rows: DataFrame, purity: float, most: int = MOST_CLUSTERS, only: int | None = None, sampling: dict | None = None) -> tuple[DataFrame, list[Fit], DataFrame]:
+    """(chain, the best fit for each of 1..most clusters, or as many as there are distinct observations, all candidates). None is left out for its BIC.
+
+    only: fit this number of clusters alone. sampling: size, replicates, seed, window and overlap, if the partitions are to come from samples; they are scored on all rows all the same.
     """
     chain = chained(rows, purity)
-    cuts, centers = first_blocks(chain, purity, chain.count(), only or most)
-    if only:
-        if len(cuts) < only:
-            raise ValueError(f"{len(cuts)} distinct observations cannot make {only} clusters")
-        cuts, centers = cuts[-1:], centers[-1:]
-    found = partitions(chain, purity, cuts, centers)
-    if late := [f.k for f in found if not f.settled or f.gap > WEIGHT_GAP]:
+    total = chain.count()
+    if only and total < only:
+        raise ValueError(f"{total} distinct observations cannot make {only} clusters")
+    if sampling:
+        found = sampled_parents(rows, chain, purity, most=most, only=only, **sampling)
+    else:
+        cuts, centers = first_blocks(chain, purity, total, only or most)
+        if only:
+            cuts, centers = cuts[-1:], centers[-1:]
+        cuts, settled = alternate(chain, purity, cuts, centers)
+        found = [(len(c) + 1, 1, c, sure) for c, sure in zip(cuts, settled, strict=True)]
+    budgets = [only] if only else list(range(1, min(most, total) + 1))
+    out, candidates = search(chain, purity, total, [f[:3] for f in found], budgets, {(k, rep): sure for k, rep, _, sure in found})
+    if late := [f.requested for f in out if not f.settled or f.gap > WEIGHT_GAP]:
         warnings.warn(f"not settled: fits of {late} clusters", stacklevel=2)
-    return chain, found
+    return chain, out, candidates
 
 
 def best(found: list[Fit]) -> Fit:
-    return min(found, key=lambda f: (f.bic, f.k))
+    """The least BIC among fits without components of weight 0, if there are any; then the fewest clusters, then the least request."""
+    return min(found, key=lambda f: (min(f.weights) <= 0, f.bic, f.k, f.requested))
+
+
+def label_of(labels: list[int], block: Column) -> Column:
+    """The cluster of a block of the chain, labels being those of all blocks."""
+    return F.element_at(F.array(*[F.lit(x).cast("long") for x in labels]), block.cast("int") + 1)
 
 
 def tables(rows: DataFrame, chain: DataFrame, fit: Fit, purity: float) -> dict[str, DataFrame]:
     """The published tables: mutations with cluster and multiplicity, and clusters, cluster 0 the largest fraction."""
-    blocks = C.labelled(chain, fit.cuts)
-    # along the chain fractions rise, so block b is cluster k - 1 - b; centres that cross are put right by value
-    centers_up = sorted(fit.centers)
-    label = blocks.select(*M.KEY, (F.lit(fit.k - 1) - F.col("block")).alias("cluster_index"))
-    at = F.element_at(F.array(*[F.lit(c) for c in reversed(centers_up)]), F.col("cluster_index").cast("int") + 1)
+    label = C.labelled(chain, fit.cuts).select(*M.KEY, label_of(fit.labels, F.col("block")).alias("cluster_index"))
+    at = F.element_at(F.array(*[F.lit(c) for c in fit.centers]), F.col("cluster_index").cast("int") + 1)
     named = rows.join(label, list(M.KEY)).withColumn("cp", at)
     called = named.join(M.calls(named, purity, F.col("cp")), "original_row")
     mutations = called.select("chrom", "pos", "mutation_id", "original_row", "cluster_index", "major_cn", "multiplicity", "expected_multiplicity", "multiplicity_probability")
@@ -446,7 +527,7 @@ def tables(rows: DataFrame, chain: DataFrame, fit: Fit, purity: float) -> dict[s
 
 def posterior_tables(rows: DataFrame, chain: DataFrame, fit: Fit, purity: float) -> dict[str, DataFrame]:
     """What the mixture says beside the published labels: components, flow from labels to components, one summary row, and a row per mutation."""
-    label = F.lit(fit.k - 1) - F.col("block")
+    label = label_of(fit.labels, F.col("block"))
     blocks = store(C.labelled(chain, fit.cuts).withColumn("label", label), "blocks", codec="lz4")
     member = store(M.memberships(blocks, purity, fit.centers, fit.weights), "member", codec="lz4")
     summary = M.summary(member, F.col("label"), fit.centers, purity)
@@ -464,10 +545,10 @@ def posterior_tables(rows: DataFrame, chain: DataFrame, fit: Fit, purity: float)
 def fit_table(spark, found: list[Fit]) -> DataFrame:
     """One row per number of clusters."""
     chosen = best(found)
-    return spark.createDataFrame([(*(getattr(f, n) for n in FIT_COLUMNS), f is chosen) for f in found], "k long, centers array<double>, weights array<double>, cuts array<long>, loglik double, conditional double, bic double, n long, gap double, settled boolean, selected boolean")
+    return spark.createDataFrame([(*(getattr(f, n) for n in FIT_COLUMNS), f is chosen) for f in found], "k long, centers array<double>, weights array<double>, cuts array<long>, labels array<long>, loglik double, conditional double, bic double, n long, gap double, settled boolean, requested long, parent_k long, parent_rep long, kind string, selected boolean")
 
 
-FIT_COLUMNS = ("k", "centers", "weights", "cuts", "loglik", "conditional", "bic", "n", "gap", "settled")
+FIT_COLUMNS = ("k", "centers", "weights", "cuts", "labels", "loglik", "conditional", "bic", "n", "gap", "settled", "requested", "parent_k", "parent_rep", "kind")
 
 
 def faults(rows: DataFrame, published: dict[str, DataFrame], purity: float) -> DataFrame:
@@ -488,7 +569,7 @@ def faults(rows: DataFrame, published: dict[str, DataFrame], purity: float) -> D
         "posterior_flow": (M.flow(member, F.col("label"), fit.k), published["posterior_flow"], ("chain_cluster_index", "posterior_cluster_index")),
         "posterior_summary": (M.summary(member, F.col("label"), fit.centers, purity), published["posterior_summary"].drop("total_variation", "count_gap", "loglik", "bic", "weight_gap"), ("n",)),
     }
-    rules = [checks.cluster_rules(published["clusters"], published["mutations"], purity), checks.order_rules(published["clusters"]), checks.row_rules(published["mutations"], published["clusters"], rows, purity)]
+    rules = [checks.cluster_rules(published["clusters"], published["mutations"], purity), checks.order_rules(published["clusters"]), checks.row_rules(published["mutations"], published["clusters"], rows, purity), checks.center_rules(published["clusters"], published["mutations"], rows, purity)]
     rules += [checks.far_apart(*tables).select(F.lit(name).alias("rule"), "n") for name, tables in again.items()]
     out = rules[0]
     for r in rules[1:]:

@@ -274,9 +274,12 @@ def vaf_strata_sample(spark, sf_dir):
     return selection.sampled(_retained(spark, sf_dir), F.col("alt_count") / F.col("depth"), BINS, TAKE, 11).select("original_row", "bin")
 
 
-@query("""SELECT block, (rank + after) // 2 + 1 AS cut FROM (SELECT block, max(rank) AS rank, lead(min(rank)) OVER (ORDER BY block) AS after FROM blocks WHERE rank % 3 = 0 GROUP BY block) WHERE after IS NOT NULL""", _CHAIN)
+@query("""SELECT block, (high + after) // 2 + 1 AS cut FROM (SELECT block, max(rank) AS high, lead(min(rank)) OVER (ORDER BY block) AS after FROM blocks
+  JOIN (SELECT original_row, bin, row_number() OVER (PARTITION BY bin ORDER BY md5('11:' || original_row), original_row) AS place FROM (SELECT original_row, greatest(ceil(alt_count / depth * 10), 1)::BIGINT AS bin FROM ret)) USING (original_row)
+  JOIN quota USING (bin) WHERE place <= take GROUP BY block) WHERE after IS NOT NULL""", _CHAIN + "," + _QUOTA)
 def subsample_boundaries(spark, sf_dir):
-    return selection.boundaries(_blocks(spark, sf_dir).where(F.col("rank") % 3 == 0))
+    drawn = selection.sampled(_retained(spark, sf_dir), F.col("alt_count") / F.col("depth"), BINS, TAKE, 11).select("original_row")
+    return selection.boundaries(_blocks(spark, sf_dir).join(drawn, "original_row"))
 
 
 _PARENTS = """
@@ -290,11 +293,13 @@ def _parents(spark, sf_dir):
 
 _BANK = _PARENTS + """,
 masks AS (SELECT *, unnest(range(0, (1 << len(cuts))::BIGINT)) AS mask FROM parents),
-picked AS (SELECT *, bit_count(mask)::BIGINT + 1 AS budget, list_filter(cuts, lambda c, i: (mask >> (i - 1)) % 2 = 1) AS sub FROM masks),
-bank AS (SELECT budget, array_to_string(sub, ',') AS cuts, min({'d': len(sub) <> len(cuts), 'k': requested_k, 'r': replicate}) AS o FROM picked WHERE budget IN (2, 3, 4) GROUP BY budget, array_to_string(sub, ','))"""
+picked AS (SELECT *, list_filter(cuts, lambda c, i: (mask >> (i - 1)) % 2 = 1) AS sub FROM masks),
+ways AS (SELECT sub, requested_k AS budget, 'native' AS kind, requested_k AS k, replicate AS r FROM picked WHERE len(sub) = len(cuts)
+  UNION ALL SELECT sub, len(sub) + 1, CASE WHEN len(sub) = len(cuts) THEN 'capacity_reuse' ELSE 'adjacent_coarsening' END, requested_k, replicate FROM picked),
+bank AS (SELECT budget, array_to_string(sub, ',') AS cuts, min({'d': kind <> 'native', 'k': k, 'r': r, 'kind': kind}) AS o FROM ways WHERE budget IN (2, 3, 4) GROUP BY budget, array_to_string(sub, ','))"""
 
 
-@query("SELECT budget, cuts, o.k AS parent_k, o.r AS parent_rep, CASE WHEN o.d THEN 'adjacent_coarsening' ELSE 'native' END AS kind FROM bank", _BANK)
+@query("SELECT budget, cuts, o.k AS parent_k, o.r AS parent_rep, o.kind AS kind FROM bank", _BANK)
 def coarsening_bank(spark, sf_dir):
     return selection.coarsenings(_parents(spark, sf_dir), [2, 3, 4]).withColumn("cuts", F.array_join("cuts", ","))
 
@@ -352,7 +357,7 @@ def pilot_cp(spark, sf_dir):
 
 def _published(spark, sf_dir):
     rows = store(_retained(spark, sf_dir), "retained")
-    chain, found = P.fits(rows, PURITY)
+    chain, found, _ = P.fits(rows, PURITY)
     return P.tables(rows, chain, P.best(found), PURITY)
 
 

@@ -1,5 +1,6 @@
 """The library's own operators: parsing, joins, likelihoods, chain, selection, fitting, runs."""
 
+import dataclasses
 import math
 import random
 from itertools import combinations
@@ -139,6 +140,11 @@ def test_selection(spark):
     parents = spark.createDataFrame([(3, 0, [2, 5]), (4, 1, [2, 5, 9])], "requested_k long, replicate long, cuts array<int>")
     got = {(r["budget"], tuple(r["cuts"])): (r["parent_k"], r["kind"]) for r in selection.coarsenings(parents, [2, 3]).collect()}
     assert got == {(2, (2,)): (3, "adjacent_coarsening"), (2, (5,)): (3, "adjacent_coarsening"), (2, (9,)): (4, "adjacent_coarsening"), (3, (2, 5)): (3, "native"), (3, (2, 9)): (4, "adjacent_coarsening"), (3, (5, 9)): (4, "adjacent_coarsening")}
+    merged = parents.withColumn("requested_k", F.col("requested_k") + 1)  # fewer blocks than asked for: routed to both
+    got = {(r["budget"], tuple(r["cuts"])): (r["parent_k"], r["kind"]) for r in selection.coarsenings(merged, [3, 4]).collect()}
+    assert got[(4, (2, 5))] == (4, "native") and got[(3, (2, 5))] == (4, "capacity_reuse") and got[(4, (2, 5, 9))] == (5, "capacity_reuse") and got[(3, (2, 9))] == (5, "adjacent_coarsening")
+    with pytest.raises(Exception, match="more than 16"):
+        selection.coarsenings(spark.createDataFrame([(3, 0, list(range(1, 20)))], "requested_k long, replicate long, cuts array<int>"), [2]).collect()
     rows = spark.range(1, 101).select(F.col("id").alias("original_row"), (F.col("id") / 100).alias("v"))
     assert sum(r["take"] for r in selection.quotas(rows, F.col("v"), 7, 31).collect()) == 31
     assert selection.sampled(rows, F.col("v"), 7, 31, 1).count() == 31
@@ -173,7 +179,7 @@ def test_fit_recovers_two_clusters(spark, tmp_path):
     assert {f["k"]: f["selected"] for f in found["fits"].collect()} == {1: False, 2: True, 3: False}
     assert found["posterior_mutations"].count() == 240 and found["posterior_summary"].first()["count_gap"] < 1e-6
     faults = api.verify(spark, out)
-    assert len(faults) == 17 and not any(faults.values())
+    assert len(faults) == 18 and not any(faults.values())
     wrong = dict(found, clusters=found["clusters"].withColumn("cluster_index", 1 - F.col("cluster_index")), posterior_flow=found["posterior_flow"].limit(3))
     faults = {r["rule"] for r in P.faults(ledger.retained(found["ledger"]), wrong, 0.8).collect() if r["n"]}
     assert {"order", "posterior_flow"} <= faults and "fit" not in faults
@@ -191,7 +197,7 @@ def test_refusals(spark, tmp_path, name, change, said):
             api.validate_inputs(spark, *paths)
 
 
-@pytest.mark.parametrize("wrong", [{"max_clusters": 0}, {"max_clusters": 11}, {"clusters": True}, {"sample_id": " "}, {"sample_id": "a/b"}, {"assembly": "a\tb"}])
+@pytest.mark.parametrize("wrong", [{"max_clusters": 0}, {"max_clusters": 11}, {"clusters": True}, {"sample_id": " "}, {"sample_id": "a/b"}, {"assembly": "a\tb"}, {"device": "cuda"}, {"subsample_size": 0}, {"replicates": 2}, {"seed": -1}, {"window_size": 1.5}, {"overlap": 0.05}, {"window_size": math.nan}])
 def test_config_refusals(wrong):
     with pytest.raises(ValueError, match=next(iter(wrong))):
         api.FitConfig(**wrong)
@@ -199,6 +205,13 @@ def test_config_refusals(wrong):
 
 def test_config_capacities():
     assert api.FitConfig(4).capacities(3) == [1, 2, 3] and api.FitConfig(clusters=5).capacities(9) == [5]
+    for config, n in ((api.FitConfig(clusters=5), 4), (api.FitConfig(subsample_size=9), 50), (api.FitConfig(), 0)):
+        with pytest.raises(ValueError, match="clusters"):
+            config.capacities(n)
+    one = api.FitConfig(3, subsample_size=40, replicates=2, seed=7, window_size=0.2, overlap=0.1)
+    assert api.FitConfig.from_dict(dataclasses.asdict(one)) == one and one.sampling() == {"size": 40, "replicates": 2, "seed": 7, "window": 0.2, "overlap": 0.1} and api.FitConfig().sampling() is None
+    with pytest.raises(ValueError, match="exactly"):
+        api.FitConfig.from_dict({"seed": 1})
 
 
 def test_mixture_weights(spark):
