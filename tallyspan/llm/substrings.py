@@ -22,6 +22,7 @@ repeated results. Texts of up to 2**31 words are taken whole. Extra columns are
 
 from __future__ import annotations
 
+import atexit
 import uuid
 from collections.abc import Iterator
 from functools import reduce
@@ -125,10 +126,13 @@ class SubstringIndex:
         self.runs: list[str] = []
         self.texts: list[str] = []
         self.merged: list[str] = []
+        self.tables: list[str] = []
 
     def _table(self, df: DataFrame, by: str, order: tuple[str, ...]) -> str:
         """df, dealt by `by`, as a bucketed and sorted table under the index's path; its name."""
         name = f"substrings_{uuid.uuid4().hex}"
+        self.tables.append(name)
+        atexit.register(self._drop, name)  # the catalog may outlive the session
         df.write.bucketBy(self.buckets, by).sortBy(*order).option("compression", "zstd").option("path", f"{self.path}/{name}").saveAsTable(name)
         return name
 
@@ -139,13 +143,26 @@ class SubstringIndex:
         """(a, s, d) of all runs: a stretch and the smallest document that has it."""
         return self._union(self.runs, "a", "s", "d", "kind").where("kind in (0, 2)").drop("kind") if self.runs else None
 
+    def _drop(self, name: str) -> None:
+        """Take a table out of the catalog and delete its files; a session that is stopped has no catalog any more."""
+        try:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        except Exception:  # noqa: BLE001  the JVM may be gone
+            return
+        remove(self.spark, f"{self.path}/{name}")
+
     def clear_merged(self) -> None:
         """Delete runs that were compacted, once the results of their batches have been written."""
         for name in self.merged:
-            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-            remove(self.spark, f"{self.path}/{name}")
+            self._drop(name)
         self.merged = []
 
+    def close(self) -> None:
+        """Delete all tables of the index, once the results of all batches have been written. What is left is deleted when the driver's Python ends."""
+        for name in self.tables:
+            self._drop(name)
+        self.tables, self.runs, self.texts, self.merged = [], [], [], []
+
     def compact(self) -> None:
         """Merge all runs into one, bucket by bucket."""
         if len(self.runs) > 1:

@@ -359,6 +359,10 @@ def test_substring_runs(frame, spark):
     plan = index.history().groupBy("a", "s").count()._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
     index.clear_merged()
+    names = set(index.tables)
+    assert {t.name for t in spark.catalog.listTables()} & names
+    index.close()
+    assert not {t.name for t in spark.catalog.listTables()} & names and not index.tables
     assert index.history().count() > 0
     with pytest.raises(ValueError, match="words"):
         substrings.SubstringIndex(spark, width=5)
