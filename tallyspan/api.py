@@ -109,6 +109,7 @@ def fit(spark: SparkSession, points: str, segments: str, purity: str, output: st
     config.capacities(kept.count())
     chain, found, candidates = P.fits(kept, value, config.max_clusters, config.clusters, config.sampling())
     best = P.best(found)
+    P.exactly(chain, best, value)
     tables = P.tables(kept, chain, best, value) | P.posterior_tables(kept, chain, best, value)
     tables = {k: store(t, k) for k, t in tables.items()} | {"fits": P.fit_table(spark, found), "candidates": candidates}
     if broken := {r["rule"]: r["n"] for r in P.faults(kept, tables, value).collect() if r["n"]}:

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tallyspan import queries as Q
+from tallyspan.functions.exact import exact_sums
 from tallyspan.operators import chain as C
 from tallyspan.operators import mixture as M
 from tallyspan.operators import selection as S
 from tallyspan.plans import blocks as B
 from tallyspan.plans import fit as P
+from tallyspan.plans import joint as J
 from tallyspan.plans.scratch import store
 
 PURITY = Q.PURITY
@@ -178,3 +181,40 @@ def sample_expansion(spark, sf_dir):
     cuts = S.boundaries(drawn, "replicate").groupBy("replicate").agg(F.collect_list("cut").alias("cuts"))  # one row a replicate
     label = F.size(F.filter("cuts", lambda c: c <= F.col("rank"))).cast("long")
     return blocks.select("rank").join(F.broadcast(cuts)).groupBy("replicate", label.alias("block")).agg(F.count("*").alias("n"))
+
+
+@Q.query(f"""SELECT k::BIGINT AS component, total_cn, m::BIGINT AS m, round(sum(share * p), 3) AS size, round(sum(share * p * alt_count), 2) AS alt, round(sum(share * p * (depth - alt_count)), 2) AS rest
+  FROM (SELECT original_row, k, m, exp(v - loglik) AS p FROM ker JOIN ll USING (original_row, k)) JOIN mem USING (original_row, k) JOIN ret USING (original_row) GROUP BY ALL""", Q._MIX)
+def joint_expectation(spark, sf_dir):
+    """The expectation step of the joint fit: expected rows and reads by component, copies and multiplicity."""
+    out = J.expectation(M.observations(Q._retained(spark, sf_dir)), PURITY, Q.CENTERS, Q.WEIGHTS)
+    return out.select("component", "total_cn", "m", F.round("size", 3).alias("size"), F.round("alt", 2).alias("alt"), F.round("rest", 2).alias("rest"))
+
+
+@Q.query(f"""SELECT k::BIGINT AS component, round(sum(share) / (SELECT count(*) FROM ret), 6) AS weight, round(avg(share / w), 6) AS score,
+  round(sum(share * (a / c - r)) * {PURITY} / (SELECT count(*) FROM ret), 5) AS slope
+  FROM (SELECT original_row, k, sum(p * alt_count) AS a, sum(p * (depth - alt_count) * (m / den) / (1 - c * m / den)) AS r FROM (SELECT original_row, k, m, exp(v - loglik) AS p FROM ker JOIN ll USING (original_row, k))
+    JOIN comp USING (k) JOIN obs USING (original_row) GROUP BY original_row, k) JOIN mem USING (original_row, k) JOIN comp USING (k) GROUP BY k""", Q._MIX)
+def joint_step(spark, sf_dir):
+    """By component the next weight, the score, and the observed slope per row by cancer cell fraction, from one pass of the joint fit."""
+    o = J.Observations(M.observations(Q._retained(spark, sf_dir)), PURITY)
+    centers = np.array(Q.CENTERS)
+    s = o.at([(centers, np.array(Q.WEIGHTS))])[0]
+    slope = J.slopes(centers, s, o.scale) * PURITY / s.n
+    return spark.createDataFrame([(k, round(float(s.sizes[k] / s.n), 6), round(float(s.scores[k] / s.n), 6), round(float(slope[k]), 5)) for k in range(len(centers))], "component long, weight double, score double, slope double")
+
+
+@Q.query()
+def joint_fit(spark, sf_dir):
+    """The joint fit from three given components, with its certificate."""
+    f = J.fit_joint(J.Observations(M.observations(Q._retained(spark, sf_dir)), PURITY), [(Q.CENTERS, Q.WEIGHTS)])[0]
+    rows = [(k, round(c, 4), round(w, 4), f.status) for k, (c, w) in enumerate(zip(f.centers, f.weights, strict=True))]
+    return spark.createDataFrame(rows, "component long, center double, weight double, status string")
+
+
+@Q.query("SELECT label::BIGINT AS label, round(sum(mix), 3) AS mixture, round(sum(alt_count::DOUBLE / depth), 6) AS share FROM mix JOIN lab USING (original_row) JOIN ret USING (original_row) GROUP BY label", Q._MIX)
+def exact_loglik(spark, sf_dir):
+    """Log likelihoods and shares of reads by label, summed exactly."""
+    member = Q._members(spark, sf_dir)
+    sums = exact_sums(member, ["label"], mixture=F.col("freq") * F.col("mix"), share=F.col("freq") * F.col("alt_count") / F.col("depth"))
+    return sums.groupBy(F.col("label").cast("long").alias("label")).agg(F.round(F.max(F.when(F.col("name") == "mixture", F.col("total"))), 3).alias("mixture"), F.round(F.max(F.when(F.col("name") == "share", F.col("total"))), 6).alias("share"))

@@ -58,17 +58,27 @@ def mapped(proposed: DataFrame, final: DataFrame, key: str) -> DataFrame:
     return proposed.join(final, key, "left").withColumn("final_index", F.coalesce("final_index", F.lit(-1).cast("long")))
 
 
-def starting_bank(rows: DataFrame, by: str, role: Column, roles: int, same: str) -> DataFrame:
-    """Per group at most one record for each role in turn, the best whose `same` no earlier role took: (by, role, candidate_id)."""
-    rows, taken = rows.withColumn("_role", role), None
-    for k in range(roles):
-        left = rows.where(F.col("_role") == k)
+#: Roles of starting states, in the order in which they are given.
+ROLES = ("best_bic", "native", "best_conditional")
+
+
+def starting_bank(rows: DataFrame) -> DataFrame:
+    """(start_id, q, role, candidate_id): for each number of components at most one candidate a role, of all eligible ones the least BIC, the least BIC of native ones, and the largest conditional likelihood, each with a set of
+    centers that no earlier role took. Ties: least BIC, then replicate, then id.
+
+    rows: candidate_id, kind, replicate, eligible, bic, conditional, centers (array).
+    """
+    rows = rows.where("eligible").select("candidate_id", "kind", "replicate", "bic", "conditional", F.size("centers").cast("long").alias("q"), F.array_sort("centers").alias("same"))
+    taken = None
+    for k, role in enumerate(ROLES):
+        left = rows.where("kind = 'native'") if role == "native" else rows
         if taken is not None:
-            left = left.join(taken.select(by, same), [by, same], "left_anti")
-        best = left.groupBy(by).agg(F.min(F.struct("bic", "q", "candidate_id", F.col(same).alias("_same"))).alias("b"))
-        best = best.select(by, F.lit(k).cast("long").alias("role"), F.col("b.candidate_id").alias("candidate_id"), F.col("b._same").alias(same))
+            left = left.join(taken.select("q", "same"), ["q", "same"], "left_anti")
+        first = -F.col("conditional") if role == "best_conditional" else F.col("bic")
+        best = left.groupBy("q").agg(F.min(F.struct(first.alias("key"), "bic", "replicate", "candidate_id", "same")).alias("b"))
+        best = best.select("q", F.lit(k).alias("_k"), F.lit(role).alias("role"), F.col("b.candidate_id").alias("candidate_id"), F.col("b.same").alias("same"))
         taken = best if taken is None else taken.unionByName(best)
-    return taken.drop(same)
+    return taken.select((F.row_number().over(W.orderBy("q", "_k")) - 1).cast("long").alias("start_id"), "q", "role", "candidate_id")  # three rows a number of components
 
 
 def grid_gaps(found: DataFrame, expected: DataFrame) -> DataFrame:

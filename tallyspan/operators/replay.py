@@ -25,21 +25,25 @@ def pmf_loglik(rows: DataFrame, purity: float, cp: float) -> DataFrame:
 
 
 def gradients(rows: DataFrame, purity: float, cp: float, floor: float = 1e-8) -> DataFrame:
-    """(original_row, gradient, curvature) of the log likelihood at 0 < cp; curvature is the negative second derivative, at least `floor`.
+    """(original_row, loglik, gradient, curvature) at a fraction cp of 0 to the purity: the slope of the log likelihood, and the mean over multiplicities, by their shares, of each one's own negative second derivative.
 
-    A multiplicity whose chance of a read is at its limit of 1 does not change with cp.
+    At a chance of 1 a multiplicity is impossible if any read lacks the variant, but with one such read it still has a slope from below, and an infinite curvature, and with two a curvature; both
+    count with what the multiplicity would weigh without that factor. A row that is impossible altogether has slope 0 and curvature 1. By the fraction of cancer cells (cp / purity) the curvature is at least `floor`
+    and that 1; here both are divided by the squared purity.
     """
-    rows = M.prepared(rows, purity).withColumn("post", L.posterior(M.kernel(F.lit(cp))))
-    rest, c = F.col("depth") - F.col("alt_count"), F.lit(cp)
-    scale = lambda m: m / F.col("den")
-    free = lambda m: c * scale(m) < 1
-    first = lambda m: F.when(free(m), F.col("alt_count") / c - rest * scale(m) / (1 - c * scale(m))).otherwise(0.0)
-    second = lambda m: F.when(free(m), -F.col("alt_count") / (c * c) - rest * scale(m) * scale(m) / ((1 - c * scale(m)) * (1 - c * scale(m)))).otherwise(0.0)
-    copies = F.sequence(F.lit(1), F.col("major_cn").cast("int"))
-    rows = rows.withColumn("_g", F.transform(copies, first)).withColumn("_h", F.transform(copies, second))
-    rows = rows.withColumn("gradient", L.dot(F.col("post"), F.col("_g")))
-    spread = L.dot(F.col("post"), F.transform("_g", lambda g: g * g)) - F.col("gradient") * F.col("gradient")
-    return rows.select("original_row", "gradient", F.greatest(-(L.dot(F.col("post"), F.col("_h")) + spread), F.lit(floor)).alias("curvature"))
+    rows = M.prepared(rows, purity).withColumn("_v", M.kernel(F.lit(cp))).withColumn("loglik", L.log_sum_exp(F.col("_v"))).withColumn("_w", L.posterior(F.col("_v")))
+    alt, rest, copies = F.col("alt_count"), F.col("depth") - F.col("alt_count"), F.sequence(F.lit(1), F.col("major_cn").cast("int"))
+    s = lambda m: m / F.col("den")
+    left = lambda m: F.when(F.lit(cp) * s(m) < 1, 1 - F.lit(cp) * s(m))  # noqa: E731  null at a chance of 1
+    by = lambda power: alt / F.lit(cp**power) if cp > 0 else F.lit(0.0)  # noqa: E731  at 0 only rows without the variant are possible
+    first = L.dot(F.col("_w"), F.transform(copies, lambda m: by(1) - F.coalesce(rest * s(m) / left(m), F.lit(0.0))))
+    second = L.dot(F.col("_w"), F.transform(copies, lambda m: by(2) + F.coalesce(rest * s(m) * s(m) / (left(m) * left(m)), F.lit(0.0))))
+    at_one = lambda power: F.aggregate(F.transform(copies, lambda m: F.when(left(m).isNull(), F.pow(s(m), F.lit(power))).otherwise(0.0)), F.lit(0.0), lambda t, x: t + x)
+    unit = F.exp(F.col("const") - F.col("loglik"))
+    gradient = first - F.when(rest == 1, unit * at_one(1)).otherwise(0.0)
+    curvature = F.when((rest == 1) & (at_one(1) > 0), F.lit(math.inf)).otherwise(F.greatest(second + F.when(rest == 2, 2 * unit * at_one(2)).otherwise(0.0), F.lit(floor / purity**2)))
+    possible = F.col("loglik") > -math.inf
+    return rows.select("original_row", "loglik", F.when(possible, gradient).otherwise(0.0).alias("gradient"), F.when(possible, curvature).otherwise(1 / purity**2).alias("curvature"))
 
 
 def accepted(rows: DataFrame, purity: float, cp: float, published: Column, slack: float = 1e-9) -> DataFrame:

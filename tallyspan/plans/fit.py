@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyspan.functions.exact import exact_sums
 from tallyspan.operators import chain as C
 from tallyspan.operators import checks
 from tallyspan.operators import mixture as M
@@ -507,6 +508,13 @@ def best(found: list[Fit]) -> Fit:
     return min(found, key=lambda f: (min(f.weights) <= 0, f.bic, f.k, f.requested))
 
 
+def exactly(chain: DataFrame, fit: Fit, purity: float) -> None:
+    """Sets the fit's log likelihood and BIC to exact sums over the rows, rounded once: they depend on centers and weights only, not on how the rows are dealt."""
+    member = M.memberships(chain, purity, fit.centers, fit.weights)
+    fit.loglik = exact_sums(member, [], loglik=F.col("freq") * F.col("mix")).first()["total"]
+    fit.bic = -2 * fit.loglik + (2 * fit.k - 1) * math.log(fit.n)
+
+
 def label_of(labels: list[int], block: Column) -> Column:
     """The cluster of a block of the chain, labels being those of all blocks."""
     return F.element_at(F.array(*[F.lit(x).cast("long") for x in labels]), block.cast("int") + 1)

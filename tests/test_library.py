@@ -264,7 +264,19 @@ def test_records_and_replays(spark):
     for k, o in enumerate(OBS):
         f = lambda cp, o=o: math.log(sum(math.exp(v) for v in plain_kernel(*o, 0.9, cp)))
         assert grad[k][0] == pytest.approx((f(0.3 + 1e-5) - f(0.3 - 1e-5)) / 2e-5, rel=1e-5, abs=1e-4)
-        assert grad[k][1] == pytest.approx(max(1e-8, -(f(0.3 + 1e-4) - 2 * f(0.3) + f(0.3 - 1e-4)) / 1e-8), rel=1e-3, abs=1e-3)
+        v = np.array(plain_kernel(*o, 0.9, 0.3))
+        own = [-(up - 2 * mid + low) / 1e-8 for up, mid, low in zip(plain_kernel(*o, 0.9, 0.3 + 1e-4), v, plain_kernel(*o, 0.9, 0.3 - 1e-4), strict=True)]
+        assert grad[k][1] == pytest.approx(max(1e-8 / 0.81, np.exp(v - f(0.3)) @ own), rel=1e-3, abs=1e-3)  # each multiplicity's own curvature, by its share
+    edge = spark.createDataFrame([(0, 9, 10, 1, 1), (1, 9, 10, 2, 2), (2, 8, 10, 2, 2), (3, 10, 10, 2, 2), (4, 7, 10, 2, 2), (5, 0, 4, 2, 2)], "original_row long, alt_count long, depth long, major_cn long, total_cn long")
+    got = {r["original_row"]: r for r in replay.gradients(edge, 1.0, 1.0).collect()}
+    assert (got[0]["loglik"], got[0]["gradient"], got[0]["curvature"]) == (-math.inf, 0.0, 1.0)  # impossible
+    for k, (a, n) in enumerate([(9, 10), (8, 10), (10, 10), (7, 10)], 1):  # one copy of two: half the reads; two of two: all of them
+        half, r = 0.5**n, n - a
+        mass = half + (r == 0)
+        slope = (half * (a - r) + (r == 0) * a - (r == 1)) / mass
+        assert got[k]["gradient"] == pytest.approx(slope)
+        assert got[k]["curvature"] == (math.inf if r == 1 else pytest.approx((half * (a + r) + (r == 0) * a + 2 * (r == 2)) / mass))
+    assert got[5]["gradient"] == pytest.approx(-4.0) and replay.gradients(edge, 1.0, 0.0).where("original_row = 5").first()["gradient"] == pytest.approx(-(0.5 * 4 + 4) / 2)
 
 
 def test_scalar_is_read_whole(spark, tmp_path):
