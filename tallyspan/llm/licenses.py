@@ -3,14 +3,15 @@
 Every rolling word k-gram of every text is hashed and joined to the positions at which the templates have it. A
 hit votes for the diagonal (text position minus template position). Votes are summed by text, template and
 diagonal; neighbouring diagonals, which insertions and deletions set apart, are merged; and the words under
-the merged span are aligned with the template's to verify it. The join's hits carry the text's words along
-the template, so no text is shuffled.
+all of them together are aligned with the template's to verify the span. The join's hits carry the text's words along
+the template, so no text is shuffled: windows of neighbouring diagonals overlap, and are put together again.
 
 Base templates are phrases, reported wherever all their words stand in a row. The other templates are sentences of well-known
 licenses; they count from COVER of their words in order, short ones in full. Templates are a fixed list of at most some thousand
 k-grams, which is broadcast.
 
-Words are runs of a-z, 0-9 and anything beyond ASCII, after lower-casing A-Z. Null and empty texts have none.
+Words are runs of a-z, 0-9 and anything beyond ASCII, after lower-casing A-Z. Null and empty texts have none; an empty table gives no rows. Texts of
+any length are scanned whole. Columns other than the id and the text are not looked at.
 Rows are told apart by id and text, so rows that share an id but not a text keep their own results, and
 repeated rows repeat theirs.
 """
@@ -108,7 +109,8 @@ def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates
     at = rows.select("doc_id", "text_hash", "w", F.posexplode("w").alias("p", "first"))
     second, third = F.get("w", F.col("p") + 1), F.get("w", F.col("p") + 2)
     hashes = F.array(F.xxhash64("first", second), F.when(third.isNotNull(), F.xxhash64("first", second, third)))
-    at = at.where(second.isNotNull()).select("doc_id", "text_hash", "w", "p", F.explode(hashes).alias("hash"))
+    openers = sorted({t.words[k] for t in templates for k in range(len(t.words) - t.k + 1)})  # only a k-gram that begins with one of these can be in a template
+    at = at.where(F.col("first").isin(openers) & second.isNotNull()).select("doc_id", "text_hash", "w", "p", F.explode(hashes).alias("hash"))
     hits = at.join(F.broadcast(grams), "hash")
     start = F.col("p") - F.col("t_pos")
     low = F.greatest(start - NEAR, F.lit(0))
@@ -134,10 +136,12 @@ def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates
                     else:
                         merged.append([d])
                 for some in merged:
-                    best = max(some, key=lambda d: (d["votes"], -d["diagonal"]))
-                    n, first, last = in_order(list(t.words), list(best["words"]))
+                    begin, words = int(some[0]["low"]), []
+                    for d in some:  # each window goes on where the one before ended, or earlier
+                        words += list(d["words"][begin + len(words) - int(d["low"]) :])
+                    n, first, last = in_order(list(t.words), words)
                     if n >= (cover if len(t.words) > FULL else 1) * len(t.words):
-                        spans_.append((first + int(best["low"]), last + int(best["low"]), n / len(t.words)))
+                        spans_.append((first + begin, last + begin, n / len(t.words)))
             out.append([{"first": f, "last": e, "score": s} for f, e, s in spans_])
         return pd.Series(out, dtype=object)
 

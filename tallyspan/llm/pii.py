@@ -5,7 +5,7 @@ whatever its score. Kinds iban and ssn are added by the method: an iban needs th
 needs valid number groups and, through its score, a context word nearby.
 
 Null and empty texts have no spans. Rows are judged one by one, so repeated rows give repeated results,
-and extra columns of the input are not looked at.
+and extra columns of the input are not looked at. An empty table gives no rows. Texts of any length are read whole, in one task each.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ complete binary trees in three arrays (feature, threshold, leaf value), so scori
 look-ups for all documents of a batch and all trees.
 
 Null and empty texts have zero statistics and fail the base rule (fewer than 10 words). Repeated rows give
-repeated results. Without any usable label the verdict is that of the base rule alone.
+repeated results. Without any usable label the verdict is that of the base rule alone. An empty table gives no rows. Texts of any length are
+read whole, in one task each. A score at KEEP_AT is kept. Columns other than the id and the text are not looked at, but keep() carries them along.
 """
 
 from __future__ import annotations

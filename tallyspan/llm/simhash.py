@@ -14,7 +14,8 @@ pair by pair: see hub_links.
 Texts: A-Z is lower-cased, words are runs of anything but space and \\t to \\r, shingles are joined by single
 spaces, repeats included; a text with fewer words is one shingle. Null and empty texts have fingerprint 0 and
 are linked like any other. Rows with the same id keep their own fingerprints; a null id never names a class,
-and a class of null ids only has a null class id.
+and a class of null ids only has a null class id. An empty table gives no rows. Texts of any length are read whole, in one task each.
+Columns other than the id and the text are not looked at, but deduplicated() carries them along.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ regression with an L2 penalty weighs them. The fit reads at most TRAIN_ROWS labe
 is a vector of BUCKETS numbers, so its size does not follow the data.
 
 Null and empty texts have no n-grams and get the intercept's score. Without labels of both classes every
-score is 0. Repeated rows give repeated results.
+score is 0. Repeated rows give repeated results. An empty table gives no rows. Texts of any length are read whole, in one task each. A score of just 0.5 is predicted toxic.
+Columns other than the id and the text are not looked at.
 """
 
 from __future__ import annotations

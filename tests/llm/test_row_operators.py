@@ -74,6 +74,22 @@ def test_licenses(frame):
     assert by[105]["labels"] == "mit" and 0.8 <= by[105]["score"] < 1 and by[1]["score"] == 0
 
 
+def test_licenses_with_insertions(frame):
+    """All words of a template with insertions of three words: the span is whole, as the words under all merged diagonals are aligned."""
+    words, rng = "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files".split(), random.Random(2)
+    docs, plain = [], {}
+    for k in range(40):
+        w = list(words)
+        for at in sorted(rng.sample(range(3, len(words) - 3, 3), k % 4 + 1), reverse=True):
+            w[at:at] = [f"x{k}a", f"y{k}b", f"z{k}c"]
+        before = [f"p{j}" for j in range(k)]
+        docs.append((k, " ".join([*before, *w, "tail", "words"])))
+        plain[k] = (k, k + len(w) - 1, len(words))
+    got = {r["doc_id"]: r for r in licenses.spans(frame(docs)).where("template = 4").collect()}
+    for k, (first, last, _) in plain.items():
+        assert (got[k]["first"], got[k]["last"], got[k]["score"]) == (first, last, 1.0), (k, got[k])
+
+
 def test_licenses_empty(frame):
     assert licenses.report(frame([])).collect() == []
 
