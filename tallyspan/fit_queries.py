@@ -11,6 +11,7 @@ from tallyspan import queries as Q
 from tallyspan.functions.exact import exact_sums
 from tallyspan.operators import chain as C
 from tallyspan.operators import mixture as M
+from tallyspan.operators import modes
 from tallyspan.operators import selection as S
 from tallyspan.plans import blocks as B
 from tallyspan.plans import fit as P
@@ -218,3 +219,18 @@ def exact_loglik(spark, sf_dir):
     member = Q._members(spark, sf_dir)
     sums = exact_sums(member, ["label"], mixture=F.col("freq") * F.col("mix"), share=F.col("freq") * F.col("alt_count") / F.col("depth"))
     return sums.groupBy(F.col("label").cast("long").alias("label")).agg(F.round(F.max(F.when(F.col("name") == "mixture", F.col("total"))), 3).alias("mixture"), F.round(F.max(F.when(F.col("name") == "share", F.col("total"))), 6).alias("share"))
+
+
+_DEEP = f"""
+deep AS (SELECT DISTINCT alt_count * 5000 AS a, depth * 5000 AS d, major_cn, total_cn FROM ret),
+wide AS (SELECT *, a / d * ({2 * (1 - PURITY)!r} + {PURITY!r} * total_cn) AS mode, ({2 * (1 - PURITY)!r} + {PURITY!r} * total_cn) * greatest(sqrt(a / d * (1 - a / d) / d), 0.5 / d) AS error FROM deep WHERE a > 0),
+narrow AS (SELECT *, least(major_cn + 1, floor(greatest(mode / {PURITY!r}, error / {PURITY / 1024!r}))::BIGINT + 1) AS first FROM wide),
+listed AS (SELECT mode / m AS cp, row_number() OVER (ORDER BY a, d, major_cn, total_cn, m) - 1 AS g FROM (SELECT *, unnest(range(first, major_cn + 1)) AS m FROM narrow)),
+size AS (SELECT count(*) AS n, least(count(*), 2048) AS k FROM listed)"""
+
+
+@Q.query("SELECT DISTINCT round(cp, 9) AS cp FROM listed WHERE g IN (SELECT i * (n - 1) // greatest(k - 1, 1) FROM size, range(0, 2048) t(i) WHERE i < k)", _DEEP)
+def narrow_modes(spark, sf_dir):
+    """Extra grid points of observations as deep as 5,000 of the given ones together. The SQL lists all modes."""
+    deep = M.observations(Q._retained(spark, sf_dir)).select((F.col("alt_count") * 5000).alias("alt_count"), (F.col("depth") * 5000).alias("depth"), "major_cn", "total_cn")
+    return modes.narrow_modes(deep, PURITY).select(F.round("cp", 9).alias("cp")).distinct()

@@ -170,6 +170,21 @@ def visit_links(spark, sf_dir):
     return R.link_states(Q._candidates(spark, sf_dir), F.when(i % 50 > 0, i - 1 - i % 7))
 
 
+_WALK = Q._CAND + """,
+link AS (SELECT candidate_id AS id, bic, CASE WHEN candidate_id % 400 = 7 THEN candidate_id + 1 WHEN candidate_id % 50 = 49 THEN -candidate_id WHEN candidate_id % 50 > 0 THEN candidate_id - 1 - candidate_id % 2 * (candidate_id % 7) END AS p FROM cand),
+walk AS (SELECT id, id AS root, 0::BIGINT AS depth, 0::BIGINT AS falls, NULL::BIGINT AS near, bic, p IS NOT NULL AS missing FROM link WHERE p IS NULL OR p NOT IN (SELECT id FROM link)
+  UNION ALL SELECT l.id, root, depth + 1, falls + (l.bic < w.bic)::BIGINT, CASE WHEN l.bic < w.bic THEN 1 ELSE near + 1 END, l.bic, missing FROM link l JOIN walk w ON l.p = w.id)"""
+
+
+@Q.query("SELECT l.id AS candidate_id, CASE WHEN root IS NULL THEN 'cycle' WHEN missing THEN 'missing' ELSE 'path' END AS state, coalesce(root, -1) AS root, coalesce(depth, -1) AS depth, coalesce(falls, -1) AS falls, coalesce(near, -1) AS nearest_fall FROM link l LEFT JOIN walk USING (id)", _WALK, recursive=True)
+def refinement_paths(spark, sf_dir):
+    """Root, depth and falls of every record along its predecessors, some of which do not exist or run in a circle."""
+    i = F.col("candidate_id")
+    before = F.when(i % 400 == 7, i + 1).when(i % 50 == 49, -i).when(i % 50 > 0, i - 1 - i % 2 * (i % 7))
+    out = R.paths(Q._candidates(spark, sf_dir), before, F.col("bic"))
+    return out.select("candidate_id", "state", *[F.coalesce(c, F.lit(-1).cast("long")).alias(c) for c in ("root", "depth", "falls", "nearest_fall")])
+
+
 @Q.query("SELECT count(*) FILTER (candidate_id % 97 = 0) AS unmatched, count(*) FILTER (parent_k = 3 AND candidate_id % 97 > 0) AS different FROM cand", Q._CAND)
 def finalists_reconciled(spark, sf_dir):
     """Records against a copy that lacks some, and in which those of one parent were changed."""

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallyspan.plans.scratch import store
+
 
 def where_all(rows: DataFrame, allowed: tuple[str, ...], **wanted) -> DataFrame:
     """rows that have every wanted value, a list standing for any of its values. Only allowed columns may be asked for."""
@@ -58,6 +60,36 @@ def mapped(proposed: DataFrame, final: DataFrame, key: str) -> DataFrame:
     return proposed.join(final, key, "left").withColumn("final_index", F.coalesce("final_index", F.lit(-1).cast("long")))
 
 
+def paths(rows: DataFrame, predecessor: Column, value: Column, key: str = "candidate_id") -> DataFrame:
+    """Per record what leads to it: (key, state, root, depth, falls, nearest_fall). depth counts the links back to the root, falls those on which the value is less than the predecessor's, nearest_fall the links back to
+    the first of them; state is path, missing if the root names a predecessor that does not exist, or cycle, without root and numbers.
+
+    Pointer doubling: every round joins each record's pointer with the one it points at, so a chain of n links takes log2(n) rounds, each written to the shared folder. Keys must be unique.
+    """
+    base = rows.select(F.col(key).alias("id"), predecessor.alias("p"), value.alias("v"))
+    parent = base.select(F.col("id").alias("_id"), F.col("v").alias("_v"))
+    known, falls = F.col("_id").isNotNull(), F.col("v") < F.col("_v")
+    state = base.join(parent, F.col("p") == F.col("_id"), "left").select(
+        "id", F.when(known, F.col("p")).otherwise(F.col("id")).alias("at"), known.cast("long").alias("depth"), F.coalesce(falls.cast("long"), F.lit(0).cast("long")).alias("falls"), F.when(falls, F.lit(1).cast("long")).alias("near"),
+        (F.col("p").isNotNull() & ~known).alias("missing"), known.alias("linked"),
+    )
+    state = store(state, "paths")
+    total, reach = state.count(), 1
+    while reach < total:
+        ahead = state.select(F.col("id").alias("_id"), F.col("at").alias("_at"), F.col("depth").alias("_depth"), F.col("falls").alias("_falls"), F.col("near").alias("_near"))
+        moved = state.join(ahead, F.col("at") == F.col("_id")).select(
+            "id", F.col("_at").alias("at"), (F.col("depth") + F.col("_depth")).alias("depth"), (F.col("falls") + F.col("_falls")).alias("falls"), F.coalesce("near", F.col("depth") + F.col("_near")).alias("near"), "missing", "linked", (F.col("at") != F.col("_at")).alias("moved")
+        )
+        state, reach = store(moved, "paths"), 2 * reach
+        if state.where("moved").isEmpty():
+            break
+        state = state.drop("moved")
+    roots = state.where("not linked").select(F.col("id").alias("_root"), F.col("missing").alias("_missing"))
+    met, found = state.select("id", "at", "depth", "falls", "near").join(roots, F.col("at") == F.col("_root"), "left"), F.col("_root").isNotNull()
+    name = F.when(~found, "cycle").when(F.col("_missing"), "missing").otherwise("path")
+    return met.select(F.col("id").alias(key), name.alias("state"), F.col("_root").alias("root"), F.when(found, F.col("depth")).alias("depth"), F.when(found, F.col("falls")).alias("falls"), F.when(found, F.col("near")).alias("nearest_fall"))
+
+
 #: Roles of starting states, in the order in which they are given.
 ROLES = ("best_bic", "native", "best_conditional")
 

@@ -24,13 +24,13 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None, base: str = ""):
+def query(sql: str | None = None, base: str = "", recursive: bool = False):
     """Registers a function under its name, with SQL that may use the views snv, cna, led and ret."""
 
     def keep(f):
         _QUERIES[f.__name__] = f
         if sql:
-            _SQL[f.__name__] = f"WITH {X.SQL}{', ' + base if base else ''} {sql}"
+            _SQL[f.__name__] = f"WITH {'RECURSIVE ' if recursive else ''}{X.SQL}{', ' + base if base else ''} {sql}"
         return f
 
     return keep

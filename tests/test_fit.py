@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallyspan.operators import chain as C
 from tallyspan.operators import checks
 from tallyspan.operators import mixture as M
+from tallyspan.operators import modes
 from tallyspan.operators import selection as S
 from tallyspan.plans import blocks as B
 from tallyspan.plans import fit as P
@@ -206,3 +207,19 @@ def test_fit_on_samples(spark):
     assert {r["parent_rep"] for r in candidates.where("kind = 'native'").collect()} == {1, 2}
     _, only, _ = P.fits(df, 0.9, only=2)
     assert len(only) == 1 and only[0].k == 2 and only[0].bic <= best.bic + 1e-3
+
+
+@pytest.mark.parametrize("most", [5, 40, 2048])
+def test_narrow_modes_against_all_of_them(spark, most):
+    rng = np.random.default_rng(8)
+    obs = sorted({(int(rng.integers(0, d + 1)), int(d), int(m), int(m + rng.integers(0, 2))) for d, m in zip(rng.choice([50, 10**5, 10**7], 160), rng.integers(1, 9, 160), strict=True)} | {(0, 10**7, 3, 3), (10**7, 10**7, 4, 4)})
+    every = []
+    for a, d, major, total in obs:
+        den = 0.2 + 0.9 * total
+        se = den * max(math.sqrt(a / d * (1 - a / d) / d), 0.5 / d)
+        every += [a / d * den / m for m in range(1, major + 1) if a and m > max(a / d * den / 0.9, se / (0.9 / 1024))]
+    picked = every if len(every) <= most else [every[k * (len(every) - 1) // (most - 1)] for k in range(most)]
+    df = spark.createDataFrame([(*o, 1) for o in obs], "alt_count long, depth long, major_cn long, total_cn long, freq long").repartition(3)
+    got = sorted(r["cp"] for r in modes.narrow_modes(df, 0.9, most).collect())
+    assert len(every) > 60 and got == pytest.approx(sorted(set(picked)), rel=1e-12)
+    assert modes.narrow_modes(df.where("depth = 50"), 0.9).collect() == []

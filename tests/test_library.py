@@ -279,6 +279,26 @@ def test_records_and_replays(spark):
     assert got[5]["gradient"] == pytest.approx(-4.0) and replay.gradients(edge, 1.0, 0.0).where("original_row = 5").first()["gradient"] == pytest.approx(-(0.5 * 4 + 4) / 2)
 
 
+def test_paths_by_pointer_doubling(spark):
+    rng = random.Random(6)
+    before = {k: rng.choice([None, *range(k)]) if k % 9 else None for k in range(120)} | {200 + k: 200 + (k + 1) % 5 for k in range(5)} | {300: 203, 301: 300, 400: -7, 401: 400} | {500 + k: 499 + k if k else None for k in range(70)}
+    value = {k: rng.randint(0, 9) for k in before}
+    df = spark.createDataFrame([(k, p, float(value[k])) for k, p in before.items()], "candidate_id long, p long, v double").repartition(3)
+    got = {r["candidate_id"]: tuple(r)[1:] for r in records.paths(df, F.col("p"), F.col("v")).collect()}
+    assert len(got) == len(before)
+    for k in before:
+        way, seen = [k], {k}
+        while before[way[-1]] in before and before[way[-1]] not in seen:
+            way.append(before[way[-1]])
+            seen.add(way[-1])
+        if before[way[-1]] in before:
+            assert got[k] == ("cycle", None, None, None, None)
+            continue
+        falls = [n for n, (a, b) in enumerate(zip(way, way[1:], strict=False), 1) if value[a] < value[b]]
+        assert got[k] == ("path" if before[way[-1]] is None else "missing", way[-1], len(way) - 1, len(falls), falls[0] if falls else None)
+    assert records.paths(df.limit(0), F.col("p"), F.col("v")).collect() == []
+
+
 def test_scalar_is_read_whole(spark, tmp_path):
     (tmp_path / "u").write_text("\n" * 3000 + "0.5\n")
     assert T.read_scalar(spark, str(tmp_path / "u")) == 0.5
