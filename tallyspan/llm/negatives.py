@@ -108,14 +108,19 @@ def prepared(rows: DataFrame, refs: np.ndarray) -> DataFrame:
 
 
 class Anchors:
-    """A block of anchors: ids, labels, integers, norms and angles."""
+    """A block of anchors: ids, labels, norms, integers and angles. parts() is what is broadcast: plain arrays, which executors read without this package."""
 
-    def __init__(self, t: pa.Table):
+    def __init__(self, ids: np.ndarray, labels: np.ndarray, norm: np.ndarray, x: np.ndarray, angles: np.ndarray):
+        self.ids, self.labels, self.norm, self.x, self.angles = ids, labels, norm, x, angles
+
+    @classmethod
+    def of(cls, t: pa.Table) -> Anchors:
         t = t.combine_chunks()
-        self.ids, self.labels, self.norm = (t[c].to_numpy() for c in ("vec_id", "label", "norm"))
-        self.x = _integers(t["x"].combine_chunks())
-        self.angles = np.frombuffer(b"".join(t["angles"].to_pylist()), "<f4").reshape(len(self.ids), -1)
-        self.most = float(np.abs(self.x).max(initial=0))
+        angles = np.frombuffer(b"".join(t["angles"].to_pylist()), "<f4").reshape(t.num_rows, -1)
+        return cls(*(t[c].to_numpy() for c in ("vec_id", "label", "norm")), _integers(t["x"].combine_chunks()), angles)
+
+    def parts(self) -> tuple:
+        return self.ids, self.labels, self.norm, self.x, self.angles
 
 
 def scores(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -243,7 +248,7 @@ def _search(rows: DataFrame, block, same: bool, windows: np.ndarray, keep: int)
     slots = windows.shape[1]
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        anchors = block.value
+        anchors = Anchors(*block.value)
         best = Best(len(anchors.ids) * slots, keep)
         _scan(batches, anchors, same, windows, best)
         which, place = np.nonzero(best.score != NOTHING)
@@ -264,8 +269,8 @@ def mined(embeddings: DataFrame, vec_id: str = "vec_id", embedding: str = "embed
     total, base = numbered.count(), new_path(rows.sparkSession, "negatives")
     shape = "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long"
     for k in range(0, total, anchors):
-        block = Anchors(numbered.where((F.col("number") >= k) & (F.col("number") < k + anchors)).orderBy("number").toArrow())  # at most `anchors` rows
-        shared = rows.sparkSession.sparkContext.broadcast(block)
+        block = Anchors.of(numbered.where((F.col("number") >= k) & (F.col("number") < k + anchors)).orderBy("number").toArrow())  # at most `anchors` rows
+        shared = rows.sparkSession.sparkContext.broadcast(block.parts())
         everything = np.tile(np.array([NOTHING + 1, NO_ID - 1]), (len(block.ids), 1, 1))
         best = store(_search(rows, shared, True, everything, positives), "positives")
         known = np.full((len(block.ids), positives, 2), [[1, 0]], np.int64)  # closed

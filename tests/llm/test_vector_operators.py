@@ -109,7 +109,7 @@ def test_negatives_where_bounds_decide(vectors, monkeypatch):
     axes = np.eye(6)
     rows = [(k, [float(np.float32(c)) for c in (axes[k % 6] * (1 + k % 9) + rng.standard_normal(6) * 0.02)], (k % 6) % 3) for k in range(1200)]
     frame = negatives.prepared(negatives.whole(vectors(rows)), np.eye(6)).orderBy("near", "closest")
-    anchors = negatives.Anchors(frame.where("vec_id % 50 = 0").toArrow())
+    anchors = negatives.Anchors.of(frame.where("vec_id % 50 = 0").toArrow())
     best = negatives.Best(len(anchors.ids), 5)
     everything = np.tile(np.array([negatives.NOTHING + 1, negatives.NO_ID - 1]), (len(anchors.ids), 1, 1))
     told = negatives._scan(iter(frame.drop("near", "closest").toArrow().combine_chunks().to_batches()), anchors, True, everything, best)
