@@ -173,20 +173,21 @@ class Best:
         if not len(some):
             return
         lists, found, keep = lists[some], found[:, some], self.score.shape[1]
-        top = np.argsort(-found, axis=0, kind="stable")[:keep] if len(found) <= 2 * keep else self._top(found, keep)
-        best = np.take_along_axis(found, top, 0).T
-        score, own = np.hstack([self.score[lists], best]), np.hstack([self.id[lists], np.where(best == NOTHING, NO_ID, ids[top.T])])
+        top, best = self._top(found, keep)
+        score, own = np.hstack([self.score[lists], best]), np.hstack([self.id[lists], np.where(best == NOTHING, NO_ID, ids[top])])
         order = np.lexsort((own, -np.maximum(score, NOTHING + 1)), axis=1)[:, :keep]
         self.score[lists], self.id[lists] = np.take_along_axis(score, order, 1), np.take_along_axis(own, order, 1)
 
     @staticmethod
-    def _top(found: np.ndarray, keep: int) -> np.ndarray:
-        """Rows of the best `keep` of each column; of equal ones the first."""
-        out, left = np.empty((keep, found.shape[1]), np.int64), found.copy()
+    def _top(found: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, values) of the best `keep` of each column, a line each; of equal ones the first. Where a column has fewer candidates, the rest are NOTHING."""
+        left, columns = found.copy(), np.arange(found.shape[1])
+        rows, values = np.empty((2, len(columns), keep), np.int64)
         for k in range(keep):
-            out[k] = left.argmax(axis=0)
-            left[out[k], range(found.shape[1])] = NOTHING
-        return out
+            rows[:, k] = at = left.argmax(axis=0)
+            values[:, k] = left[at, columns]
+            left[at, columns] = NOTHING
+        return rows, values
 
 
 def _scan(batches: Iterator[pa.RecordBatch], anchors: Anchors, same: bool, windows: np.ndarray, best: Best) -> np.ndarray:

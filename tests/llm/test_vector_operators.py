@@ -102,6 +102,20 @@ def test_negatives_equal_brute_force(vectors, d, n, partitions, anchors):
     assert sorted(map(tuple, got), key=str) == brute_negatives([r for r in rows if r[1] is None or len(r[1]) == d])
 
 
+def test_negatives_of_blocks_of_few_rows(vectors):
+    """Blocks of few rows, and with fewer candidates than are kept: what is no candidate comes after what is one, and none counts twice."""
+    none = negatives.NOTHING
+    for found in ([none, none, -5, 7], [none] * 3, [7, none, none], [7] + [none] * 9, [none, 7] + [none] * 9 + [-5]):
+        best = negatives.Best(1, 2)
+        best.offer(np.array([0]), np.array(found)[:, None], np.arange(len(found)))
+        want = sorted(((s, i) for i, s in enumerate(found) if s != none), reverse=True) + [(none, negatives.NO_ID)] * 2
+        assert list(zip(best.score[0].tolist(), best.id[0].tolist(), strict=True)) == want[:2], found
+    rows = random_vectors(77, 160, 4)
+    want = brute_negatives(rows)
+    for partitions in (20, 53):
+        assert sorted(map(tuple, negatives.mined(vectors(rows).repartition(partitions)).collect()), key=str) == want
+
+
 def test_negatives_where_bounds_decide(vectors, monkeypatch):
     """Well-separated clusters of very different norms: most pairs are never scored, and the rows stay right."""
     monkeypatch.setattr(negatives, "BLOCK", 64)
