@@ -204,6 +204,19 @@ def test_quality_forest_is_monotone():
     assert ((f.score(x) > 0.5) == y).mean() > 0.9
 
 
+def test_quality_trees_are_fitted_on_all_labelled_rows(spark, labels):
+    """More labelled rows than the 20,000 that a fit once ended at; the forest is the one of a plain fit on every row, however rows are dealt."""
+    rng, n = np.random.default_rng(5), 21_000
+    words = np.array(["aa", "Bbb", "c9!", "dddd", "$e", "f.\n"])
+    texts = [" ".join(words[rng.integers(0, 2 + k % 5, 1 + k % 23)]) for k in range(n)]
+    y = [int(("$" not in t) != (k % 7 == 0)) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    forest = quality.train(docs.repartition(5), labels([(k, v, 0) for k, v in enumerate(y)]), trees=4)
+    want = quality.fit(np.array([quality.statistics(t)[1] for t in texts]), np.array(y), trees=4, signs=tuple(quality.MONOTONE.get(f, 0) for f in quality.FEATURES))
+    for name in ("bias", "feature", "threshold", "value"):
+        assert np.array_equal(getattr(forest, name), getattr(want, name)), name
+
+
 def test_quality_report(frame, labels):
     good = [(k, f"line number {k} has ten different words which say some thing {k}") for k in range(40)]
     bad = [(100 + k, "### *** $$$ " * 4 + f"%%% a {k} b c d e f g &&& | | |") for k in range(40)]
