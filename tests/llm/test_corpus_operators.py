@@ -315,6 +315,29 @@ def test_paraphrases_are_found(frame, spark):
     assert len(got & want) >= 0.95 * len(want) and not any(i < 5000 for i, _ in got)
 
 
+def test_items_ruled_out_by_a_text_are_in_none_of_its_passages():
+    """What possible() leaves out changes no result, and the quick sums and counts equal plain ones."""
+    rng = np.random.default_rng(8)
+    words = [f"w{k}" for k in range(400)]
+    items = [(k, " ".join(rng.choice(words, int(rng.integers(4, 150))))) for k in range(60)] + [(60, "")]
+    texts = [" ".join(rng.choice(words[: 40 * (1 + k % 10)], int(rng.integers(1, 300)))) for k in range(40)]
+    texts += [texts[k] + " " + " ".join(w for w in items[k][1].split() if rng.random() > 0.15) for k in range(40)] + ["", "?!"]
+    weight = rng.standard_normal((decontam.BUCKETS, 16)).astype(np.float32)
+    block = decontam.block_of(items, weight)
+    found = [decontam.search(block, t.encode(), weight, 0.0) for t in texts]  # half of all passages are candidates
+    block["needed"] = block["needed"] * 0
+    assert found == [decontam.search(block, t.encode(), weight, 0.0) for t in texts]
+    assert sum(map(len, found)) >= 30
+    for t in texts:
+        h = decontam._hashes(t.encode())
+        if len(h):
+            plain = np.add.reduceat(weight[decontam._bucket(h)], np.arange(0, len(h), decontam.STEP), axis=0)
+            assert np.allclose(decontam._steps(decontam._bucket(h), weight), plain, atol=1e-4)
+            assert all(decontam._held(own, h) == np.isin(own, h).sum() for own in block["hashes"] if len(own))
+    empty = decontam.block_of([(1, "")], weight)
+    assert decontam.search(empty, b"some words", weight) == []
+
+
 def test_decontamination_in_blocks(frame, spark, monkeypatch):
     """Several blocks, text ids of items, and a report equal to a search for every item in every document by its longest common subsequence."""
     rng = random.Random(10)
