@@ -432,9 +432,10 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bi
 
     @F.pandas_udf("key binary, raw binary, least array<long>")
     def sketch(texts: pd.Series) -> pd.DataFrame:
-        sets = [shingle_set(t) for t in texts]
-        keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-        return pd.DataFrame({"key": keys, "raw": [wide_fingerprint(s).tobytes() for s in sets], "least": [least_keys(s) for s in sets]})
+        def of(s: np.ndarray) -> tuple[bytes, bytes, np.ndarray]:
+            return hashlib.blake2b(s.tobytes(), digest_size=16).digest(), wide_fingerprint(s).tobytes(), least_keys(s)
+
+        return pd.DataFrame([of(shingle_set(t)) for t in texts], columns=["key", "raw", "least"])  # no batch's sets are held together
 
     named = lambda c: F.col(f"`{c.replace('`', '``')}`")
     first = F.struct(_order(named(doc_id)).alias("doc"), F.xxhash64(F.coalesce(named(text), F.lit(""))).alias("t"))
