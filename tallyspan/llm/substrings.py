@@ -26,6 +26,7 @@ import atexit
 import uuid
 from collections.abc import Iterator
 from functools import reduce
+from itertools import compress
 
 import numpy as np
 import pandas as pd
@@ -35,7 +36,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyspan.llm.hashing import NOT_SPACE, mixed, places, rolled, word_hashes
+from tallyspan.llm.hashing import NOT_SPACE, mixed, places_within, rolled, spans, word_hashes
 from tallyspan.plans.scratch import new_path, remove
 
 WIDTH = 13
@@ -43,6 +44,8 @@ ANCHOR = 6
 FANOUT = 2
 #: Rows that a task settles among themselves before it hands them on.
 TOGETHER = 1 << 20
+#: Bytes of texts that are hashed at once, about; a longer text is taken by itself.
+CHUNK = 1 << 17
 LAST = (1 << 63) - 1
 #: Where deduplicated() ends its batches: each is history for the next, and there is one more of them than FANOUT, so runs are compacted.
 SHARES = (0.25, 0.5)
@@ -59,58 +62,81 @@ def count_bits(width: int, anchor: int = ANCHOR) -> int:
     return bits
 
 
-def stretches(h: np.ndarray, width: int = WIDTH, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor hash, stretch hash, first window, number of windows) of a text's word hashes. A stretch has at most width - anchor + 1 windows."""
+def anchored(h: np.ndarray, width: int = WIDTH, anchor: int = ANCHOR, text: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor hash, first window, number of windows) of the stretches of word hashes. text: the number of each word's text, if of several; no window goes over its end."""
     n = len(h) - width + 1
-    if n <= 0:
-        none = np.zeros(0, np.int64)
-        return none.astype(np.uint64), none.astype(np.uint64), none, none
+    window = np.arange(max(n, 0)) if text is None or n <= 0 else np.flatnonzero(text[:n] == text[width - 1 :])
+    if not len(window):
+        return np.zeros(0, np.uint64), window, window
     grams = rolled(h, anchor)
-    best, at = grams[:n].copy(), np.arange(n)
-    for k in range(1, width - anchor + 1):
-        other = grams[k : n + k]
-        less = other < best
-        best[less] = other[less]
-        at[less] = np.flatnonzero(less) + k
-    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    count = np.diff(np.append(first, n))
-    whole = np.zeros(len(first), np.uint64)
-    for k in range(2 * width - anchor):  # the words of a stretch, at most
-        inside = k < count + width - 1
-        whole = np.where(inside, whole * np.uint64(0x9E3779B97F4A7C15) + h[np.minimum(first + k, len(h) - 1)], whole)
-    return best[first], mixed(whole, 0x5851F42D4C957F2D) + count.astype(np.uint64), first, count
+    best, at, wide = grams, np.arange(len(grams)), 1
+    while wide <= width - anchor:  # the leftmost least of `wide` grams in a row; blocks may overlap
+        step = min(wide, width - anchor + 1 - wide)
+        less = best[step:] < best[:-step]
+        best, at, wide = np.where(less, best[step:], best[:-step]), np.where(less, at[step:], at[:-step]), wide + step
+    at = at[window]
+    edge = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))  # windows of different texts have no gram in common
+    return grams[at[edge]], window[edge], np.diff(np.append(edge, len(at)))
+
+
+def stretches(h: np.ndarray, width: int = WIDTH, anchor: int = ANCHOR, text: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor hash, stretch hash, first window, number of windows), as anchored(). A stretch has at most width - anchor + 1 windows."""
+    a, first, count = anchored(h, width, anchor, text)
+    if not len(a):
+        return a, a, first, count
+    return a, mixed(spans(h, first, first + count + width - 1), 0x5851F42D4C957F2D) + count.astype(np.uint64), first, count
+
+
+def window_hashes(h: np.ndarray, start: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each window that begins at one of the words `start`, from its first word on and from its last word back."""
+    there, back = np.zeros(len(start), np.uint64), np.zeros(len(start), np.uint64)
+    for k in range(width):
+        there = there * np.uint64(0x9E3779B97F4A7C15) + h[start + k]
+        back = back * np.uint64(0x9E3779B97F4A7C15) + h[start + (width - 1 - k)]
+    return mixed(there), mixed(back, 1)
 
 
 def _settled(a: np.ndarray, s: np.ndarray, d: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
     """Rows as they are handed on. One whose (a, s) also has a smaller d among them is settled: at becomes -at - 1, a and s something unrelated."""
-    order = np.lexsort((d, s, a))
-    a, s, d, at = a[order], s[order], d[order], at[order]
-    edge = np.concatenate([[True], (a[1:] != a[:-1]) | (s[1:] != s[:-1])])
-    first = d[np.maximum.accumulate(np.where(edge, np.arange(len(a)), 0))]
-    done = d > first
-    spread = mixed(at[done].astype(np.uint64) * np.uint64(31) + d[done].astype(np.uint64))
-    a, s, at = a.copy(), s.copy(), at.copy()
-    a[done], s[done], at[done] = spread.view(np.int64), 0, -at[done] - 1
+    order = np.argsort(a)
+    again = np.diff(a[order]) == 0
+    some = order[np.concatenate([[False], again]) | np.concatenate([again, [False]])]  # whose a others have too
+    if len(some):
+        some = some[np.lexsort((d[some], s[some], a[some]))]
+        x, y, z = a[some], s[some], d[some]
+        edge = np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
+        done = some[z > z[np.maximum.accumulate(np.where(edge, np.arange(len(some)), 0))]]
+        a[done], s[done] = mixed(at[done].astype(np.uint64) * np.uint64(31) + d[done].astype(np.uint64)).view(np.int64), 0
+        at[done] = -at[done] - 1
     return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, s, d, at)], names=["a", "s", "d", "at"])
 
 
 def _rows(make, bits: int):
-    """Runs over (d, t, text, ...): make(words' hashes, row) gives a, s, first window, count of each row to hand on."""
+    """Runs over (d, t, text, ...): make(words' hashes, the number of each word's row, batch) gives a, s, first word, count of each row to hand on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, n = [], 0
         for batch in batches:
             d, t = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for k in range(batch.num_rows):
-                raw = batch.column(2)[k].as_py() or b""
-                a, s, first, count = make(word_hashes(raw, *places(raw, NOT_SPACE)), batch, k)
+            raws = batch.column(2).fill_null(b"").cast(pa.large_binary())
+            ends, data = np.frombuffer(raws.buffers()[1], np.int64)[raws.offset :][: len(raws) + 1], np.frombuffer(raws.buffers()[2] or b"", np.uint8)
+            low = 0
+            while low < len(raws):  # texts low to high are hashed end to end
+                high = max(low + 1, int(np.searchsorted(ends, ends[low] + CHUNK, "right")) - 1)
+                raw, bounds = data[ends[low] : ends[high]], ends[low : high + 1] - ends[low]
+                places = places_within(raw, bounds, NOT_SPACE)
+                begin = np.searchsorted(places[0], bounds)
+                row = np.repeat(np.arange(low, high), np.diff(begin))
+                a, s, first, count = make(word_hashes(raw, *places), row, batch)
                 if len(a):
-                    at = (int(t[k]) << _PLACE + bits) + (first.astype(np.int64) << bits) + count
-                    parts.append((a.view(np.int64), s.view(np.int64), np.full(len(a), d[k]), at))
+                    of = row[first]
+                    at = (t[of] << _PLACE + bits) + (first - begin[of - low] << bits) + count
+                    parts.append((a.view(np.int64), s.view(np.int64), d[of], at))
                     n += len(a)
                 if n >= TOGETHER:
                     yield _settled(*map(np.concatenate, zip(*parts, strict=True)))
                     parts, n = [], 0
+                low = high
         if parts:
             yield _settled(*map(np.concatenate, zip(*parts, strict=True)))
 
@@ -164,9 +190,9 @@ class SubstringIndex:
         self.tables, self.runs, self.texts, self.merged = [], [], [], []
 
     def compact(self) -> None:
-        """Merge all runs into one, bucket by bucket."""
+        """Merge all runs into one. They are dealt by bucket before the write: Spark deals a union of runs by (a, s), and each task then wrote a file for every bucket."""
         if len(self.runs) > 1:
-            least = self.history().groupBy("a", "s").agg(F.min("d").alias("d")).select("a", "s", "d", F.lit(None).cast("long").alias("at"), F.lit(0).cast("byte").alias("kind"))
+            least = self.history().repartition(self.buckets, "a").groupBy("a", "s").agg(F.min("d").alias("d")).select("a", "s", "d", F.lit(None).cast("long").alias("at"), F.lit(0).cast("byte").alias("kind"))
             old, self.runs = self.runs, [self._table(least, "a", ("a", "s"))]
             self.merged += old  # results that are not read yet still need them
 
@@ -185,14 +211,19 @@ class SubstringIndex:
         """(d, at): the windows, as stretches, of the batch, the last of self.texts, that an earlier document has. keep: the batch's run is history for the next."""
         width = self.width
 
-        def stretch(h, batch, k):
-            return stretches(h, width)
+        def stretch(h, row, batch):
+            return stretches(h, width, text=row)
 
-        def windows(h, batch, k):
-            a, _, first, count = stretches(h, width)
-            chosen = np.isin(a, np.asarray(batch.column(3)[k].values.to_numpy()).view(np.uint64))
-            start = np.concatenate([np.arange(f, f + c) for f, c in zip(first[chosen], count[chosen], strict=True)] or [np.zeros(0, np.int64)])
-            return rolled(h, width)[start], rolled(h[::-1], width, 1)[::-1][start], start, np.ones(len(start), np.int64)
+        def windows(h, row, batch):
+            a, first, count = anchored(h, width, text=row)
+            named = lambda a, row: a + row.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)  # noqa: E731  one that agrees by chance is verified in vain
+            ends = batch.column(3).offsets.to_numpy()
+            low, high = (int(row[0]), int(row[-1]) + 1) if len(row) else (0, 0)
+            asked = batch.column(3).values[ends[low] : ends[high]].to_numpy().view(np.uint64)
+            chosen = np.isin(named(a, row[first]), named(asked, np.repeat(np.arange(low, high), np.diff(ends[low : high + 1]))))
+            first, count = first[chosen], count[chosen]
+            start = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
+            return *window_hashes(h, start, width), start, np.ones(len(start), np.int64)
 
         merged, past = texts.mapInArrow(_rows(stretch, self.bits), _ROW).repartition(self.buckets, "a"), self.history()
         if past is not None:  # dealt alike: the runs stay where they are
@@ -243,7 +274,7 @@ class SubstringIndex:
                     np.add.at(edge, first + count + width - 1, -1)
                     left = np.cumsum(edge[:-1]) == 0
                     gone = int((~left).sum())
-                    kept = b" ".join(w for w, k in zip(words, left.tolist(), strict=True) if k)
+                    kept = b" ".join(compress(words, left.tolist()))
                 else:
                     kept = b" ".join(words)
                 rows.append((len(words), gone, kept))

@@ -5,11 +5,12 @@ import re
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tallyspan.llm import components, decontam, mixing, simhash, substrings, tokens
+from tallyspan.llm import components, decontam, hashing, mixing, simhash, substrings, tokens
 
 ODD = [(1, None), (2, ""), (3, " \n\t"), (None, "a b c"), (5, "Ünïcode 😀 text"), (5, "Ünïcode 😀 text"), (5, "another text"), (8, "a " * 5000)]
 
@@ -203,6 +204,71 @@ def test_stretches_agree_on_windows():
     assert count.max() <= 8 and len(a) == len(s)
 
 
+def test_substrings_hash_texts_end_to_end():
+    """Texts hashed together give the stretches and windows of each by itself; thousands of short ones take a few steps, not some for each."""
+    rng = random.Random(4)
+    texts = [b"", b"  ", *(" ".join(words(rng, rng.randint(0, 60), 30)).encode() for _ in range(300)), b"x " * 500, "é😀\n".encode() * 40, b"", b"end"]
+    texts += texts[2:40]
+    bounds = np.cumsum([0, *map(len, texts)])
+    starts, ends = hashing.places_within(np.frombuffer(b"".join(texts), np.uint8), bounds, hashing.NOT_SPACE)
+    row = np.searchsorted(bounds, starts, "right") - 1
+    h = hashing.word_hashes(b"".join(texts), starts, ends)
+    alone = [hashing.word_hashes(t, *hashing.places(t, hashing.NOT_SPACE)) for t in texts]
+    assert [h[row == k].tolist() for k in range(len(texts))] == [x.tolist() for x in alone]
+    got, begin = [], np.searchsorted(row, np.arange(len(texts)))
+    for a, s, first, count in zip(*substrings.stretches(h, text=row), strict=True):
+        got.append((int(row[first]), int(a), int(s), int(first - begin[row[first]]), int(count)))
+    assert got == [(k, *map(int, x)) for k, own in enumerate(alone) for x in zip(*substrings.stretches(own), strict=True)] and len(got) > 1000
+    bits, made = substrings.count_bits(13), []
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array([0] * len(texts)), pa.array(texts, pa.binary())], names=["d", "t", "text"])
+    run = substrings._rows(lambda h, row, batch: made.append(len(h)) or substrings.stretches(h, text=row), bits)
+    rows = pa.Table.from_batches(run(iter([batch]))).to_pylist()
+    at = [r["at"] if r["at"] >= 0 else -1 - r["at"] for r in rows]
+    assert sorted((r["d"], x >> bits, x & (1 << bits) - 1) for r, x in zip(rows, at, strict=True)) == sorted((k, f, n) for k, _, _, f, n in got)
+    least = {}
+    for k, a, s, _, _ in got:
+        least[a, s] = min(k, least.get((a, s), k))
+    assert sum(r["at"] < 0 for r in rows) == sum(least[a, s] < k for k, a, s, _, _ in got) > 0
+    assert len(made) == 1
+
+
+def test_compacted_runs_have_a_file_a_bucket(frame, spark):
+    """Not one for each task and bucket."""
+    index, docs = substrings.SubstringIndex(spark), sorted(corpus(13, 40))
+    for k in (0, 40):
+        index.dedup(frame(docs[k : k + 40])).count()
+    files = [re.search(r"_(\d{5})\.c\d+", f)[1] for f in spark.table(index.runs[0]).inputFiles()]
+    assert len(files) == len(set(files)) <= index.buckets  # a file a bucket, not one for each task and bucket
+    index.close()
+
+
+@pytest.mark.parametrize("part", [5, 60, components.PART])
+def test_components_by_parts(spark, part):
+    """Paths, stars, loops and repeated links, contracted by one task or by many with rounds after them."""
+    rng = random.Random(part)
+    names = rng.sample(range(-(10**12), 10**12), 400)
+    pairs = [(names[k], names[k + 1]) for k in range(90)] + [(names[100], names[k]) for k in range(101, 180)] + [(names[k], names[k]) for k in range(170, 200)]
+    pairs += [tuple(rng.sample(names[200:], 2)) for _ in range(120)]
+    pairs = rng.sample(pairs + pairs[:50], len(pairs) + 50)
+    least = {x: x for p in pairs for x in p}
+    while any(least[a] != least[b] for a, b in pairs):
+        for a, b in pairs:
+            least[a] = least[b] = min(least[a], least[b])
+    got = components.components(spark.createDataFrame(pairs, "a long, b long").repartition(7), part=part).collect()
+    assert sorted((r["node"], r["component"]) for r in got) == sorted(least.items())
+
+
+def test_components_of_few_links_take_few_jobs(spark):
+    """The driver has no rounds of shuffles to keep account of where a task can hold the links."""
+    links = spark.range(2000).selectExpr("id a", "id div 2 b")
+    spark.sparkContext.setJobGroup("few links", "few links")
+    try:
+        assert components.components(links).where("component = 0").count() == 2000
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few links")) <= 8
+
+
 def test_common():
     rng = random.Random(0)
 
