@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspan.llm.components import components
+from tallyspan.llm.components import components, forest
 from tallyspan.llm.hashing import NOT_SPACE, mixed, places, rolled, word_hashes
 from tallyspan.llm.hot import HUBS, with_hubs
 from tallyspan.plans.scratch import store
@@ -99,19 +99,6 @@ def _tally(x: np.ndarray) -> np.ndarray:
     return (x.view(np.uint8).reshape(len(x), -1) == 0).sum(axis=1)
 
 
-def _forest(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
-    """Per node 0..n-1 the smallest node that the links u-v reach."""
-    at = np.arange(n)
-    while True:
-        old = at.copy()
-        low = np.minimum(at[u], at[v])
-        np.minimum.at(at, u, low)
-        np.minimum.at(at, v, low)
-        at = np.minimum(at, at[at])
-        if (at == old).all():
-            return at
-
-
 def list_links(fps: np.ndarray, lists: np.ndarray, bits: int = BITS, shared: int = SHARED) -> tuple[np.ndarray, np.ndarray]:
     """Links within posting lists, thinned to a forest, as places in fps (rows of one or more 64-bit words). Members of a list are neighbours, lists tells them apart.
 
@@ -126,7 +113,7 @@ def list_links(fps: np.ndarray, lists: np.ndarray, bits: int = BITS, shared: int
         if len(good):
             u, v = root[left[good]], root[left[good] + off]
             if (apart := u != v).any():
-                root = _forest(u[apart], v[apart], n)[root]
+                root = forest(u[apart], v[apart], n)[root]
         off += 1
     at = np.flatnonzero(root != np.arange(n))
     return at, root[at]
@@ -330,7 +317,7 @@ def similar_links(sets: list[np.ndarray], lists: np.ndarray) -> tuple[np.ndarray
             common, size = common_shingles(some), np.array([len(s) for s in some], np.float32)
             # the diagonal is left out, so two empty sets are no pair; there is one of them at most
             u, v = np.nonzero(np.triu(NEAR[1] * common >= NEAR[0] * (size[:, None] + size[None, :] - common), 1))
-            root[low:high] = low + _forest(u, v, high - low)
+            root[low:high] = low + forest(u, v, high - low)
     at = np.flatnonzero(root != np.arange(len(sets)))
     return at, root[at]
 
