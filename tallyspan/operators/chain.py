@@ -15,7 +15,12 @@ from tallyspan.plans.scratch import store
 
 def chain(rows: DataFrame, pilot: Column) -> DataFrame:
     """rows with their rank, from 0, by pilot, chromosome and position, both as text."""
-    return ranked(rows.withColumn("pilot", pilot), [F.col("pilot"), F.col("chrom").cast("string"), spelling(F.col("pos"))], "rank", 0)
+    return ranked(rows.withColumn("pilot", pilot), ["pilot", *names()], "rank", 0)
+
+
+def names() -> list[Column]:
+    """What tells rows of one pilot apart."""
+    return [F.col("chrom").cast("string"), spelling(F.col("pos"))]
 
 
 def _edges(ranks: DataFrame, value: str) -> DataFrame:

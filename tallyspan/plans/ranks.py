@@ -9,17 +9,23 @@ from pyspark.sql import functions as F
 from tallyspan.plans.scratch import store
 
 
-def ranked(df: DataFrame, order: list[Column], name: str = "rank", start: int = 1) -> DataFrame:
-    """df with its place in `order`, from `start` on. Ties fall anywhere, so give a total order.
+#: Bits of monotonically_increasing_id() that number the rows of a partition.
+ROW_BITS = 33
 
-    Rows are dealt by range and written once, as another evaluation could deal them otherwise; a partition's
-    rows are numbered within it, after what the partitions before it hold.
+
+def ranked(df: DataFrame, order: list[Column | str], name: str = "rank", start: int = 1, keep: list[str] | None = None) -> DataFrame:
+    """df with its place in `order`, from `start` on. Ties fall anywhere, so give a total order. Names in `order` are df's own columns, which are dealt without a copy. keep: columns of the result, all if not given.
+
+    Rows are dealt by range, sorted and numbered within their partitions, and written once, as another evaluation could deal them otherwise; a row's place
+    is its number after what the partitions before its own hold. They are shuffled once.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = [f"_k{i}" for i in range(len(order))]
-    dealt = df.select("*", *[c.alias(k) for c, k in zip(order, keys, strict=True)]).repartitionByRange(parts, *keys).withColumn("_part", F.spark_partition_id())
-    dealt = store(dealt, "ranked")
-    counts = dealt.groupBy("_part").agg(F.count("*").alias("_n"))  # one row per partition
+    keys = [c if isinstance(c, str) else f"_k{i}" for i, c in enumerate(order)]
+    own = {k: c for c, k in zip(order, keys, strict=True) if not isinstance(c, str)}
+    dealt = df.select("*", *[c.alias(k) for k, c in own.items()]).repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())
+    dealt = store(dealt.drop(*own) if keep is None else dealt.select(*keep, "_at"), "ranked")
+    part = F.shiftright("_at", ROW_BITS)
+    counts = dealt.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))  # one row per partition
     before = counts.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))
-    place = F.row_number().over(W.partitionBy("_part").orderBy(*keys))
-    return dealt.withColumn("_place", place).join(F.broadcast(before), "_part").withColumn(name, (F.col("_before") + F.col("_place") + (start - 1)).cast("long")).drop("_part", "_place", "_before", *keys)
+    place = F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << ROW_BITS) - 1)) + start
+    return dealt.join(F.broadcast(before), part == F.col("_part")).withColumn(name, place.cast("long")).drop("_part", "_at", "_before")

@@ -13,7 +13,7 @@ ORDER = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One observation per line item."""
-    rows = ranked(spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*ORDER, "l_quantity"), [F.col(c) for c in ORDER], "rid")
+    rows = ranked(spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*ORDER, "l_quantity"), list(ORDER), "rid", keep=["l_linenumber", "l_partkey", "l_quantity"])
     depth = F.lit(50) + F.col("l_partkey") % 150
     alt = F.expr("((50 + l_partkey % 150) * cast(l_quantity as bigint)) div 100")
     bad = F.col("rid") % 97 == 0

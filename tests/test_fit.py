@@ -223,3 +223,16 @@ def test_narrow_modes_against_all_of_them(spark, most):
     got = sorted(r["cp"] for r in modes.narrow_modes(df, 0.9, most).collect())
     assert len(every) > 60 and got == pytest.approx(sorted(set(picked)), rel=1e-12)
     assert modes.narrow_modes(df.where("depth = 50"), 0.9).collect() == []
+
+
+def test_blocks_are_refitted_on_distinct_observations(spark, monkeypatch):
+    """block_refit's passes read each distinct observation once, however many rows share it."""
+    from tallyspan import fit_queries, queries
+
+    sf, seen = "/root/testdata/sf0.001", []
+    monkeypatch.setattr(fit_queries.B, "refit", lambda rows, purity, spans, surely: (seen.append((rows, spans)), ([0.5] * len(spans), [0.0] * len(spans), [1.0] * len(spans)))[1])
+    fit_queries.block_refit(spark, sf)
+    rows, spans = seen[0]
+    every = queries._retained(spark, sf)
+    assert rows.count() == every.select(*M.KEY).distinct().count() < every.count() == rows.agg(F.sum("freq")).first()[0]
+    assert len(spans) == 6 and spans[-1][1] == rows.count()

@@ -326,3 +326,12 @@ def test_stream(spark, tmp_path):
     stream = spark.readStream.schema(p.schema).parquet(f"{tmp_path}/in")
     ingest.to_parquet(ingest.classified(stream, s), f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/out").count() == 60
+
+
+def test_ranked_shuffles_rows_once(spark):
+    """Rows are numbered where they are dealt; only counts are summed afterwards, and columns that nobody asks for are not written."""
+    df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("x"), (F.col("id") * 3).alias("wide"), "id")
+    got = ranked(df, ["x"], "r", 5, keep=["x", "id"])
+    assert got.columns == ["x", "id", "r"] and all(r["r"] == r["x"] + 5 for r in got.collect())
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 1
+    assert ranked(df.limit(0), [F.col("x")], "r").collect() == []
