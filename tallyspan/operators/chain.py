@@ -23,6 +23,21 @@ def names() -> list[Column]:
     return [F.col("chrom").cast("string"), spelling(F.col("pos"))]
 
 
+def places(rows: DataFrame, pilot: Column, sizes: DataFrame, some: DataFrame) -> DataFrame:
+    """some (chrom, pos, pilot and any other columns), few rows of the chain that rows make, with their rank in it. sizes: (pilot, n), how many rows have each pilot.
+
+    The chain is not put in order: rows of lesser pilots are counted by their sizes, and those of the same pilot that come first in a pass over rows.
+    """
+    keys = store(some.select("pilot", *[c.alias(k) for c, k in zip(names(), ("_c", "_p"), strict=True)]).distinct(), "keys")
+    lesser = sizes.select(F.col("pilot").alias("_at"), "n").join(F.broadcast(keys), F.col("_at") < F.col("pilot")).select("pilot", "_c", "_p", "n")
+    chrom, pos = names()
+    before = (chrom < F.col("_c")) | (chrom == F.col("_c")) & (pos < F.col("_p"))
+    alike = rows.select(pilot.alias("pilot"), "chrom", "pos").join(F.broadcast(keys), "pilot").where(before).groupBy("pilot", "_c", "_p").agg(F.count("*").alias("n"))
+    ranks = lesser.unionByName(alike).unionByName(keys.withColumn("n", F.lit(0).cast("long"))).groupBy("pilot", "_c", "_p").agg(F.sum("n").alias("rank"))
+    named = some.select("*", *[c.alias(k) for c, k in zip(names(), ("_c", "_p"), strict=True)])
+    return named.join(F.broadcast(ranks), ["pilot", "_c", "_p"]).drop("_c", "_p")
+
+
 def _edges(ranks: DataFrame, value: str) -> DataFrame:
     """(rank, here, next): each row with its successor. Stretches of ranks are windows; a stretch's last row meets the next stretch's first by a join."""
     stretch = 1 << 16

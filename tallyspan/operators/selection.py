@@ -101,7 +101,7 @@ def window_quotas(rows: DataFrame, value: Column, size: int, window: float, over
 def window_samples(rows: DataFrame, value: Column, size: int, seed: int, replicates: int, window: float, overlap: float, key: str = "original_row") -> DataFrame:
     """rows with replicate (from 1) and bin: for each replicate window_quotas() many rows of each window, those of least MD5 of seed + replicate and key. All replicates are drawn together.
 
-    As in sampled(), a histogram of digests finds the bucket in which a window's quota ends, and only that bucket is put in order.
+    As in sampled(), a histogram of digests finds the bucket in which a window's quota ends, and only that bucket is put in order. rows are read four times, so store them if they take work.
     """
     dealt = rows.withColumn("bin", window_of(value, window, overlap)).withColumn("replicate", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(replicates).cast("long"))))
     dealt = dealt.withColumn("_h", F.md5(F.concat((F.lit(seed) + F.col("replicate")).cast("string"), F.lit(":"), F.col(key).cast("string")))).withColumn("_bucket", F.conv(F.substring("_h", 1, 3), 16, 10).cast("int"))
@@ -109,7 +109,7 @@ def window_samples(rows: DataFrame, value: Column, size: int, seed: int, replica
     upto = sizes.withColumn("_before", F.sum("_n").over(W.partitionBy("replicate", "bin").orderBy("_bucket")) - F.col("_n"))
     ends = upto.join(window_quotas(rows, value, size, window, overlap).select("bin", "take"), "bin")
     last = ends.where("_before < take").groupBy("replicate", "bin").agg(F.max(F.struct("_bucket", (F.col("take") - F.col("_before")).alias("need"))).alias("_end"))
-    met = dealt.join(last, ["replicate", "bin"])
+    met = dealt.join(F.broadcast(last), ["replicate", "bin"])  # one row per replicate and window, so that no row is shuffled for it
     whole = met.where("_bucket < _end._bucket")
     part = met.where("_bucket = _end._bucket").withColumn("_place", F.row_number().over(W.partitionBy("replicate", "bin").orderBy("_h", key))).where("_place <= _end.need")
     return whole.unionByName(part.drop("_place")).drop("_h", "_bucket", "_end")

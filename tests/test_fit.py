@@ -236,3 +236,16 @@ def test_blocks_are_refitted_on_distinct_observations(spark, monkeypatch):
     every = queries._retained(spark, sf)
     assert rows.count() == every.select(*M.KEY).distinct().count() < every.count() == rows.agg(F.sum("freq")).first()[0]
     assert len(spans) == 6 and spans[-1][1] == rows.count()
+
+
+def test_rows_are_not_shuffled_for_their_samples(spark):
+    """Rows meet the ends of their windows' quotas where they are; the only rows that are dealt by window are those of its last bucket."""
+    rows = spark.range(1000).select(F.col("id").alias("original_row"), (F.col("id") % 100 / 100).alias("v"))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        drawn = S.window_samples(rows, F.col("v"), 50, 3, 3, 0.1, 0.04)
+        plan = drawn._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("BroadcastHashJoin") == 2 and drawn.count() == 150
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)

@@ -335,3 +335,13 @@ def test_ranked_shuffles_rows_once(spark):
     assert got.columns == ["x", "id", "r"] and all(r["r"] == r["x"] + 5 for r in got.collect())
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 1
     assert ranked(df.limit(0), [F.col("x")], "r").collect() == []
+
+
+def test_places_are_ranks_of_the_chain(spark):
+    rng = random.Random(4)
+    rows = spark.createDataFrame([(rng.choice([0.0, 0.1, 0.1, 0.5]), k % 22 + 1, k * 1000 + 1) for k in range(400)], "v double, chrom long, pos long").repartition(3)
+    ranks = C.chain(rows, F.col("v")).cache()
+    sizes = rows.groupBy(F.col("v").alias("pilot")).agg(F.count("*").alias("n"))
+    some = ranks.where("rank % 37 = 0 or rank = 399").select("pilot", "chrom", "pos", F.col("rank").alias("own"))
+    got = C.places(rows, F.col("v"), sizes, some).collect()
+    assert len(got) == 12 and all(r["rank"] == r["own"] for r in got)
