@@ -467,3 +467,38 @@ def test_mixing_tells_rows_of_one_id_apart(frame):
     odd = frame(docs).withColumn("a.b", F.create_map(F.lit("k"), F.col("doc_id")))
     assert mixing.mixed(odd).columns == odd.columns and simhash.deduplicated(odd).columns == odd.columns and simhash.deduplicated(odd).count() > 1
     assert mixing.report(frame([])).collect() == []
+
+
+def test_decomposition_holds_every_document(frame, spark):
+    """Each document's passage lies in the directions found, also if it is one of hundreds and the only one of its kind."""
+    rng = random.Random(12)
+    usual = [" ".join(words(rng, 50, 4000)) for _ in range(10)]
+    rare = [" ".join(words(rng, 50, 4000)) for _ in range(30)]
+    hashes = decontam.hashed(frame([(k, usual[k % 10]) for k in range(600)] + [(1000 + k, t) for k, t in enumerate(rare)]))
+    seen, n, cut = decontam.frequencies(hashes)
+    assert n == cut == 630 and decontam.frequencies(decontam.hashed(frame([(1, "a b " * 40), (2, None), (3, "")])))[1:] == (3, 2)
+    idf = (np.log((1 + n) / (1 + seen)) ** 2).astype(np.float32)
+    items = decontam.hashed(spark.createDataFrame([(" ".join(words(rng, 30, 4000)),)], "text string"))
+    found = decontam.decompose(hashes, items, seen, cut, idf)
+    found[:, : decontam.SHARED] /= decontam.DAMPED
+    for t in usual + rare:
+        f, tf = np.unique(decontam._bucket(decontam._hashes(t.encode())), return_counts=True)
+        v = tf * idf[f] / np.linalg.norm(tf * idf[f])
+        assert np.linalg.norm(v @ found[f]) > 0.99
+
+
+def test_products_with_passages():
+    """Sums over places, without a passage's distinct words, give A'(A x)."""
+    rng = np.random.default_rng(5)
+    idf = np.append(rng.random(decontam.BUCKETS), 0).astype(np.float32)
+    texts = [rng.choice(rng.integers(0, decontam.BUCKETS, 20), n).astype("<u2") for n in (0, 1, 64, 65, 500, 9000)]
+    x = np.vstack([rng.standard_normal((decontam.BUCKETS, 8)), np.zeros((1, 8))]).astype(np.float32)
+    total, want = np.zeros_like(x), np.zeros(x.shape)
+    for passages, weights in decontam._cut([t.tobytes() for t in texts], np.arange(1.0, 7)):
+        decontam.gram_times(passages, (weights / np.maximum(decontam._squares(passages, idf), 1e-20)).astype(np.float32), idf[:, None] * x, total)
+    for t, weight in zip(texts, np.arange(1.0, 7), strict=True):
+        for k in range(0, len(t), 64):
+            f, tf = np.unique(t[k : k + 64], return_counts=True)
+            v = tf * idf[f] / np.linalg.norm(tf * idf[f])
+            want[f] += weight * np.outer(v, v @ x[f])
+    assert np.allclose((idf[:, None] * total)[:-1], want[:-1], rtol=1e-3, atol=1e-3)
