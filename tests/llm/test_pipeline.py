@@ -112,3 +112,14 @@ def test_nothing_to_keep(spark, tmp_path, monkeypatch, docs):
     """Empty tables, and tables of null and empty texts, give no rows."""
     kept, rows = ran(spark, tables(spark, tmp_path / "t", docs), monkeypatch)
     assert rows == [] and [df.count() for df in kept] == [0] * 4
+
+
+def test_decontamination_stage_fits_on_all_documents(spark, tmp_path, monkeypatch):
+    """More documents than the 300 that the decomposition once took: every one's words reach it."""
+    from tallyspan.llm import decontam
+
+    seen, fit = [], decontam.decompose
+    monkeypatch.setattr(decontam, "decompose", lambda words, *rest: (seen.append(words.count()), fit(words, *rest))[1])
+    sf = tables(spark, tmp_path, [(k, f"text number {k} of many others", "a") for k in range(400)], items=[(1, "an item of some words that nobody repeats.")])
+    kept = corpus_pipeline.decontamination(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf)
+    assert kept.count() == 400 and seen == [400]
